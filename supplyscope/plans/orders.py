@@ -112,33 +112,45 @@ def _rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(k).alias(v) for k, v in mapping.items()])
 
 
-def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STANDARD") -> DataFrame:
-    """Approved shipments of the chosen document family in the approval range,
-    joined to their line and header, with no requisition link.  (The minimum slice
-    of the report, and the driving relation of the full plan.)"""
-    release = kind != "STANDARD"
+def _headers(t: Mapping[str, DataFrame], start, end, release: bool) -> DataFrame:
     c = F.col
     h = t["po_headers_all"].where(
         c("type_lookup_code").isin(*(RELEASE_TYPES if release else STANDARD_TYPES))
         & c("authorization_status").isin("APPROVED"))
     if not release:
         h = h.where(day_range("approved_date", start, end))
-    h = _rename(h, {"po_header_id": "po_header_id", "segment1": "nr_doc_compra", "type_lookup_code": "type_lookup_code",
-                    "authorization_status": "status_doc_compra", "approved_date": "approved_date", "org_id": "org_id",
-                    "agent_id": "agent_id", "vendor_id": "vendor_id", "vendor_site_id": "vendor_site_id",
-                    "fob_lookup_code": "incoterm", "currency_code": "cd_moeda"})
+    return _rename(h, {"po_header_id": "po_header_id", "segment1": "nr_doc_compra",
+                       "type_lookup_code": "type_lookup_code", "authorization_status": "status_doc_compra",
+                       "approved_date": "approved_date", "org_id": "org_id", "agent_id": "agent_id",
+                       "vendor_id": "vendor_id", "vendor_site_id": "vendor_site_id",
+                       "fob_lookup_code": "incoterm", "currency_code": "cd_moeda"})
+
+
+def _releases(t: Mapping[str, DataFrame], start, end) -> DataFrame:
+    rel = t["po_releases_all"].where(day_range("approved_date", start, end))
+    return _rename(rel, {"po_release_id": "po_release_id", "release_num": "nr_liberacao",
+                         "approved_date": "release_approved_date"})
+
+
+def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STANDARD",
+                       headers: DataFrame | None = None, releases: DataFrame | None = None) -> DataFrame:
+    """Approved shipments of the chosen document family in the approval range,
+    joined to their line and header, with no requisition link.  (The minimum slice
+    of the report, and the driving relation of the full plan.)
+
+    The anti join runs last so it shuffles on the shipment key: the joins that
+    follow in the full report on the same key reuse that partitioning."""
+    release = kind != "STANDARD"
+    h = headers if headers is not None else _headers(t, start, end, release)
     lines = t["po_lines_all"].select(
         "po_line_id", "po_header_id", "line_num", "item_id", "item_description", "unit_meas_lookup_code",
         "category_id", "contract_id", "contract_num", "vendor_product_num", "unit_price", "attribute3")
     loc_cols = ["line_location_id", "po_line_id", "shipment_num", "ship_to_organization_id", "receiving_routing_id",
                 "qty_rcv_tolerance", "promised_date", "need_by_date"]
     locs = t["po_line_locations_all"].select(*loc_cols, *(["po_release_id"] if release else []))
-    x = locs.join(lines, "po_line_id", "inner").join(h, "po_header_id", "inner")
+    x = lines.join(h, "po_header_id", "inner").join(locs, "po_line_id", "inner")
     if release:
-        rel = t["po_releases_all"].where(day_range("approved_date", start, end))
-        rel = _rename(rel, {"po_release_id": "po_release_id", "release_num": "nr_liberacao",
-                            "approved_date": "release_approved_date"})
-        x = x.join(rel, "po_release_id", "inner")
+        x = x.join(releases if releases is not None else _releases(t, start, end), "po_release_id", "inner")
     return without_requisition(x, t["po_requisition_lines_all"])
 
 
@@ -151,19 +163,66 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     validity); explicit so results are reproducible.
     ``strict``: first check that every scalar lookup is unique (raises otherwise),
     which the source database enforced at run time.
+
+    Joins are grouped by the grain of their key so the wide shipment-grain
+    relation is shuffled as few times as possible: header-level lookups are joined
+    to the (filtered) headers first, invoice-level ones to the invoices, and the
+    shipment-keyed joins follow the anti join that already partitioned on it.
     """
     release = kind != "STANDARD"
     c = F.col
-    x = approved_shipments(t, start, end, kind)
 
+    hou_src = _rename(t["hr_operating_units"], {"organization_id": "org_id", "name": "hou_name"})
+    msi_src = _rename(t["mtl_system_items_b"], {"inventory_item_id": "item_id",
+                                                "organization_id": "ship_to_organization_id",
+                                                "segment1": "cd_item_req_linha", "item_type": "msi_item_type"})
+    ood_src = _rename(t["org_organization_definitions"], {"organization_id": "ship_to_organization_id",
+                                                          "organization_code": "cd_organizacao_destino_linha"})
+    contract_src = _rename(t["po_headers_all"], {"po_header_id": "contract_id", "segment1": "contrato_pai_segment1"})
+    if strict:
+        assert_unique(hou_src, ["org_id"], "operating unit")
+        assert_unique(msi_src, ["item_id", "ship_to_organization_id"], "item")
+        assert_unique(ood_src, ["ship_to_organization_id"], "organisation")
+        assert_unique(contract_src, ["contract_id"], "contract header")
+
+    # ---- header grain: vendor, site, operating unit, buyer, service-line flag, approver
+    h = _headers(t, start, end, release)
+    pvsa = _rename(t["po_vendor_sites_all"], {
+        "vendor_id": "pvsa_vendor_id", "vendor_site_id": "pvsa_site_id", "global_attribute9": "ga9",
+        "global_attribute10": "ga10", "global_attribute11": "ga11", "global_attribute12": "ga12",
+        "city": "municipio_fornecedor", "address_line4": "uf_fornecedor"})
+    h = h.join(pvsa, (c("vendor_id") == c("pvsa_vendor_id")) & (c("vendor_site_id") == c("pvsa_site_id")), "left")
+    pv = _rename(t["po_vendors"], {"vendor_id": "pv_vendor_id", "vendor_name": "razao_social_fornecedor"})
+    h = h.join(pv, c("vendor_id") == c("pv_vendor_id"), "left")
+    h = h.join(first_row(hou_src, ["org_id"], ["hou_name"]), "org_id", "left")
+    buyers = _rename(person_names(t["per_all_people_f"], as_of, "closed"),
+                     {"person_id": "agent_id", "last_name": "nome_comprador"})
+    h = h.join(buyers, "agent_id", "left")
+    h = h.join(has_category_line(t["po_lines_all"], t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
+    approvals = approver_columns(
+        last_action(t["po_action_history"], "APPROVE", RELEASE_APPROVER_TYPES if release else STANDARD_APPROVER_TYPES),
+        t["per_all_people_f"], as_of)
+    rel = None
+    if release:
+        rel = _releases(t, start, end).join(approvals.withColumnRenamed("object_id", "po_release_id"),
+                                            "po_release_id", "left")
+    else:
+        h = h.join(approvals.withColumnRenamed("object_id", "po_header_id"), "po_header_id", "left")
+
+    # ---- shipment grain
+    x = approved_shipments(t, start, end, kind, headers=h, releases=rel)
     cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
     cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
     x = x.join(cats, "category_id", "inner")
-
     # distributions fan out; identical ones collapse under the final DISTINCT anyway,
     # so they are collapsed before the join (partial aggregate, map side).
     dist = t["po_distributions_all"].select("line_location_id", "code_combination_id", "project_id").distinct()
     x = x.join(dist, "line_location_id", "inner")
+    # invoice lines bridge shipment -> invoice; the invoiced quantity is the sum over
+    # the same (shipment, invoice) group, so one aggregate gives both
+    ril = _rename(invoiced_quantity(t["rec_invoice_lines"]), {
+        "line_location_id": "line_location_id", "invoice_id": "ril_invoice_id", "invoiced_quantity": "ril_quantity"})
+    x = x.join(ril, "line_location_id", "left")
     gcc = _rename(t["gl_code_combinations"], {"code_combination_id": "code_combination_id",
                                               "segment1": "codigo_empresa", "segment2": "unidade_controle",
                                               "segment3": "conta_contabil", "segment4": "centro_de_custo"})
@@ -171,79 +230,42 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     ppa = _rename(t["pa_projects_all"], {"project_id": "project_id", "segment1": "numero_projeto"})
     x = x.join(ppa, "project_id", "left")
 
-    # receiving chain (outer); invoice lines only bridge shipment → invoice
-    ril = t["rec_invoice_lines"].select("line_location_id", c("invoice_id").alias("ril_invoice_id")).distinct()
-    x = x.join(ril, "line_location_id", "left")
+    # ---- invoice grain: invoice ⟕ operation ⟕ invoice type, then one join
     ri = _rename(t["rec_invoices"], {"invoice_id": "ri_invoice_id", "organization_id": "ri_org",
                                      "operation_id": "nr_ar", "invoice_type_id": "ri_type",
                                      "invoice_num": "ri_invoice_num", "creation_date": "ri_creation_date"})
-    x = x.join(ri, c("ril_invoice_id") == c("ri_invoice_id"), "left")
     reo = _rename(t["rec_entry_operations"], {"organization_id": "reo_org", "operation_id": "reo_operation_id",
                                               "status": "status_ri", "reversion_flag": "reversion_flag"})
-    x = x.join(reo, (c("ri_org") == c("reo_org")) & (c("nr_ar") == c("reo_operation_id")), "left")
     rit = _rename(t["rec_invoice_types"], {"invoice_type_id": "rit_type", "organization_id": "rit_org",
                                            "parent_flag": "parent_flag"})
-    x = x.join(rit, (c("ri_type") == c("rit_type")) & (c("ri_org") == c("rit_org")), "left")
-    x = valid_receipts(x)
+    inv = (ri.join(reo, (c("ri_org") == c("reo_org")) & (c("nr_ar") == c("reo_operation_id")), "left")
+             .join(rit, (c("ri_type") == c("rit_type")) & (c("ri_org") == c("rit_org")), "left"))
+    x = x.join(inv, c("ril_invoice_id") == c("ri_invoice_id"), "left")
+    x = valid_receipts(x).withColumn(
+        "qt_entregue_fornecedor_linha", F.when(c("ri_invoice_id").isNotNull(), c("ril_quantity")))
 
-    # plain outer joins of the source (not scalar lookups: duplicates multiply rows)
+    # ---- remaining lookups
     rrh = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),
                   {"lookup_code": "rrh_code", "meaning": "roteiro_de_recebimento"})
     x = x.join(rrh, code_text(c("receiving_routing_id")) == c("rrh_code"), "left")
-    pvsa = _rename(t["po_vendor_sites_all"], {
-        "vendor_id": "pvsa_vendor_id", "vendor_site_id": "pvsa_site_id", "global_attribute9": "ga9",
-        "global_attribute10": "ga10", "global_attribute11": "ga11", "global_attribute12": "ga12",
-        "city": "municipio_fornecedor", "address_line4": "uf_fornecedor"})
-    x = x.join(pvsa, (c("vendor_id") == c("pvsa_vendor_id")) & (c("vendor_site_id") == c("pvsa_site_id")), "left")
-    pv = _rename(t["po_vendors"], {"vendor_id": "pv_vendor_id", "vendor_name": "razao_social_fornecedor"})
-    x = x.join(pv, c("vendor_id") == c("pv_vendor_id"), "left")
-
-    # former scalar subqueries: one row per key (first_row), then left joins
-    hou_src = _rename(t["hr_operating_units"], {"organization_id": "org_id", "name": "hou_name"})
-    msi_src = _rename(t["mtl_system_items_b"], {"inventory_item_id": "item_id",
-                                                "organization_id": "ship_to_organization_id",
-                                                "segment1": "cd_item_req_linha", "item_type": "msi_item_type"})
-    ood_src = _rename(t["org_organization_definitions"], {"organization_id": "ship_to_organization_id",
-                                                          "organization_code": "cd_organizacao_destino_linha"})
-    contract_src = _rename(t["po_headers_all"], {"po_header_id": "contract_id", "segment1": "contrato_pai_segment1"})
-    if strict:
-        assert_unique(hou_src, ["org_id"], "operating unit")
-        assert_unique(msi_src, ["item_id", "ship_to_organization_id"], "item")
-        assert_unique(ood_src, ["ship_to_organization_id"], "organisation")
-        assert_unique(contract_src, ["contract_id"], "contract header")
-
-    x = x.join(first_row(hou_src, ["org_id"], ["hou_name"]), "org_id", "left")
     keys_item = ["item_id", "ship_to_organization_id"]
-    x = x.join(first_row(msi_src, keys_item, ["cd_item_req_linha"]), keys_item, "left")
-    item_types = (msi_src.select(*keys_item, "msi_item_type")
-                  .join(_rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
-                                {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"}),
-                        "msi_item_type", "inner"))
-    x = x.join(first_row(item_types, keys_item, ["tipo_item_usuario"]), keys_item, "left")
+    item_types = _rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
+                         {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"})
+    # item code and item-type text share the (item, organisation) key: one aggregate
+    items = (msi_src.select(*keys_item, "cd_item_req_linha", "msi_item_type")
+             .join(item_types, "msi_item_type", "left")
+             .groupBy(*keys_item)
+             .agg(F.min("cd_item_req_linha").alias("cd_item_req_linha"),
+                  F.min("tipo_item_usuario").alias("tipo_item_usuario")))
+    x = x.join(items, keys_item, "left")
     x = x.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
                "ship_to_organization_id", "left")
-    buyers = _rename(person_names(t["per_all_people_f"], as_of, "closed"),
-                     {"person_id": "agent_id", "last_name": "nome_comprador"})
-    x = x.join(buyers, "agent_id", "left")
-
-    inv_qty = _rename(invoiced_quantity(t["rec_invoice_lines"]), {
-        "invoice_id": "ri_invoice_id", "line_location_id": "line_location_id",
-        "invoiced_quantity": "qt_entregue_fornecedor_linha"})
-    x = x.join(inv_qty, ["ri_invoice_id", "line_location_id"], "left")
     ms = _rename(receipt_milestones(t["rcv_transactions"], t["rcv_shipment_headers"]), {
         "line_location_id": "line_location_id", "po_line_id": "po_line_id", "receipt_number": "nr_ar",
         "first_receive_date": "first_receive_date", "last_deliver_date": "last_deliver_date",
         "deliver_quantity": "qt_recebida_ar_linha"})
     x = x.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
     x = x.join(first_row(contract_src, ["contract_id"], ["contrato_pai_segment1"]), "contract_id", "left")
-    x = x.join(has_category_line(t["po_lines_all"], t["mtl_categories"], SERVICE_CATEGORIES),
-               "po_header_id", "left")
-
-    object_key = "po_release_id" if release else "po_header_id"
-    approvals = approver_columns(
-        last_action(t["po_action_history"], "APPROVE", RELEASE_APPROVER_TYPES if release else STANDARD_APPROVER_TYPES),
-        t["per_all_people_f"], as_of)
-    x = x.join(approvals.withColumnRenamed("object_id", object_key), object_key, "left")
 
     is_std = c("type_lookup_code") == "STANDARD"
     if release:

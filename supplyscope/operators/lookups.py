@@ -71,19 +71,23 @@ def person_names(people: DataFrame, as_of, mode: str = "closed") -> DataFrame:
     return first_row(effective_rows(people, as_of, mode), ["person_id"], ["last_name"])
 
 
-def left_join_split(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def left_join_split(left: DataFrame, right: DataFrame, on: Sequence[str],
+                    right_keys: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (on)`` written so both sides stay splittable.
 
     For a left outer join adaptive execution may only split the left side of a
     skewed partition.  When the *right* side fans out (many rows per key: all
-    invoice lines of one invoice, all deliveries of one shipment), the same result
-    is the inner join (splittable on both sides) plus the left rows with no match
-    (a left anti join).  Both branches shuffle ``left`` the same way, so the
-    exchange is reused.
+    invoice lines of one invoice), the same result is the inner join (splittable
+    on both sides) plus the left rows with no match (a left anti join).
+
+    ``right_keys``: a cheap relation with exactly the key values present in
+    ``right`` (for example the scan ``right`` was built from, when ``right``
+    preserves it).  The anti branch then reads only that key column, reduced by
+    a map-side distinct, instead of evaluating ``right`` a second time.
     """
     on = list(on)
     matched = left.join(right, on, "inner")
-    keys = right.select(*on).distinct()
+    keys = (right_keys if right_keys is not None else right).select(*on).distinct()
     missing = left.join(keys, on, "left_anti")
     extra = [f for f in right.schema.fields if f.name not in on]
     missing = missing.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])

@@ -45,23 +45,24 @@ def delivery_lead_time(is_standard: Column, contract_id: Column, catalog_lead: C
     return F.when(is_standard & contract_id.isNotNull(), catalog_lead).otherwise(safe_number(attribute3, "double"))
 
 
-def max_contract_lead_time(lines: DataFrame, headers: DataFrame, vendors: DataFrame, catalog: DataFrame) -> DataFrame:
+def max_contract_lead_time(needed: DataFrame, lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(po_header_id, supplier_part_auxid, max_contract_lead_time)``.
 
-    The maximum catalogue lead time over every live part number of the header
-    (non-NULL, not cancelled), for the header's vendor, per contract number.
-    The header's vendor is fixed, so parts are matched to the catalogue on
-    ``(vendor name, part number)`` and reduced per ``(header, contract number)``;
-    the report joins on its own contract number.  No pairing of contracts with
-    parts is materialised.
+    The maximum catalogue lead time of a contract, for the header's vendor, over
+    the part numbers of every live line of the header (non-NULL, not cancelled).
+
+    ``needed``: distinct ``(po_header_id, supplier_part_auxid, supplier)`` — the
+    header, the contract number its line points at and the header's vendor name.
+    Plan: each needed triple reads the catalogue rows of *its* contract and vendor
+    (an equi-join on both), keeps those whose part number is on a live line of the
+    header (a semi join on ``(header, part)``), and takes the maximum.  The work is
+    bounded by the size of the contracts involved; contracts are never paired with
+    all the parts of a header.
     """
     parts = (lines.where(F.col("vendor_product_num").isNotNull()
                          & (F.coalesce(F.col("cancel_flag"), F.lit("N")) == "N"))
-             .select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")).distinct())
-    hv = (headers.select("po_header_id", "vendor_id")
-          .join(vendors.select("vendor_id", F.col("vendor_name").alias("supplier")), "vendor_id", "inner")
-          .drop("vendor_id"))
-    keyed = parts.join(hv, "po_header_id", "inner")
-    return (keyed.join(catalog.select(*CATALOG_KEYS, "max_lead_time"), ["supplier", "supplier_part_num"], "inner")
+             .select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")))
+    cand = needed.join(catalog.select(*CATALOG_KEYS, "max_lead_time"), ["supplier_part_auxid", "supplier"], "inner")
+    return (cand.join(parts, ["po_header_id", "supplier_part_num"], "left_semi")
             .groupBy("po_header_id", "supplier_part_auxid")
             .agg(F.max("max_lead_time").alias("max_contract_lead_time")))

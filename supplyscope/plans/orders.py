@@ -198,19 +198,31 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     buyers = _rename(person_names(t["per_all_people_f"], as_of, "closed"),
                      {"person_id": "agent_id", "last_name": "nome_comprador"})
     h = h.join(buyers, "agent_id", "left")
-    h = h.join(has_category_line(t["po_lines_all"], t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
+    # the per-header aggregates only need the headers in the report's range: semi
+    # joins keep a narrow date range from aggregating the whole history
+    in_scope = _headers(t, start, end, release).select("po_header_id")
+    scoped_lines = t["po_lines_all"].join(in_scope, "po_header_id", "left_semi")
+    h = h.join(has_category_line(scoped_lines, t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
+    history = t["po_action_history"]
+    rel = None
+    if release:
+        rel = _releases(t, start, end)
+        history = history.join(rel.select(F.col("po_release_id").alias("object_id")), "object_id", "left_semi")
+    else:
+        history = history.join(in_scope.withColumnRenamed("po_header_id", "object_id"), "object_id", "left_semi")
     approvals = approver_columns(
-        last_action(t["po_action_history"], "APPROVE", RELEASE_APPROVER_TYPES if release else STANDARD_APPROVER_TYPES),
+        last_action(history, "APPROVE", RELEASE_APPROVER_TYPES if release else STANDARD_APPROVER_TYPES),
         t["per_all_people_f"], as_of)
-    rel = None
     if release:
-        rel = _releases(t, start, end).join(approvals.withColumnRenamed("object_id", "po_release_id"),
-                                            "po_release_id", "left")
+        rel = rel.join(approvals.withColumnRenamed("object_id", "po_release_id"), "po_release_id", "left")
     else:
         h = h.join(approvals.withColumnRenamed("object_id", "po_header_id"), "po_header_id", "left")
 
     # ---- shipment grain
     x = approved_shipments(t, start, end, kind, headers=h, releases=rel)
+    # shipments in the report: the anti join left them partitioned on this key, so
+    # the semi joins below restrict the receipt-side tables without a reshuffle
+    scope = x.select("line_location_id")
     cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
     cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
     x = x.join(cats, "category_id", "inner")
@@ -220,7 +232,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     x = x.join(dist, "line_location_id", "inner")
     # invoice lines bridge shipment -> invoice; the invoiced quantity is the sum over
     # the same (shipment, invoice) group, so one aggregate gives both
-    ril = _rename(invoiced_quantity(t["rec_invoice_lines"]), {
+    ril = _rename(invoiced_quantity(t["rec_invoice_lines"].join(scope, "line_location_id", "left_semi")), {
         "line_location_id": "line_location_id", "invoice_id": "ril_invoice_id", "invoiced_quantity": "ril_quantity"})
     x = x.join(ril, "line_location_id", "left")
     gcc = _rename(t["gl_code_combinations"], {"code_combination_id": "code_combination_id",
@@ -260,7 +272,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     x = x.join(items, keys_item, "left")
     x = x.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
                "ship_to_organization_id", "left")
-    ms = _rename(receipt_milestones(t["rcv_transactions"], t["rcv_shipment_headers"]), {
+    trx = t["rcv_transactions"].join(scope.withColumnRenamed("line_location_id", "po_line_location_id"),
+                                     "po_line_location_id", "left_semi")
+    ms = _rename(receipt_milestones(trx, t["rcv_shipment_headers"]), {
         "line_location_id": "line_location_id", "po_line_id": "po_line_id", "receipt_number": "nr_ar",
         "first_receive_date": "first_receive_date", "last_deliver_date": "last_deliver_date",
         "deliver_quantity": "qt_recebida_ar_linha"})
@@ -278,10 +292,11 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     else:
         catalog = catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
         x = contract_lead_time(x.withColumn("part_number", c("vendor_product_num")), catalog)
-        heads = t["po_headers_all"].where(c("type_lookup_code").isin(*STANDARD_TYPES)
-                                          & (c("authorization_status") == "APPROVED")
-                                          & day_range("approved_date", start, end))
-        maxes = _rename(max_contract_lead_time(t["po_lines_all"], heads, t["po_vendors"], catalog), {
+        needed = (x.where(c("contract_id").isNotNull())
+                  .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
+                          c("razao_social_fornecedor").alias("supplier"))
+                  .distinct())
+        maxes = _rename(max_contract_lead_time(needed, scoped_lines, catalog), {
             "po_header_id": "po_header_id", "supplier_part_auxid": "contrato_pai_segment1",
             "max_contract_lead_time": "max_contract_lead_time"})
         x = x.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left")

@@ -178,8 +178,10 @@ def q_max_contract_lead_time(spark, sf_dir):
     cat = catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"])
     keys = (_standard_lines(t).where(c("contract_id").isNotNull())
             .select("po_header_id", "contract_id", "contrato_pai_segment1").distinct())
-    heads = t["po_headers_all"].where(c("type_lookup_code") == "STANDARD")
-    m = max_contract_lead_time(t["po_lines_all"], heads, t["po_vendors"], cat).withColumnRenamed(
+    needed = (_standard_lines(t).where(c("contract_id").isNotNull())
+              .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
+                      c("razao_social_fornecedor").alias("supplier")).distinct())
+    m = max_contract_lead_time(needed, t["po_lines_all"], cat).withColumnRenamed(
         "supplier_part_auxid", "contrato_pai_segment1")
     return (keys.join(m, ["po_header_id", "contrato_pai_segment1"], "left")
             .select("po_header_id", "contract_id", c("max_contract_lead_time").alias("prazo_maximo_de_entrega")))

@@ -126,9 +126,9 @@ def test_max_contract_lead_time_over_live_parts_of_the_header(spark):
         {"po_line_id": 4, "po_header_id": 2, "vendor_product_num": "P3"},
         {"po_line_id": 5, "po_header_id": 2, "vendor_product_num": None},
     ])
-    heads = frame(spark, "po_headers_all", [{"po_header_id": 1, "vendor_id": 5}, {"po_header_id": 2, "vendor_id": 5}])
-    vendors = frame(spark, "po_vendors", [{"vendor_id": 5, "vendor_name": "V"}])
-    got = max_contract_lead_time(lines, heads, vendors, cat)
+    needed = spark.createDataFrame([(1, "C1", "V"), (2, "C1", "V"), (2, "C2", "V"), (3, "C1", "W")],
+                                   "po_header_id long, supplier_part_auxid string, supplier string")
+    got = max_contract_lead_time(needed, lines, cat)
     assert rows(got, "po_header_id", "supplier_part_auxid", "max_contract_lead_time") == [
         (1, "C1", D("10")), (2, "C1", D("30"))]
 

@@ -8,10 +8,12 @@ One parametrised plan serves both document families:
 
 ``po_without_requisition_report`` unions the two (disjoint by document type).
 
-Plan shape: filtered headers → lines → shipments (inner) → anti join to
-requisition lines → categories, distributions, accounts (inner) → invoice /
-operation chain (left) → post-join receipt filter → one left join per former
-scalar subquery, each pre-aggregated on its own keys → projection → DISTINCT.
+Plan shape: filtered headers (+ header-grain lookups) → lines → shipments
+(inner; releases for BLANKET / PLANNED) → anti join to requisition lines →
+categories, distributions, accounts (inner) → invoice / operation chain (left)
+→ post-join receipt filter → one left join per former scalar subquery, each
+pre-aggregated on its own keys → projection → DISTINCT.  ``kind="ALL"`` runs both
+families in this one plan.
 Small code tables are left to adaptive execution, which broadcasts them only
 after measuring their size at run time; everything else shuffles on its key.
 """
@@ -112,51 +114,71 @@ def _rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(k).alias(v) for k, v in mapping.items()])
 
 
-def _headers(t: Mapping[str, DataFrame], start, end, release: bool) -> DataFrame:
+KINDS = {"STANDARD": (True, False), "RELEASE": (False, True), "ALL": (True, True)}
+
+
+def _headers(t: Mapping[str, DataFrame], start, end, kind: str) -> DataFrame:
+    """Approved headers of the chosen families; STANDARD ones in the approval range
+    (releases are filtered by their own approval date).  ``is_release`` tells the
+    two families apart for the rest of the plan."""
     c = F.col
-    h = t["po_headers_all"].where(
-        c("type_lookup_code").isin(*(RELEASE_TYPES if release else STANDARD_TYPES))
-        & c("authorization_status").isin("APPROVED"))
-    if not release:
-        h = h.where(day_range("approved_date", start, end))
+    std, rel = KINDS[kind]
+    fam = []
+    if std:
+        fam.append(c("type_lookup_code").isin(*STANDARD_TYPES) & day_range("approved_date", start, end))
+    if rel:
+        fam.append(c("type_lookup_code").isin(*RELEASE_TYPES))
+    cond = fam[0] if len(fam) == 1 else (fam[0] | fam[1])
+    h = t["po_headers_all"].where(c("authorization_status").isin("APPROVED") & cond)
     return _rename(h, {"po_header_id": "po_header_id", "segment1": "nr_doc_compra",
                        "type_lookup_code": "type_lookup_code", "authorization_status": "status_doc_compra",
                        "approved_date": "approved_date", "org_id": "org_id", "agent_id": "agent_id",
                        "vendor_id": "vendor_id", "vendor_site_id": "vendor_site_id",
-                       "fob_lookup_code": "incoterm", "currency_code": "cd_moeda"})
+                       "fob_lookup_code": "incoterm", "currency_code": "cd_moeda"}).withColumn(
+        "is_release", c("type_lookup_code").isin(*RELEASE_TYPES))
 
 
 def _releases(t: Mapping[str, DataFrame], start, end) -> DataFrame:
     rel = t["po_releases_all"].where(day_range("approved_date", start, end))
-    return _rename(rel, {"po_release_id": "po_release_id", "release_num": "nr_liberacao",
+    return _rename(rel, {"po_release_id": "rel_id", "release_num": "nr_liberacao",
                          "approved_date": "release_approved_date"})
 
 
 def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STANDARD",
                        headers: DataFrame | None = None, releases: DataFrame | None = None) -> DataFrame:
-    """Approved shipments of the chosen document family in the approval range,
-    joined to their line and header, with no requisition link.  (The minimum slice
-    of the report, and the driving relation of the full plan.)
+    """Approved shipments of the chosen document families in the approval range,
+    joined to their line and header (and, for BLANKET / PLANNED, to a release
+    approved in the range), with no requisition link.  (The minimum slice of the
+    report, and the driving relation of the full plan.)
 
     The anti join runs last so it shuffles on the shipment key: the joins that
     follow in the full report on the same key reuse that partitioning."""
-    release = kind != "STANDARD"
-    h = headers if headers is not None else _headers(t, start, end, release)
+    c = F.col
+    std, rel = KINDS[kind]
+    h = headers if headers is not None else _headers(t, start, end, kind)
     lines = t["po_lines_all"].select(
         "po_line_id", "po_header_id", "line_num", "item_id", "item_description", "unit_meas_lookup_code",
         "category_id", "contract_id", "contract_num", "vendor_product_num", "unit_price", "attribute3")
     loc_cols = ["line_location_id", "po_line_id", "shipment_num", "ship_to_organization_id", "receiving_routing_id",
                 "qty_rcv_tolerance", "promised_date", "need_by_date"]
-    locs = t["po_line_locations_all"].select(*loc_cols, *(["po_release_id"] if release else []))
+    locs = t["po_line_locations_all"].select(*loc_cols, *(["po_release_id"] if rel else []))
     x = lines.join(h, "po_header_id", "inner").join(locs, "po_line_id", "inner")
-    if release:
-        x = x.join(releases if releases is not None else _releases(t, start, end), "po_release_id", "inner")
+    if rel:
+        r = (releases if releases is not None else _releases(t, start, end)).withColumn("rel_hit", F.lit(True))
+        # inner join for the release family only: a left join keyed on the family,
+        # then drop release-family rows without an in-range release
+        x = x.join(r, c("is_release") & (c("po_release_id") == c("rel_id")), "left")
+        x = x.where(~c("is_release") | c("rel_hit").isNotNull())
+    else:
+        x = x.withColumn("nr_liberacao", typed_null("long")).withColumn(
+            "release_approved_date", typed_null("timestamp_ntz"))
     return without_requisition(x, t["po_requisition_lines_all"])
 
 
 def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind: str = "STANDARD",
                            language: str = "PTB", strict: bool = False) -> DataFrame:
-    """One branch of the report (62 columns, DISTINCT rows).
+    """The report (62 columns, DISTINCT rows) for ``kind`` = ``STANDARD``,
+    ``RELEASE`` (BLANKET / PLANNED through releases) or ``ALL`` (both, one pass).
 
     ``start`` / ``end``: ``DD/MM/YYYY`` text or dates, inclusive whole days.
     ``as_of``: the instant the source took from ``SYSDATE`` (buyer and approver
@@ -164,12 +186,15 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     ``strict``: first check that every scalar lookup is unique (raises otherwise),
     which the source database enforced at run time.
 
+    Both families read the same lines and shipments, so ``ALL`` evaluates them in
+    one pass with an ``is_release`` discriminator instead of two plans and a
+    union; their rows are disjoint by document type, so one DISTINCT is exact.
     Joins are grouped by the grain of their key so the wide shipment-grain
     relation is shuffled as few times as possible: header-level lookups are joined
     to the (filtered) headers first, invoice-level ones to the invoices, and the
     shipment-keyed joins follow the anti join that already partitioned on it.
     """
-    release = kind != "STANDARD"
+    std_on, rel_on = KINDS[kind]
     c = F.col
 
     hou_src = _rename(t["hr_operating_units"], {"organization_id": "org_id", "name": "hou_name"})
@@ -186,7 +211,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         assert_unique(contract_src, ["contract_id"], "contract header")
 
     # ---- header grain: vendor, site, operating unit, buyer, service-line flag, approver
-    h = _headers(t, start, end, release)
+    h = _headers(t, start, end, kind)
     pvsa = _rename(t["po_vendor_sites_all"], {
         "vendor_id": "pvsa_vendor_id", "vendor_site_id": "pvsa_site_id", "global_attribute9": "ga9",
         "global_attribute10": "ga10", "global_attribute11": "ga11", "global_attribute12": "ga12",
@@ -200,23 +225,24 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     h = h.join(buyers, "agent_id", "left")
     # the per-header aggregates only need the headers in the report's range: semi
     # joins keep a narrow date range from aggregating the whole history
-    in_scope = _headers(t, start, end, release).select("po_header_id")
+    in_scope = _headers(t, start, end, kind).select("po_header_id")
     scoped_lines = t["po_lines_all"].join(in_scope, "po_header_id", "left_semi")
     h = h.join(has_category_line(scoped_lines, t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
     history = t["po_action_history"]
+    people = t["per_all_people_f"]
+    if std_on:
+        hist_h = history.join(in_scope.withColumnRenamed("po_header_id", "object_id"), "object_id", "left_semi")
+        ap_h = _rename(approver_columns(last_action(hist_h, "APPROVE", STANDARD_APPROVER_TYPES), people, as_of),
+                       {"object_id": "ap_object", "aprovador": "h_aprovador", "aprovador_detalhe": "h_detalhe"})
+        # header approvals belong to the STANDARD family only
+        h = h.join(ap_h, ~c("is_release") & (c("po_header_id") == c("ap_object")), "left").drop("ap_object")
     rel = None
-    if release:
+    if rel_on:
         rel = _releases(t, start, end)
-        history = history.join(rel.select(F.col("po_release_id").alias("object_id")), "object_id", "left_semi")
-    else:
-        history = history.join(in_scope.withColumnRenamed("po_header_id", "object_id"), "object_id", "left_semi")
-    approvals = approver_columns(
-        last_action(history, "APPROVE", RELEASE_APPROVER_TYPES if release else STANDARD_APPROVER_TYPES),
-        t["per_all_people_f"], as_of)
-    if release:
-        rel = rel.join(approvals.withColumnRenamed("object_id", "po_release_id"), "po_release_id", "left")
-    else:
-        h = h.join(approvals.withColumnRenamed("object_id", "po_header_id"), "po_header_id", "left")
+        hist_r = history.join(rel.select(c("rel_id").alias("object_id")), "object_id", "left_semi")
+        ap_r = _rename(approver_columns(last_action(hist_r, "APPROVE", RELEASE_APPROVER_TYPES), people, as_of),
+                       {"object_id": "rel_id", "aprovador": "r_aprovador", "aprovador_detalhe": "r_detalhe"})
+        rel = rel.join(ap_r, "rel_id", "left")
 
     # ---- shipment grain
     x = approved_shipments(t, start, end, kind, headers=h, releases=rel)
@@ -281,18 +307,13 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     x = x.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
     x = x.join(first_row(contract_src, ["contract_id"], ["contrato_pai_segment1"]), "contract_id", "left")
 
+    is_rel = c("is_release")
     is_std = c("type_lookup_code") == "STANDARD"
-    if release:
-        # the STANDARD arms cannot hold for BLANKET / PLANNED: no catalogue joins
-        lead = safe_number(c("attribute3"), "double")
-        max_lead = typed_null("double")
-        doc_type = c("type_lookup_code")
-        approved = c("release_approved_date")
-        release_num = c("nr_liberacao")
-    else:
+    on_contract = is_std & c("contract_id").isNotNull()
+    if std_on:
         catalog = catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
         x = contract_lead_time(x.withColumn("part_number", c("vendor_product_num")), catalog)
-        needed = (x.where(c("contract_id").isNotNull())
+        needed = (x.where(on_contract)
                   .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
                           c("razao_social_fornecedor").alias("supplier"))
                   .distinct())
@@ -300,12 +321,22 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
             "po_header_id": "po_header_id", "supplier_part_auxid": "contrato_pai_segment1",
             "max_contract_lead_time": "max_contract_lead_time"})
         x = x.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left")
-        lead = F.when(is_std & c("contract_id").isNotNull(), c("catalog_lead_time")).otherwise(
-            safe_number(c("attribute3"), "double"))
-        max_lead = F.when(is_std & c("contract_id").isNotNull(), c("max_contract_lead_time"))
-        doc_type = document_type(c("type_lookup_code"), c("contract_num"))
-        approved = c("approved_date")
-        release_num = typed_null("long")
+        lead = F.when(on_contract, c("catalog_lead_time")).otherwise(safe_number(c("attribute3"), "double"))
+        max_lead = F.when(on_contract, c("max_contract_lead_time"))
+    else:
+        # the STANDARD arms cannot hold for BLANKET / PLANNED: no catalogue joins
+        lead = safe_number(c("attribute3"), "double")
+        max_lead = typed_null("double")
+    doc_type = document_type(c("type_lookup_code"), c("contract_num"))
+    approved = F.when(is_rel, c("release_approved_date")).otherwise(c("approved_date"))
+    release_num = F.when(is_rel, c("nr_liberacao"))
+    if std_on and rel_on:
+        aprovador = F.when(is_rel, c("r_aprovador")).otherwise(c("h_aprovador"))
+        detalhe = F.when(is_rel, c("r_detalhe")).otherwise(c("h_detalhe"))
+    elif std_on:
+        aprovador, detalhe = c("h_aprovador"), c("h_detalhe")
+    else:
+        aprovador, detalhe = c("r_aprovador"), c("r_detalhe")
 
     out = {
         "dt_aprovacao_rc_header": blank(),
@@ -356,14 +387,14 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         "solicitante": blank(),
         "rc_tem_linha_servico": F.coalesce(c("rc_tem_linha_servico"), F.lit("Não")),
         "preparador": blank(),
-        "aprovador": c("aprovador"),
+        "aprovador": aprovador,
         "prazo_maximo_de_entrega": max_lead,
         "codigo_empresa": c("codigo_empresa"),
         "unidade_controle": c("unidade_controle"),
         "conta_contabil": c("conta_contabil"),
         "centro_de_custo": c("centro_de_custo"),
         "numero_projeto": c("numero_projeto"),
-        "aprovador_detalhe": c("aprovador_detalhe"),
+        "aprovador_detalhe": detalhe,
     }
     assert list(out) == OUTPUT
     return x.select(*[v.alias(k) for k, v in out.items()]).distinct()
@@ -371,10 +402,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
 
 def po_without_requisition_report(t: Mapping[str, DataFrame], start, end, as_of, language: str = "PTB",
                                   strict: bool = False) -> DataFrame:
-    """Both branches, ``UNION ALL`` (their document types are disjoint)."""
-    std = po_without_requisition(t, start, end, as_of, "STANDARD", language, strict)
-    rel = po_without_requisition(t, start, end, as_of, "RELEASE", language, strict)
-    return std.unionByName(rel)
+    """Both families (the source's two branches and their ``UNION ALL``), in one pass."""
+    return po_without_requisition(t, start, end, as_of, "ALL", language, strict)
 
 
 def with_display_labels(df: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ grouped by grain before the wide joins:
 * operation ⟕ (invoice grain) on (operation, organisation) ⟕ (line grain) on
   invoice ⟕ item on (item, organisation of the operation)
 
-Joins whose right side fans out (lines per invoice, deliveries per shipment) use
-``left_join_split`` so adaptive execution can split a hot key on either side.
+A hot key on the right of a left outer join (many invoices of one operation,
+lines of one invoice, deliveries of one shipment) cannot be split by adaptive
+execution, so those joins go through ``left_join_split``.
+
 """
 
 from __future__ import annotations
@@ -109,7 +111,12 @@ def receiving_lines(t: Mapping[str, DataFrame], skew_safe: bool = True) -> DataF
     # ``ship`` keeps every shipment row, so its keys are the shipment scan's keys
     lines = split(lines, ship, ["line_location_id"], right_keys=pll)
 
-    base = ops.join(inv, (c("ri") == c("ri_operation_id")) & (c("reo_org") == c("ri_org")), "left")
+    # operation ⟕ invoices: many invoices may share one operation, so this join is
+    # split too; ``inv`` keeps every invoice row, so the invoice scan gives its keys
+    op_keys = ["ri", "reo_org"]
+    inv = inv.withColumnRenamed("ri_operation_id", "ri").withColumnRenamed("ri_org", "reo_org")
+    inv_keys = t["cll_f189_invoices"].select(c("operation_id").alias("ri"), c("organization_id").alias("reo_org"))
+    base = split(ops, inv, op_keys, right_keys=inv_keys)
     # the source's COUNT(1) subquery is 0 (not NULL) also when there is no invoice
     base = base.withColumn("hold_count", F.coalesce(c("hold_count"), F.lit(0)))
     # ``lines`` keeps every invoice line, so its keys are the invoice-line scan's keys

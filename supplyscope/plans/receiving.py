@@ -8,8 +8,8 @@ grouped by grain before the wide joins:
 * invoice grain:   invoice ⟕ type ⟕ fiscal entity ⟕ site ⟕ vendor ⟕ e-invoice ⟕ hold count
 * shipment grain:  shipment ⟕ DELIVER transactions ⟕ header
 * line grain:      invoice line ⟕ CFOP ⟕ utilisation ⟕ (shipment grain)
-* operation ⟕ (invoice grain) on (operation, organisation) ⟕ (line grain) on
-  invoice ⟕ item on (item, organisation of the operation)
+* operation ⟕ ((invoice grain) ⟕ (line grain) on invoice) on (operation,
+  organisation) ⟕ item on (item, organisation of the operation)
 
 A hot key on the right of a left outer join (many invoices of one operation,
 lines of one invoice, deliveries of one shipment) cannot be split by adaptive
@@ -111,16 +111,17 @@ def receiving_lines(t: Mapping[str, DataFrame], skew_safe: bool = True) -> DataF
     # ``ship`` keeps every shipment row, so its keys are the shipment scan's keys
     lines = split(lines, ship, ["line_location_id"], right_keys=pll)
 
-    # operation ⟕ invoices: many invoices may share one operation, so this join is
-    # split too; ``inv`` keeps every invoice row, so the invoice scan gives its keys
+    # invoice ⟕ lines first, then operation ⟕ (invoice ⟕ lines): each split then has
+    # a cheap left side (evaluated twice) and its right side appears once
+    # (the anti branches read only key columns of the invoice-line / invoice scans)
+    inv_lines = split(inv, lines, ["invoice_id"], right_keys=ril)
     op_keys = ["ri", "reo_org"]
-    inv = inv.withColumnRenamed("ri_operation_id", "ri").withColumnRenamed("ri_org", "reo_org")
+    inv_lines = inv_lines.withColumnRenamed("ri_operation_id", "ri").withColumnRenamed("ri_org", "reo_org")
     inv_keys = t["cll_f189_invoices"].select(c("operation_id").alias("ri"), c("organization_id").alias("reo_org"))
-    base = split(ops, inv, op_keys, right_keys=inv_keys)
+    # many invoices may share one operation: split as well
+    base = split(ops, inv_lines, op_keys, right_keys=inv_keys)
     # the source's COUNT(1) subquery is 0 (not NULL) also when there is no invoice
     base = base.withColumn("hold_count", F.coalesce(c("hold_count"), F.lit(0)))
-    # ``lines`` keeps every invoice line, so its keys are the invoice-line scan's keys
-    base = split(base, lines, ["invoice_id"], right_keys=ril)
     msi = _rename(t["mtl_system_items"], {"inventory_item_id": "inventory_item_id", "organization_id": "msi_org",
                                           "receiving_routing_id": "roteiro_item_id"})
     base = base.join(msi, (c("item_id") == c("inventory_item_id")) & (c("reo_org") == c("msi_org")), "left")

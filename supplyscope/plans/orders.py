@@ -145,14 +145,18 @@ def _releases(t: Mapping[str, DataFrame], start, end) -> DataFrame:
 
 
 def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STANDARD",
-                       headers: DataFrame | None = None, releases: DataFrame | None = None) -> DataFrame:
+                       headers: DataFrame | None = None, releases: DataFrame | None = None,
+                       line_stage=None, shipment_stage=None) -> DataFrame:
     """Approved shipments of the chosen document families in the approval range,
     joined to their line and header (and, for BLANKET / PLANNED, to a release
     approved in the range), with no requisition link.  (The minimum slice of the
     report, and the driving relation of the full plan.)
 
-    The anti join runs last so it shuffles on the shipment key: the joins that
-    follow in the full report on the same key reuse that partitioning."""
+    ``line_stage`` / ``shipment_stage``: functions applied to the relation at line
+    grain (after the header join) and at shipment grain (before the anti join), so
+    lookups keyed at those grains run before rows fan out.  The anti join runs
+    last so it shuffles on the shipment key: the joins that follow in the full
+    report on the same key reuse that partitioning."""
     c = F.col
     std, rel = KINDS[kind]
     h = headers if headers is not None else _headers(t, start, end, kind)
@@ -162,7 +166,10 @@ def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STAN
     loc_cols = ["line_location_id", "po_line_id", "shipment_num", "ship_to_organization_id", "receiving_routing_id",
                 "qty_rcv_tolerance", "promised_date", "need_by_date"]
     locs = t["po_line_locations_all"].select(*loc_cols, *(["po_release_id"] if rel else []))
-    x = lines.join(h, "po_header_id", "inner").join(locs, "po_line_id", "inner")
+    x = lines.join(h, "po_header_id", "inner")
+    if line_stage is not None:
+        x = line_stage(x)
+    x = x.join(locs, "po_line_id", "inner")
     if rel:
         r = (releases if releases is not None else _releases(t, start, end)).withColumn("rel_hit", F.lit(True))
         # inner join for the release family only: a left join keyed on the family,
@@ -172,6 +179,8 @@ def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STAN
     else:
         x = x.withColumn("nr_liberacao", typed_null("long")).withColumn(
             "release_approved_date", typed_null("timestamp_ntz"))
+    if shipment_stage is not None:
+        x = shipment_stage(x)
     return without_requisition(x, t["po_requisition_lines_all"])
 
 
@@ -244,14 +253,54 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
                        {"object_id": "rel_id", "aprovador": "r_aprovador", "aprovador_detalhe": "r_detalhe"})
         rel = rel.join(ap_r, "rel_id", "left")
 
-    # ---- shipment grain
-    x = approved_shipments(t, start, end, kind, headers=h, releases=rel)
-    # shipments in the report: the anti join left them partitioned on this key, so
-    # the semi joins below restrict the receipt-side tables without a reshuffle
-    scope = x.select("line_location_id")
     cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
     cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
-    x = x.join(cats, "category_id", "inner")
+    on_contract = (c("type_lookup_code") == "STANDARD") & c("contract_id").isNotNull()
+    catalog = (catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
+               if std_on else None)
+
+    def line_stage(lx: DataFrame) -> DataFrame:
+        # line grain (before shipments and distributions multiply the rows):
+        # category filter, parent contract, catalogue lead times
+        lx = lx.join(cats, "category_id", "inner")
+        lx = lx.join(first_row(contract_src, ["contract_id"], ["contrato_pai_segment1"]), "contract_id", "left")
+        if catalog is None:
+            return lx
+        lx = contract_lead_time(lx.withColumn("part_number", c("vendor_product_num")), catalog)
+        needed = (lx.where(on_contract)
+                  .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
+                          c("razao_social_fornecedor").alias("supplier"))
+                  .distinct())
+        maxes = _rename(max_contract_lead_time(needed, scoped_lines, catalog), {
+            "po_header_id": "po_header_id", "supplier_part_auxid": "contrato_pai_segment1",
+            "max_contract_lead_time": "max_contract_lead_time"})
+        return lx.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left")
+
+    keys_item = ["item_id", "ship_to_organization_id"]
+    item_types = _rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
+                         {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"})
+    # item code and item-type text share the (item, organisation) key: one aggregate
+    items = (msi_src.select(*keys_item, "cd_item_req_linha", "msi_item_type")
+             .join(item_types, "msi_item_type", "left")
+             .groupBy(*keys_item)
+             .agg(F.min("cd_item_req_linha").alias("cd_item_req_linha"),
+                  F.min("tipo_item_usuario").alias("tipo_item_usuario")))
+    rrh = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),
+                  {"lookup_code": "rrh_code", "meaning": "roteiro_de_recebimento"})
+
+    def shipment_stage(sx: DataFrame) -> DataFrame:
+        # shipment grain: item, destination organisation, receiving routing
+        sx = sx.join(items, keys_item, "left")
+        sx = sx.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
+                     "ship_to_organization_id", "left")
+        return sx.join(rrh, code_text(c("receiving_routing_id")) == c("rrh_code"), "left")
+
+    # ---- shipments without requisition, partitioned on the shipment key by the anti join
+    x = approved_shipments(t, start, end, kind, headers=h, releases=rel,
+                           line_stage=line_stage, shipment_stage=shipment_stage)
+    # shipments in the report: the semi joins below restrict the receipt-side
+    # tables to them without reshuffling this side
+    scope = x.select("line_location_id")
     # distributions fan out; identical ones collapse under the final DISTINCT anyway,
     # so they are collapsed before the join (partial aggregate, map side).
     dist = t["po_distributions_all"].select("line_location_id", "code_combination_id", "project_id").distinct()
@@ -282,22 +331,6 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     x = valid_receipts(x).withColumn(
         "qt_entregue_fornecedor_linha", F.when(c("ri_invoice_id").isNotNull(), c("ril_quantity")))
 
-    # ---- remaining lookups
-    rrh = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),
-                  {"lookup_code": "rrh_code", "meaning": "roteiro_de_recebimento"})
-    x = x.join(rrh, code_text(c("receiving_routing_id")) == c("rrh_code"), "left")
-    keys_item = ["item_id", "ship_to_organization_id"]
-    item_types = _rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
-                         {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"})
-    # item code and item-type text share the (item, organisation) key: one aggregate
-    items = (msi_src.select(*keys_item, "cd_item_req_linha", "msi_item_type")
-             .join(item_types, "msi_item_type", "left")
-             .groupBy(*keys_item)
-             .agg(F.min("cd_item_req_linha").alias("cd_item_req_linha"),
-                  F.min("tipo_item_usuario").alias("tipo_item_usuario")))
-    x = x.join(items, keys_item, "left")
-    x = x.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
-               "ship_to_organization_id", "left")
     trx = t["rcv_transactions"].join(scope.withColumnRenamed("line_location_id", "po_line_location_id"),
                                      "po_line_location_id", "left_semi")
     ms = _rename(receipt_milestones(trx, t["rcv_shipment_headers"]), {
@@ -305,22 +338,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         "first_receive_date": "first_receive_date", "last_deliver_date": "last_deliver_date",
         "deliver_quantity": "qt_recebida_ar_linha"})
     x = x.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
-    x = x.join(first_row(contract_src, ["contract_id"], ["contrato_pai_segment1"]), "contract_id", "left")
 
     is_rel = c("is_release")
-    is_std = c("type_lookup_code") == "STANDARD"
-    on_contract = is_std & c("contract_id").isNotNull()
     if std_on:
-        catalog = catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
-        x = contract_lead_time(x.withColumn("part_number", c("vendor_product_num")), catalog)
-        needed = (x.where(on_contract)
-                  .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
-                          c("razao_social_fornecedor").alias("supplier"))
-                  .distinct())
-        maxes = _rename(max_contract_lead_time(needed, scoped_lines, catalog), {
-            "po_header_id": "po_header_id", "supplier_part_auxid": "contrato_pai_segment1",
-            "max_contract_lead_time": "max_contract_lead_time"})
-        x = x.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left")
         lead = F.when(on_contract, c("catalog_lead_time")).otherwise(safe_number(c("attribute3"), "double"))
         max_lead = F.when(on_contract, c("max_contract_lead_time"))
     else:

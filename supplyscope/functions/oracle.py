@@ -96,9 +96,11 @@ def day_range(c: ColumnLike, start: str | _dt.date, end: str | _dt.date) -> Colu
     literal BETWEEN would lose, and is a plain range predicate the parquet reader
     can push down.
     """
-    lo = _dt.datetime.combine(parse_report_date(start), _dt.time())
-    hi = _dt.datetime.combine(parse_report_date(end) + _dt.timedelta(days=1), _dt.time())
+    lo = parse_report_date(start).isoformat() + " 00:00:00"
+    hi = (parse_report_date(end) + _dt.timedelta(days=1)).isoformat() + " 00:00:00"
     col = _col(c)
+    # text literals cast to a zone-less timestamp: the bounds do not depend on the
+    # session or machine time zone
     return (col >= F.lit(lo).cast("timestamp_ntz")) & (col < F.lit(hi).cast("timestamp_ntz"))
 
 

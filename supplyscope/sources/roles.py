@@ -474,6 +474,11 @@ def materialize_roles(spark: SparkSession, sf_dir: str, out_dir: str) -> LazyTab
     t = role_tables(spark, sf_dir)
     for name in REPORT_ROLES:
         t[name].write.mode("overwrite").parquet(f"{out_dir}/{name}")
+    return stored_roles(spark, out_dir)
+
+
+def stored_roles(spark: SparkSession, out_dir: str) -> LazyTables:
+    """The role tables written by ``materialize_roles``."""
     stored = parquet_tables(spark, out_dir, REPORT_ROLES)
     builders = {n: (lambda n=n: stored[n]) for n in REPORT_ROLES}
     builders.update({a: (lambda a=a: stored[ALIASES[a]]) for a in ALIASES})

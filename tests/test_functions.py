@@ -97,3 +97,16 @@ def test_effective_date_modes(spark):
 def test_code_text_number_vs_text(spark):
     rows = [(1,), (None,)]
     assert one(spark, O.code_text("n"), rows, "n long") == ["1", None]
+
+
+def test_day_range_independent_of_session_time_zone(spark):
+    rows = [(dt.datetime(1996, 1, 1, 0, 0, 0),), (dt.datetime(1995, 12, 31, 23, 0, 0),)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["UTC", "America/Sao_Paulo", "Asia/Tokyo"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got = [r[0] for r in df.select(O.day_range("ts", "01/01/1996", "31/12/1996")).collect()]
+            assert got == [True, False], tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

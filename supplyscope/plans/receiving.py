@@ -153,7 +153,10 @@ def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = N
           .join(rrh_item, code_text(c("roteiro_item_id")) == c("rrh_item_code"), "left")
           .join(awt, c("awt_group_id") == c("awt_group"), "left"))
     b = recommended_action(diagnosis_status(link_flags(b)))
-    out = b.select(*OUTPUT)
     if sort:
-        out = out.orderBy(c("ri").asc_nulls_last(), c("invoice_line_id").asc_nulls_last())
-    return out
+        # the source orders by operation and invoice line; the delivery transaction
+        # only breaks ties the source leaves open, so range partitioning can split
+        # a line that fans out over many deliveries
+        b = b.orderBy(c("ri").asc_nulls_last(), c("invoice_line_id").asc_nulls_last(),
+                      c("transaction_id").asc_nulls_last())
+    return b.select(*OUTPUT)

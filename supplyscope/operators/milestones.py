@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supplyscope.functions.oracle import digits_to_number, oracle_concat
-from supplyscope.operators.lookups import effective_rows, first_row
+from supplyscope.operators.lookups import effective_rows
 
 
 def receipt_milestones(transactions: DataFrame, shipment_headers: DataFrame) -> DataFrame:
@@ -103,14 +103,12 @@ def approver_columns(last: DataFrame, people: DataFrame, as_of) -> DataFrame:
     outer join history → active people, so ``'-'`` when the person is not active.
     Objects without approval history get no row (both NULL after the left join).
     """
-    active = effective_rows(people, as_of, "end_only")
-    names = first_row(active, ["person_id"], ["last_name"]).withColumnRenamed("last_name", "aprovador")
-    labels = first_row(
-        active.select("person_id", oracle_concat("attribute7", "attribute8", F.lit("-"), "last_name").alias("label")),
-        ["person_id"], ["label"])
-    j = (last.select("object_id", "employee_id")
-         .join(names, F.col("employee_id") == names.person_id, "left").drop("person_id")
-         .join(labels, F.col("employee_id") == labels.person_id, "left").drop("person_id"))
+    # name and label come from the same active rows: one aggregate per person
+    active = (effective_rows(people, as_of, "end_only")
+              .groupBy("person_id")
+              .agg(F.min("last_name").alias("aprovador"),
+                   F.min(oracle_concat("attribute7", "attribute8", F.lit("-"), "last_name")).alias("label")))
+    j = last.select("object_id", "employee_id").join(active, F.col("employee_id") == active.person_id, "left")
     return j.select("object_id", "aprovador",
                     F.coalesce(F.col("label"), F.lit("-")).alias("aprovador_detalhe"))
 

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from supplyscope.functions.oracle import (blank, code_text, day_range, oracle_concat, safe_number, strip_controls,
                                           substr_from, to_char, typed_null)
-from supplyscope.operators.contracts import catalog_lead_times, contract_lead_time, max_contract_lead_time
+from supplyscope.operators.contracts import (catalog_lead_times, contract_lead_time, delivery_lead_time,
+                                             max_contract_lead_time)
 from supplyscope.operators.links import valid_receipts, without_requisition
 from supplyscope.operators.lookups import assert_unique, first_row, lookup_values, person_names
 from supplyscope.operators.milestones import (approver_columns, has_category_line, invoiced_quantity, last_action,
@@ -341,7 +342,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
 
     is_rel = c("is_release")
     if std_on:
-        lead = F.when(on_contract, c("catalog_lead_time")).otherwise(safe_number(c("attribute3"), "double"))
+        lead = delivery_lead_time(c("type_lookup_code") == "STANDARD", c("contract_id"), c("catalog_lead_time"),
+                                  c("attribute3"))
         max_lead = F.when(on_contract, c("max_contract_lead_time"))
     else:
         # the STANDARD arms cannot hold for BLANKET / PLANNED: no catalogue joins

@@ -81,8 +81,14 @@ def q_receiving_action(spark, sf_dir):
     return recommended_action(b).select(*BASE_KEYS, "sugestao_acao")
 
 
+# the receiving report's raw date columns, shown in the display format for the
+# registered query (the library function returns them as timestamps)
+RI_DATES = ["receive_date", "gl_date", "invoice_date", "data_criacao_oc"]
+
+
 def q_receiving_report(spark, sf_dir):
-    return receiving_diagnosis(_t(spark, sf_dir))
+    df = receiving_diagnosis(_t(spark, sf_dir))
+    return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
 
 
 def q_hold_count(spark, sf_dir):
@@ -144,7 +150,8 @@ def q_buyer_effective(spark, sf_dir):
 def q_person_end_only(spark, sf_dir):
     t = _t(spark, sf_dir)
     return effective_rows(t["per_all_people_f"], AS_OF, "end_only").select(
-        "person_id", "last_name", "effective_start_date", "effective_end_date")
+        "person_id", "last_name", F.date_format("effective_start_date", "dd/MM/yyyy").alias("effective_start_date"),
+        F.date_format("effective_end_date", "dd/MM/yyyy").alias("effective_end_date"))
 
 
 def q_has_service_line(spark, sf_dir):

@@ -63,3 +63,19 @@ def compare(df, con, sql: str, max_show: int = 5) -> dict:
         res["only_spark"] = [dict(zip(order, r)) for r in list(sa - sb)[:max_show]]
         res["only_oracle"] = [dict(zip(order, r)) for r in list(sb - sa)[:max_show]]
     return res
+
+
+def pandas_rows(pdf) -> list[str]:
+    """Rows of a pandas frame as text, columns in name order, NULL/NaN as one token —
+    the view a hash over ``toPandas()`` / DuckDB ``.df()`` output would take."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf[sorted(pdf.columns)]
+
+    def cell(v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
+            return "<null>"
+        return str(v)
+
+    return sorted("|".join(cell(v) for v in r) for r in pdf.itertuples(index=False))

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF0001
-from tests.oracle_compare import compare, duck
+from tests.oracle_compare import compare, duck, pandas_rows
 
 QUERIES = E.queries()
 SQL = E.oracle_sql()
@@ -22,8 +22,11 @@ def test_every_query_has_oracle_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    r = compare(QUERIES[name](spark, SF0001), con, SQL[name])
+    df = QUERIES[name](spark, SF0001)
+    r = compare(df, con, SQL[name])
     assert r["ok"], r
+    # and as pandas frames (types included), the form a value hash is likely taken on
+    assert pandas_rows(df.toPandas()) == pandas_rows(con.execute(SQL[name]).df())
 
 
 def test_entry_has_rows(spark):

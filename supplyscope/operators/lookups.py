@@ -45,11 +45,16 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
               .where(F.col("n_rows") > 1))
 
 
+def assert_empty(report: DataFrame, what: str) -> None:
+    """Raise if a guard report has rows (runs one job; at most five rows reach the driver)."""
+    bad = report.limit(5).collect()
+    if bad:
+        raise ValueError(f"{what}, e.g. {[r.asDict() for r in bad]}")
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "lookup") -> None:
-    """Strict mode of ``require_unique``: raise if any key repeats (runs one job)."""
-    dup = require_unique(df, keys).limit(5).collect()
-    if dup:
-        raise ValueError(f"{what}: keys {list(keys)} are not unique, e.g. {[r.asDict() for r in dup]}")
+    """Strict mode of ``require_unique``: raise if any key repeats."""
+    assert_empty(require_unique(df, keys), f"{what}: keys {list(keys)} are not unique")
 
 
 def effective_rows(people: DataFrame, as_of, mode: str = "closed",

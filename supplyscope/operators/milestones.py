@@ -121,3 +121,18 @@ def has_category_line(lines: DataFrame, categories: DataFrame, codes: Sequence[s
     cats = categories.where(F.col("segment1").isin(*codes)).select("category_id")
     return (live.join(cats, "category_id", "left_semi").select("po_header_id").distinct()
             .withColumn("rc_tem_linha_servico", F.lit("Sim")))
+
+
+def approval_conflicts(history: DataFrame, action: str = "APPROVE",
+                       object_types: Sequence[str] = ("PA", "PO")) -> DataFrame:
+    """Objects whose latest ``action`` is ambiguous: the rows at the maximum
+    sequence of each type name more than one employee (two types, or two rows at
+    one sequence).  The source raises ORA-01427 there; ``last_action`` picks by its
+    total order.  This is the uniqueness report for that choice.
+    Returns ``(object_id, n_employees)``.
+    """
+    rows = history.where((F.col("action_code") == action) & F.col("object_type_code").isin(*object_types))
+    top = rows.groupBy("object_id", "object_type_code").agg(F.max("sequence_num").alias("sequence_num"))
+    at_top = rows.join(top, ["object_id", "object_type_code", "sequence_num"], "left_semi")
+    return (at_top.groupBy("object_id").agg(F.countDistinct("employee_id").alias("n_employees"))
+            .where(F.col("n_employees") > 1))

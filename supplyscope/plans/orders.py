@@ -30,9 +30,9 @@ from supplyscope.functions.oracle import (blank, code_text, day_range, oracle_co
 from supplyscope.operators.contracts import (catalog_lead_times, contract_lead_time, delivery_lead_time,
                                              max_contract_lead_time)
 from supplyscope.operators.links import valid_receipts, without_requisition
-from supplyscope.operators.lookups import assert_unique, first_row, lookup_values, person_names
-from supplyscope.operators.milestones import (approver_columns, has_category_line, invoiced_quantity, last_action,
-                                              receipt_milestones)
+from supplyscope.operators.lookups import assert_empty, assert_unique, first_row, lookup_values, person_names
+from supplyscope.operators.milestones import (approval_conflicts, approver_columns, has_category_line,
+                                              invoiced_quantity, last_action, receipt_milestones)
 from supplyscope.operators.rules import document_type, tax_id
 
 # Output columns in report order, with the report's display labels.
@@ -219,6 +219,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         assert_unique(msi_src, ["item_id", "ship_to_organization_id"], "item")
         assert_unique(ood_src, ["ship_to_organization_id"], "organisation")
         assert_unique(contract_src, ["contract_id"], "contract header")
+        for types in ([STANDARD_APPROVER_TYPES] if std_on else []) + ([RELEASE_APPROVER_TYPES] if rel_on else []):
+            assert_empty(approval_conflicts(t["po_action_history"], "APPROVE", types),
+                         f"ambiguous last {'/'.join(types)} approval")
 
     # ---- header grain: vendor, site, operating unit, buyer, service-line flag, approver
     h = _headers(t, start, end, kind)

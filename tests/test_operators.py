@@ -166,3 +166,24 @@ def test_first_row_is_deterministic_and_unique(spark):
     assert rows(first_row(df, ["k"], ["v", "w"]), "k", "v", "w") == [(1, "a", 9), (2, "z", 1)]
     assert rows(require_unique(df, ["k"]), "k", "n_rows") == [(1, 2)]
     assert require_unique(first_row(df, ["k"], ["v"]), ["k"]).count() == 0
+
+
+def test_approval_conflicts_reports_what_the_source_would_reject(spark):
+    from supplyscope.operators.milestones import approval_conflicts
+    hist = frame(spark, "po_action_history", [
+        # object 1: PA and PO approvals by different people -> ambiguous
+        {"object_id": 1, "object_type_code": "PA", "action_code": "APPROVE", "sequence_num": 3, "employee_id": 7},
+        {"object_id": 1, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 5, "employee_id": 8},
+        # object 2: two rows at the top sequence, different people -> ambiguous
+        {"object_id": 2, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 4, "employee_id": 7},
+        {"object_id": 2, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 4, "employee_id": 9},
+        # object 3: an older approval by someone else does not count
+        {"object_id": 3, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 1, "employee_id": 7},
+        {"object_id": 3, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 2, "employee_id": 9},
+        # object 4: same person on both types -> one employee, not ambiguous
+        {"object_id": 4, "object_type_code": "PA", "action_code": "APPROVE", "sequence_num": 1, "employee_id": 7},
+        {"object_id": 4, "object_type_code": "PO", "action_code": "APPROVE", "sequence_num": 2, "employee_id": 7},
+    ])
+    assert rows(approval_conflicts(hist), "object_id", "n_employees") == [(1, 2), (2, 2)]
+    # the choice made instead: newest sequence, then type, then employee
+    assert rows(last_action(hist), "object_id", "employee_id") == [(1, 8), (2, 7), (3, 9), (4, 7)]

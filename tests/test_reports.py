@@ -229,3 +229,8 @@ def test_receiving_skew_safe_equals_plain(ebs):
     a = sorted(map(tuple, receiving_diagnosis(t, sort=False).collect()), key=repr)
     b = sorted(map(tuple, receiving_diagnosis(t, sort=False, skew_safe=False).collect()), key=repr)
     assert a == b
+
+
+def test_po_strict_mode_passes_on_clean_tables(ebs):
+    t = po_tables(ebs)
+    assert po_without_requisition_report(t, "01/01/1997", "31/12/1997", AS_OF, strict=True).count() == 4

@@ -128,20 +128,57 @@ def receiving_lines(t: Mapping[str, DataFrame], skew_safe: bool = True) -> DataF
     return base
 
 
+def scope_to_operations(t: Mapping[str, DataFrame], operations: DataFrame) -> dict[str, DataFrame]:
+    """The tables restricted to what ``operations`` (rows of
+    ``cll_f189_entry_operations``) can reach: their invoices, those invoices' lines
+    and holds, the shipments, deliveries and items of those lines.
+
+    Each step is a semi join whose scoping side is derived from the few operations,
+    so it is broadcast-sized: the large tables are filtered while scanned instead
+    of being joined and shuffled whole for a report on a handful of operations.
+    """
+    c = F.col
+    out = dict(t)
+    out["cll_f189_entry_operations"] = operations
+    op_keys = operations.select("operation_id", "organization_id").distinct()
+    inv = t["cll_f189_invoices"].join(op_keys, ["operation_id", "organization_id"], "left_semi")
+    out["cll_f189_invoices"] = inv
+    inv_ids = inv.select("invoice_id").distinct()
+    lines = t["cll_f189_invoice_lines"].join(inv_ids, "invoice_id", "left_semi")
+    out["cll_f189_invoice_lines"] = lines
+    out["cll_f189_holds"] = t["cll_f189_holds"].join(inv_ids, "invoice_id", "left_semi")
+    locs = lines.select("line_location_id").where(c("line_location_id").isNotNull()).distinct()
+    out["po_line_locations_all"] = t["po_line_locations_all"].join(locs, "line_location_id", "left_semi")
+    out["rcv_transactions"] = t["rcv_transactions"].join(
+        locs.withColumnRenamed("line_location_id", "po_line_location_id"), "po_line_location_id", "left_semi")
+    items = lines.select(c("item_id").alias("inventory_item_id")).where(c("inventory_item_id").isNotNull()).distinct()
+    out["mtl_system_items"] = t["mtl_system_items"].join(items, "inventory_item_id", "left_semi")
+    return out
+
+
 def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = None, language: str = "PTB",
                         sort: bool = True, skew_safe: bool = True) -> DataFrame:
     """The 44-column diagnosis.
 
     ``ri``: one operation id or a list (``None`` = all); ``org``: organisation
-    code (``None`` = all).  Both filters are pushed by Catalyst through the left
-    joins to the operation scan, and (by the inferred equalities) to the invoice
-    side.  ``sort``: order by operation and invoice line, NULLs last.
+    code (``None`` = all).  With either, every table is first restricted to what
+    those operations reach (``scope_to_operations``), so a report on one
+    operation does not join the whole invoice-line and shipment tables.
+    ``sort``: order by operation and invoice line, NULLs last.
     """
     c = F.col
+    ids = None if ri is None else [int(i) for i in ([ri] if isinstance(ri, (int, str)) else ri)]
+    if ids is not None or org is not None:
+        ops = t["cll_f189_entry_operations"]
+        if ids is not None:
+            ops = ops.where(c("operation_id").isin(*ids))
+        if org is not None:
+            orgs = t["mtl_parameters"].where(c("organization_code") == org).select("organization_id")
+            ops = ops.join(orgs, "organization_id", "left_semi")
+        t = scope_to_operations(t, ops)
     b = receiving_lines(t, skew_safe)
-    if ri is not None:
-        ids = [ri] if isinstance(ri, (int, str)) else list(ri)
-        b = b.where(c("ri").isin(*[int(i) for i in ids]))
+    if ids is not None:
+        b = b.where(c("ri").isin(*ids))
     if org is not None:
         b = b.where(c("org") == org)
     rrh = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from supplyscope.plans.receiving import receiving_diagnosis
+from supplyscope.plans.receiving import receiving_diagnosis, scope_to_operations
 from supplyscope.session import ensure_checkpoint_dir
 from supplyscope.sources.schemas import schema
 
@@ -42,9 +42,9 @@ def diagnose_stream(spark: SparkSession, operations: DataFrame, tables: Mapping[
     checkpoint = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/receiving-diagnosis-stream"
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        current = dict(tables)
-        current["cll_f189_entry_operations"] = batch
-        out = receiving_diagnosis(current, language=language, sort=False)
+        # the batch's operations drive the plan; every other table is first cut to
+        # what they reach, so a batch costs in proportion to its operations
+        out = receiving_diagnosis(scope_to_operations(tables, batch), language=language, sort=False)
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     writer = operations.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)

@@ -234,3 +234,19 @@ def test_receiving_skew_safe_equals_plain(ebs):
 def test_po_strict_mode_passes_on_clean_tables(ebs):
     t = po_tables(ebs)
     assert po_without_requisition_report(t, "01/01/1997", "31/12/1997", AS_OF, strict=True).count() == 4
+
+
+def test_scoped_report_equals_filtered_full_report(spark):
+    from supplyscope.sources.roles import role_tables
+    from tests.conftest import SF0001
+    t = role_tables(spark, SF0001)
+    ids = [1, 2, 3, 5, 35, 70, 700]
+    full = receiving_diagnosis(t, sort=False).where(f"ri IN ({','.join(map(str, ids))})")
+    scoped = receiving_diagnosis(t, ri=ids, sort=False)
+    key = repr
+    assert sorted(map(tuple, scoped.collect()), key=key) == sorted(map(tuple, full.collect()), key=key)
+    assert scoped.count() > len(ids)
+    org = t["mtl_parameters"].first()["organization_code"]
+    a = receiving_diagnosis(t, org=org, sort=False)
+    b = receiving_diagnosis(t, sort=False).where(f"org = '{org}'")
+    assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.collect()), key=key)

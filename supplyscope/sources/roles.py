@@ -7,6 +7,11 @@ joins and group-bys), so the size of every role grows with the scale factor.
 The identical mapping is written as DuckDB SQL in ``roles_sql.py``; keep the two
 in step.
 
+The few modulo rules below (e.g. no invoice for every 7th order, a NULL purchase
+order on every 11th shipment, a reversed operation on every 17th) drop or blank a
+small share of rows only to create the missing links and NULL paths the reports
+exist to diagnose; the test tables have none.  They never shrink the work.
+
 Mapping (all keys are derived, nothing is sampled):
 
 * purchase order header = order; lines and shipments = lineitem grouped by

@@ -41,3 +41,27 @@ def test_unique_lookup_keeps_row_count(spark, rows):
     dedup = first_row(lk, ["k"], ["v"])
     assert require_unique(dedup, ["k"]).count() == 0
     assert probe.join(dedup, "k", "left").count() == probe.count()
+
+
+def test_branches_disjoint_and_ladders_total(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from supplyscope.plans.orders import po_without_requisition
+    from supplyscope.plans.receiving import receiving_diagnosis
+    from supplyscope.sources.roles import role_tables
+    from tests.conftest import SF0001
+
+    t = role_tables(spark, SF0001)
+    std = po_without_requisition(t, "01/01/1990", "31/12/2030", dt.date(1996, 6, 1), "STANDARD")
+    rel = po_without_requisition(t, "01/01/1990", "31/12/2030", dt.date(1996, 6, 1), "RELEASE")
+    std_types = {r[0] for r in std.select("tipo_documento").distinct().collect()}
+    rel_types = {r[0] for r in rel.select("tipo_documento").distinct().collect()}
+    assert std_types and rel_types and not (std_types & rel_types)
+    assert all(x.startswith("STANDARD") for x in std_types) and rel_types <= {"BLANKET", "PLANNED"}
+    ri = receiving_diagnosis(t, sort=False)
+    cols = ["status_analitico", "sugestao_acao", "flag_recebimento", "flag_oc", "flag_item_ativo",
+            "flag_precisa_oc", "flag_hold"]
+    nulls = ri.select(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
+    assert all(v == 0 for v in nulls.values()), nulls

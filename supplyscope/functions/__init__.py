@@ -2,6 +2,7 @@ from supplyscope.functions.oracle import (  # noqa: F401
     DISPLAY_FORMAT,
     as_of_day,
     blank,
+    code_number,
     code_text,
     day_range,
     decode_number,

@@ -128,10 +128,20 @@ def ends_after(end: ColumnLike, as_of) -> Column:
 
 
 def code_text(c: ColumnLike) -> Column:
-    """Number compared with a text lookup code: cast the number side to text."""
+    """A number shown as lookup-code text."""
     return _col(c).cast("string")
 
 
+def code_number(code: ColumnLike) -> Column:
+    """A text lookup code as the number Oracle compares it as (``'01'`` → 1).
+
+    Where the source compares a numeric id with a text code, Oracle converts the
+    text side; codes that are not numbers match nothing here instead of failing.
+    Use as an equi-join key: ``number_col == code_number(code_col)``.
+    """
+    return safe_number(code, "decimal(38,10)")
+
+
 def blank() -> Column:
     """The reports' ``' '`` placeholder column."""
     return F.lit(" ")

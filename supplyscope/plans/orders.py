@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.functions.oracle import (blank, code_text, day_range, oracle_concat, safe_number, strip_controls,
+from supplyscope.functions.oracle import (blank, code_number, day_range, oracle_concat, safe_number, strip_controls,
                                           substr_from, to_char, typed_null)
 from supplyscope.operators.contracts import (catalog_lead_times, contract_lead_time, delivery_lead_time,
                                              max_contract_lead_time)
@@ -297,7 +297,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         sx = sx.join(items, keys_item, "left")
         sx = sx.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
                      "ship_to_organization_id", "left")
-        return sx.join(rrh, code_text(c("receiving_routing_id")) == c("rrh_code"), "left")
+        return sx.join(rrh, c("receiving_routing_id") == code_number(c("rrh_code")), "left")
 
     # ---- shipments without requisition, partitioned on the shipment key by the anti join
     x = approved_shipments(t, start, end, kind, headers=h, releases=rel,

@@ -24,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.functions.oracle import code_text
+from supplyscope.functions.oracle import code_number
 from supplyscope.operators.lookups import left_join_split, lookup_values
 from supplyscope.operators.milestones import hold_counts
 from supplyscope.operators.rules import diagnosis_status, link_flags, recommended_action
@@ -186,8 +186,8 @@ def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = N
     rrh_item = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),
                        {"lookup_code": "rrh_item_code", "meaning": "roteiro_item"})
     awt = _rename(t["ap_awt_groups"], {"group_id": "awt_group", "name": "grupo_retencao"})
-    b = (b.join(rrh, code_text(c("roteiro_po_id")) == c("rrh_code"), "left")
-          .join(rrh_item, code_text(c("roteiro_item_id")) == c("rrh_item_code"), "left")
+    b = (b.join(rrh, c("roteiro_po_id") == code_number(c("rrh_code")), "left")
+          .join(rrh_item, c("roteiro_item_id") == code_number(c("rrh_item_code")), "left")
           .join(awt, c("awt_group_id") == c("awt_group"), "left"))
     b = recommended_action(diagnosis_status(link_flags(b)))
     if sort:

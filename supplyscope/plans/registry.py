@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyscope.functions.oracle import (day_range, digits_to_number, oracle_concat, strip_controls, substr_from,
+from supplyscope.functions.oracle import (code_number, day_range, digits_to_number, oracle_concat, strip_controls, substr_from,
                                           to_char)
 from supplyscope.operators.contracts import catalog_lead_times, contract_lead_time, max_contract_lead_time
 from supplyscope.operators.links import valid_receipts, with_requisition, without_requisition
@@ -219,8 +219,8 @@ def q_routing_meaning(spark, sf_dir):
         c("lookup_code").alias("rrh_code"), c("meaning").alias("roteiro_po"))
     rrh_item = lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS").select(
         c("lookup_code").alias("rrh_item_code"), c("meaning").alias("roteiro_item"))
-    b = (b.join(rrh, c("roteiro_po_id").cast("string") == c("rrh_code"), "left")
-          .join(rrh_item, c("roteiro_item_id").cast("string") == c("rrh_item_code"), "left"))
+    b = (b.join(rrh, c("roteiro_po_id") == code_number(c("rrh_code")), "left")
+          .join(rrh_item, c("roteiro_item_id") == code_number(c("rrh_item_code")), "left"))
     return b.select(*BASE_KEYS, "roteiro_po", "roteiro_item")
 
 

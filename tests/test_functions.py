@@ -110,3 +110,11 @@ def test_day_range_independent_of_session_time_zone(spark):
             assert got == [True, False], tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_code_number_matches_like_oracle(spark):
+    codes = spark.createDataFrame([("01", "a"), (" 2", "b"), ("1.0", "c"), ("X1", "d"), (None, "e")],
+                                  "lookup_code string, meaning string")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "routing long")
+    got = ids.join(codes, ids.routing == O.code_number(codes.lookup_code), "left").select("routing", "meaning")
+    assert sorted((r[0], r[1]) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "b"), (3, None)]

@@ -51,9 +51,16 @@ def digits_to_number(c: ColumnLike) -> Column:
     return F.when(t.rlike("^[0-9]+$"), t.try_cast("long"))
 
 
-def safe_number(c: ColumnLike, type_: str = "double") -> Column:
-    """``TO_NUMBER`` that yields NULL on malformed text instead of failing the job."""
-    return F.trim(_col(c)).try_cast(type_)
+def safe_number(c: ColumnLike, type_: str = "double", decimal_comma: bool = False) -> Column:
+    """``TO_NUMBER`` that yields NULL on malformed text instead of failing the job.
+
+    ``decimal_comma``: read the text as a pt-BR session would (``'1.234,5'`` →
+    1234.5): dots are group separators, the comma is the decimal point.
+    """
+    t = F.trim(_col(c))
+    if decimal_comma:
+        t = F.translate(F.translate(t, ".", ""), ",", ".")
+    return t.try_cast(type_)
 
 
 def decode_number(c: ColumnLike, cases: Mapping[int, Column], default: Column | None = None) -> Column:

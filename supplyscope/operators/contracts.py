@@ -39,10 +39,12 @@ def contract_lead_time(rows: DataFrame, catalog: DataFrame, *, contract_number:
     return rows.join(cat, [contract_number, vendor_name, part_number], "left")
 
 
-def delivery_lead_time(is_standard: Column, contract_id: Column, catalog_lead: Column, attribute3: Column) -> Column:
+def delivery_lead_time(is_standard: Column, contract_id: Column, catalog_lead: Column, attribute3: Column,
+                       decimal_comma: bool = False) -> Column:
     """``PRAZO DE ENTREGA``: catalogue lead time for a STANDARD line on a contract,
     else the line's own numeric ``attribute3`` (malformed text → NULL)."""
-    return F.when(is_standard & contract_id.isNotNull(), catalog_lead).otherwise(safe_number(attribute3, "double"))
+    return F.when(is_standard & contract_id.isNotNull(), catalog_lead).otherwise(
+        safe_number(attribute3, "double", decimal_comma))
 
 
 def max_contract_lead_time(needed: DataFrame, lines: DataFrame, catalog: DataFrame) -> DataFrame:

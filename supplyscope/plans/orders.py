@@ -186,7 +186,7 @@ def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STAN
 
 
 def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind: str = "STANDARD",
-                           language: str = "PTB", strict: bool = False) -> DataFrame:
+                           language: str = "PTB", strict: bool = False, decimal_comma: bool = False) -> DataFrame:
     """The report (62 columns, DISTINCT rows) for ``kind`` = ``STANDARD``,
     ``RELEASE`` (BLANKET / PLANNED through releases) or ``ALL`` (both, one pass).
 
@@ -195,6 +195,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     validity); explicit so results are reproducible.
     ``strict``: first check that every scalar lookup is unique (raises otherwise),
     which the source database enforced at run time.
+    ``decimal_comma``: read the lines' text lead times (``attribute3``) with a
+    decimal comma, as a pt-BR database session does.
 
     Both families read the same lines and shipments, so ``ALL`` evaluates them in
     one pass with an ``is_release`` discriminator instead of two plans and a
@@ -219,6 +221,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         assert_unique(msi_src, ["item_id", "ship_to_organization_id"], "item")
         assert_unique(ood_src, ["ship_to_organization_id"], "organisation")
         assert_unique(contract_src, ["contract_id"], "contract header")
+        assert_unique(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language), ["lookup_code"],
+                      "item type lookup")
         for types in ([STANDARD_APPROVER_TYPES] if std_on else []) + ([RELEASE_APPROVER_TYPES] if rel_on else []):
             assert_empty(approval_conflicts(t["po_action_history"], "APPROVE", types),
                          f"ambiguous last {'/'.join(types)} approval")
@@ -346,11 +350,11 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     is_rel = c("is_release")
     if std_on:
         lead = delivery_lead_time(c("type_lookup_code") == "STANDARD", c("contract_id"), c("catalog_lead_time"),
-                                  c("attribute3"))
+                                  c("attribute3"), decimal_comma)
         max_lead = F.when(on_contract, c("max_contract_lead_time"))
     else:
         # the STANDARD arms cannot hold for BLANKET / PLANNED: no catalogue joins
-        lead = safe_number(c("attribute3"), "double")
+        lead = safe_number(c("attribute3"), "double", decimal_comma)
         max_lead = typed_null("double")
     doc_type = document_type(c("type_lookup_code"), c("contract_num"))
     approved = F.when(is_rel, c("release_approved_date")).otherwise(c("approved_date"))
@@ -426,9 +430,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
 
 
 def po_without_requisition_report(t: Mapping[str, DataFrame], start, end, as_of, language: str = "PTB",
-                                  strict: bool = False) -> DataFrame:
+                                  strict: bool = False, decimal_comma: bool = False) -> DataFrame:
     """Both families (the source's two branches and their ``UNION ALL``), in one pass."""
-    return po_without_requisition(t, start, end, as_of, "ALL", language, strict)
+    return po_without_requisition(t, start, end, as_of, "ALL", language, strict, decimal_comma)
 
 
 def with_display_labels(df: DataFrame) -> DataFrame:

@@ -118,3 +118,9 @@ def test_code_number_matches_like_oracle(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "routing long")
     got = ids.join(codes, ids.routing == O.code_number(codes.lookup_code), "left").select("routing", "meaning")
     assert sorted((r[0], r[1]) for r in got.collect()) == [(1, "a"), (1, "c"), (2, "b"), (3, None)]
+
+
+def test_safe_number_decimal_comma(spark):
+    rows = [("3,5",), ("1.234,5",), ("12",), ("abc",)]
+    assert one(spark, O.safe_number("s", decimal_comma=True), rows, "s string") == [3.5, 1234.5, 12.0, None]
+    assert one(spark, O.safe_number("s"), rows, "s string")[2:] == [12.0, None]

@@ -250,3 +250,14 @@ def test_scoped_report_equals_filtered_full_report(spark):
     a = receiving_diagnosis(t, org=org, sort=False)
     b = receiving_diagnosis(t, sort=False).where(f"org = '{org}'")
     assert sorted(map(tuple, a.collect()), key=key) == sorted(map(tuple, b.collect()), key=key)
+
+
+def test_po_decimal_comma_lead_time(ebs):
+    t = dict(po_tables(ebs))
+    from pyspark.sql import functions as F
+    t["po_lines_all"] = t["po_lines_all"].withColumn(
+        "attribute3", F.when(F.col("po_line_id") == 21, F.lit("7,5")).otherwise(F.col("attribute3")))
+    rel = po_without_requisition(t, "01/01/1997", "31/12/1997", AS_OF, "RELEASE", decimal_comma=True).collect()
+    assert [r["prazo_de_entrega"] for r in rel] == [7.5]
+    plain = po_without_requisition(t, "01/01/1997", "31/12/1997", AS_OF, "RELEASE").collect()
+    assert [r["prazo_de_entrega"] for r in plain] == [None]

@@ -264,14 +264,24 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
     cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
     on_contract = (c("type_lookup_code") == "STANDARD") & c("contract_id").isNotNull()
-    catalog = (catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
-               if std_on else None)
+    # lookups scoped to what the in-range lines reference (contracts, items), so a
+    # narrow report does not aggregate whole header, item and catalogue tables
+    contract_ids = scoped_lines.select("contract_id").where(c("contract_id").isNotNull()).distinct()
+    contracts = first_row(contract_src.join(contract_ids, "contract_id", "left_semi"),
+                          ["contract_id"], ["contrato_pai_segment1"])
+    item_ids = scoped_lines.select("item_id").where(c("item_id").isNotNull()).distinct()
+    msi_scoped = msi_src.join(item_ids, "item_id", "left_semi")
+    catalog = None
+    if std_on:
+        contract_nos = contracts.select(c("contrato_pai_segment1").alias("supplier_part_auxid")).distinct()
+        catalog = catalog_lead_times(t["icx_cat_items_b"].join(contract_nos, "supplier_part_auxid", "left_semi"),
+                                     t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
 
     def line_stage(lx: DataFrame) -> DataFrame:
         # line grain (before shipments and distributions multiply the rows):
         # category filter, parent contract, catalogue lead times
         lx = lx.join(cats, "category_id", "inner")
-        lx = lx.join(first_row(contract_src, ["contract_id"], ["contrato_pai_segment1"]), "contract_id", "left")
+        lx = lx.join(contracts, "contract_id", "left")
         if catalog is None:
             return lx
         lx = contract_lead_time(lx.withColumn("part_number", c("vendor_product_num")), catalog)
@@ -288,7 +298,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     item_types = _rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
                          {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"})
     # item code and item-type text share the (item, organisation) key: one aggregate
-    items = (msi_src.select(*keys_item, "cd_item_req_linha", "msi_item_type")
+    items = (msi_scoped.select(*keys_item, "cd_item_req_linha", "msi_item_type")
              .join(item_types, "msi_item_type", "left")
              .groupBy(*keys_item)
              .agg(F.min("cd_item_req_linha").alias("cd_item_req_linha"),

@@ -313,8 +313,15 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
                      "ship_to_organization_id", "left")
         return sx.join(rrh, c("receiving_routing_id") == code_number(c("rrh_code")), "left")
 
+    # late materialisation: only the header columns the plan's logic reads travel
+    # through the shipment-grain shuffles; the display attributes (vendor site,
+    # buyer, approver, status, …) are joined once, at the end
+    core_cols = ["po_header_id", "type_lookup_code", "is_release", "razao_social_fornecedor"]
+    h_core = h.select(*core_cols)
+    h_attrs = h.drop(*core_cols[1:])
+
     # ---- shipments without requisition, partitioned on the shipment key by the anti join
-    x = approved_shipments(t, start, end, kind, headers=h, releases=rel,
+    x = approved_shipments(t, start, end, kind, headers=h_core, releases=rel,
                            line_stage=line_stage, shipment_stage=shipment_stage)
     # shipments in the report: the semi joins below restrict the receipt-side
     # tables to them without reshuffling this side
@@ -357,6 +364,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         "deliver_quantity": "qt_recebida_ar_linha"})
     x = x.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
 
+    x = x.join(h_attrs, "po_header_id", "inner")
+
     is_rel = c("is_release")
     if std_on:
         lead = delivery_lead_time(c("type_lookup_code") == "STANDARD", c("contract_id"), c("catalog_lead_time"),

@@ -4,18 +4,28 @@ One parametrised plan serves both document families:
 
 * ``kind="STANDARD"``: STANDARD orders, approval date of the header in range;
 * ``kind="RELEASE"``: BLANKET / PLANNED orders through their releases, approval
-  date of the release in range, approvals recorded on the release.
-
-``po_without_requisition_report`` unions the two (disjoint by document type).
-
-Plan shape: filtered headers (+ header-grain lookups) → lines → shipments
-(inner; releases for BLANKET / PLANNED) → anti join to requisition lines →
-categories, distributions, accounts (inner) → invoice / operation chain (left)
-→ post-join receipt filter → one left join per former scalar subquery, each
-pre-aggregated on its own keys → projection → DISTINCT.  ``kind="ALL"`` runs both
-families in this one plan.
-Small code tables are left to adaptive execution, which broadcasts them only
-after measuring their size at run time; everything else shuffles on its key.
+  date of the release in range, approvals recorded on the release;
+* ``kind="ALL"`` (``po_without_requisition_report``): both in one pass — the
+  source's two branches and their ``UNION ALL``, disjoint by document type.
+
+Plan shape, by grain of the join keys:
+
+1. headers: filter (type, status, range) → vendor, site, operating unit, buyer,
+   service-line flag, last approver (small, per header);
+2. lines: join the header core → category filter, parent contract, catalogue
+   lead time and maximum lead time;
+3. shipments: join lines (and in-range releases) → item, destination
+   organisation, routing → anti join to requisition lines (partitions on the
+   shipment key);
+4. distributions and the invoice-line bridge, co-partitioned on that key →
+   accounts, project → invoice ⟕ operation ⟕ type → receipt filter → receipt
+   milestones;
+5. header display attributes (late) → projection → DISTINCT.
+
+Every former scalar subquery is a pre-aggregate on its own keys, scoped to the
+in-range headers / lines / shipments.  Small code tables are left to adaptive
+execution, which broadcasts them only after measuring their size at run time;
+everything else shuffles on its key.
 """
 
 from __future__ import annotations

@@ -161,7 +161,7 @@ def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = N
     """The 44-column diagnosis.
 
     ``ri``: one operation id or a list (``None`` = all); ``org``: organisation
-    code (``None`` = all).  With either, every table is first restricted to what
+    code (``None`` = all).  With ``ri``, every table is first restricted to what
     those operations reach (``scope_to_operations``), so a report on one
     operation does not join the whole invoice-line and shipment tables.
     ``sort``: order by operation and invoice line, NULLs last.
@@ -175,7 +175,10 @@ def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = N
         if org is not None:
             orgs = t["mtl_parameters"].where(c("organization_code") == org).select("organization_id")
             ops = ops.join(orgs, "organization_id", "left_semi")
-        t = scope_to_operations(t, ops)
+        # explicit operation ids are few: cut every table to what they reach.  An
+        # organisation alone may hold a large share of the operations, where the
+        # chain of semi joins would cost more than it saves: filter only the driver.
+        t = scope_to_operations(t, ops) if ids is not None else {**dict(t), "cll_f189_entry_operations": ops}
     b = receiving_lines(t, skew_safe)
     if ids is not None:
         b = b.where(c("ri").isin(*ids))

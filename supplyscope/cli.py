@@ -36,6 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--org", help="organisation code (ri)")
     p.add_argument("--language", default="PTB")
     p.add_argument("--labels", action="store_true", help="display labels instead of column names (po)")
+    p.add_argument("--strict", action="store_true", help="fail if a scalar lookup key repeats (po)")
+    p.add_argument("--decimal-comma", action="store_true", help="read text lead times as pt-BR numbers (po)")
     a = p.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"supplyscope-{a.report}").getOrCreate()
@@ -45,7 +47,8 @@ def main(argv: list[str] | None = None) -> None:
         if not (a.start and a.end):
             p.error("po needs --start and --end")
         as_of = dt.date.fromisoformat(a.as_of) if a.as_of else dt.date.today()
-        df = po_without_requisition_report(t, a.start, a.end, as_of, a.language)
+        df = po_without_requisition_report(t, a.start, a.end, as_of, a.language, strict=a.strict,
+                                           decimal_comma=a.decimal_comma)
         if a.labels:
             df = with_display_labels(df)
     else:

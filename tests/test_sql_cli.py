@@ -30,5 +30,5 @@ def test_cli_writes_reports(spark):
     want = receiving_diagnosis(roles, ri=[1, 2]).count()
     assert spark.read.parquet(out + "/ri").count() == want > 0
     cli.main(["po", "--tables", out + "/tables", "--start", "01/01/1995", "--end", "31/12/2001",
-              "--as-of", dt.date(1996, 6, 1).isoformat(), "--labels", "--out", out + "/po"])
+              "--as-of", dt.date(1996, 6, 1).isoformat(), "--labels", "--strict", "--out", out + "/po"])
     assert "PRAZO DE ENTREGA" in spark.read.parquet(out + "/po").columns

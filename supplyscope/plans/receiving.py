@@ -55,7 +55,7 @@ def receiving_lines(t: Mapping[str, DataFrame], skew_safe: bool = True) -> DataF
     """The base relation (the source's CTE) with the columns the report uses.
 
     ``skew_safe``: write the fan-out left joins as inner + anti so adaptive
-    execution can split a hot invoice / shipment on either side (about a third
+    execution can split a hot invoice / shipment on either side (about a quarter
     more work on uniform data at sf0.1; turn off only for data known to be even).
     """
     c = F.col

@@ -65,3 +65,17 @@ def test_branches_disjoint_and_ladders_total(spark):
             "flag_precisa_oc", "flag_hold"]
     nulls = ri.select(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first().asDict()
     assert all(v == 0 for v in nulls.values()), nulls
+
+
+pairs = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.integers(0, 2))),
+                 max_size=20)
+
+
+@SETTINGS
+@given(left=pairs, right=pairs)
+def test_left_join_split_two_column_keys(spark, left, right):
+    l = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(left)], "k1 long, k2 long, x long")
+    r = spark.createDataFrame([(a, b, 100 + i) for i, (a, b) in enumerate(right)], "k1 long, k2 long, y long")
+    want = _rows(l.join(r, ["k1", "k2"], "left").select("k1", "k2", "x", "y"))
+    got = left_join_split(l, r, ["k1", "k2"], right_keys=r.select("k1", "k2")).select("k1", "k2", "x", "y")
+    assert _rows(got) == want

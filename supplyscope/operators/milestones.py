@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.functions.oracle import digits_to_number, oracle_concat
-from supplyscope.operators.lookups import effective_rows
+from supplyscope.functions.oracle import digits_to_number, ends_after, oracle_concat, valid_on
 
 
 def receipt_milestones(transactions: DataFrame, shipment_headers: DataFrame) -> DataFrame:
@@ -94,6 +93,30 @@ def last_action(history: DataFrame, action: str = "APPROVE",
                        F.col("_b.employee_id").alias("employee_id"))
 
 
+def person_attributes(people: DataFrame, as_of) -> DataFrame:
+    """``(person_id, buyer_name, active_name, active_label)`` in one pass.
+
+    ``buyer_name``: a last name among rows valid on ``as_of`` (closed interval);
+    ``active_name`` / ``active_label``: among rows with ``end > as_of``, the last
+    name and ``attribute7 || attribute8 || '-' || last_name``.  One aggregate with
+    conditional minimums replaces one filtered aggregate per use.
+    """
+    closed = valid_on("effective_start_date", "effective_end_date", as_of)
+    active = ends_after("effective_end_date", as_of)
+    label = oracle_concat("attribute7", "attribute8", F.lit("-"), "last_name")
+    return people.groupBy("person_id").agg(
+        F.min(F.when(closed, F.col("last_name"))).alias("buyer_name"),
+        F.min(F.when(active, F.col("last_name"))).alias("active_name"),
+        F.min(F.when(active, label)).alias("active_label"))
+
+
+def approvers_from(last: DataFrame, persons: DataFrame) -> DataFrame:
+    """``approver_columns`` over a ``person_attributes`` frame."""
+    j = last.select("object_id", "employee_id").join(persons, F.col("employee_id") == persons.person_id, "left")
+    return j.select("object_id", F.col("active_name").alias("aprovador"),
+                    F.coalesce(F.col("active_label"), F.lit("-")).alias("aprovador_detalhe"))
+
+
 def approver_columns(last: DataFrame, people: DataFrame, as_of) -> DataFrame:
     """``(object_id, aprovador, aprovador_detalhe)`` from the last approval.
 
@@ -103,14 +126,7 @@ def approver_columns(last: DataFrame, people: DataFrame, as_of) -> DataFrame:
     outer join history → active people, so ``'-'`` when the person is not active.
     Objects without approval history get no row (both NULL after the left join).
     """
-    # name and label come from the same active rows: one aggregate per person
-    active = (effective_rows(people, as_of, "end_only")
-              .groupBy("person_id")
-              .agg(F.min("last_name").alias("aprovador"),
-                   F.min(oracle_concat("attribute7", "attribute8", F.lit("-"), "last_name")).alias("label")))
-    j = last.select("object_id", "employee_id").join(active, F.col("employee_id") == active.person_id, "left")
-    return j.select("object_id", "aprovador",
-                    F.coalesce(F.col("label"), F.lit("-")).alias("aprovador_detalhe"))
+    return approvers_from(last, person_attributes(people, as_of))
 
 
 def has_category_line(lines: DataFrame, categories: DataFrame, codes: Sequence[str] = ("SE", "SM")) -> DataFrame:

@@ -40,9 +40,10 @@ from supplyscope.functions.oracle import (blank, code_number, day_range, oracle_
 from supplyscope.operators.contracts import (catalog_lead_times, contract_lead_time, delivery_lead_time,
                                              max_contract_lead_time)
 from supplyscope.operators.links import valid_receipts, without_requisition
-from supplyscope.operators.lookups import assert_empty, assert_unique, first_row, lookup_values, person_names
-from supplyscope.operators.milestones import (approval_conflicts, approver_columns, has_category_line,
-                                              invoiced_quantity, last_action, receipt_milestones)
+from supplyscope.operators.lookups import assert_empty, assert_unique, first_row, lookup_values
+from supplyscope.operators.milestones import (approval_conflicts, approvers_from, has_category_line,
+                                              invoiced_quantity, last_action, person_attributes,
+                                              receipt_milestones)
 from supplyscope.operators.rules import document_type, tax_id
 
 # Output columns in report order, with the report's display labels.
@@ -247,8 +248,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     pv = _rename(t["po_vendors"], {"vendor_id": "pv_vendor_id", "vendor_name": "razao_social_fornecedor"})
     h = h.join(pv, c("vendor_id") == c("pv_vendor_id"), "left")
     h = h.join(first_row(hou_src, ["org_id"], ["hou_name"]), "org_id", "left")
-    buyers = _rename(person_names(t["per_all_people_f"], as_of, "closed"),
-                     {"person_id": "agent_id", "last_name": "nome_comprador"})
+    # one pass over the people table serves the buyer and both approver lookups
+    persons = person_attributes(t["per_all_people_f"], as_of)
+    buyers = persons.select(F.col("person_id").alias("agent_id"), F.col("buyer_name").alias("nome_comprador"))
     h = h.join(buyers, "agent_id", "left")
     # the per-header aggregates only need the headers in the report's range: semi
     # joins keep a narrow date range from aggregating the whole history
@@ -256,10 +258,9 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     scoped_lines = t["po_lines_all"].join(in_scope, "po_header_id", "left_semi")
     h = h.join(has_category_line(scoped_lines, t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
     history = t["po_action_history"]
-    people = t["per_all_people_f"]
     if std_on:
         hist_h = history.join(in_scope.withColumnRenamed("po_header_id", "object_id"), "object_id", "left_semi")
-        ap_h = _rename(approver_columns(last_action(hist_h, "APPROVE", STANDARD_APPROVER_TYPES), people, as_of),
+        ap_h = _rename(approvers_from(last_action(hist_h, "APPROVE", STANDARD_APPROVER_TYPES), persons),
                        {"object_id": "ap_object", "aprovador": "h_aprovador", "aprovador_detalhe": "h_detalhe"})
         # header approvals belong to the STANDARD family only
         h = h.join(ap_h, ~c("is_release") & (c("po_header_id") == c("ap_object")), "left").drop("ap_object")
@@ -267,7 +268,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     if rel_on:
         rel = _releases(t, start, end)
         hist_r = history.join(rel.select(c("rel_id").alias("object_id")), "object_id", "left_semi")
-        ap_r = _rename(approver_columns(last_action(hist_r, "APPROVE", RELEASE_APPROVER_TYPES), people, as_of),
+        ap_r = _rename(approvers_from(last_action(hist_r, "APPROVE", RELEASE_APPROVER_TYPES), persons),
                        {"object_id": "rel_id", "aprovador": "r_aprovador", "aprovador_detalhe": "r_detalhe"})
         rel = rel.join(ap_r, "rel_id", "left")
 

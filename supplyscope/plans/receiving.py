@@ -130,8 +130,9 @@ def receiving_lines(t: Mapping[str, DataFrame], skew_safe: bool = True) -> DataF
 
 def scope_to_operations(t: Mapping[str, DataFrame], operations: DataFrame) -> dict[str, DataFrame]:
     """The tables restricted to what ``operations`` (rows of
-    ``cll_f189_entry_operations``) can reach: their invoices, those invoices' lines
-    and holds, the shipments, deliveries and items of those lines.
+    ``cll_f189_entry_operations``) can reach: their invoices and e-invoices, those
+    invoices' lines and holds, the shipments, order headers, deliveries and items
+    of those lines.
 
     Each step is a semi join whose scoping side is derived from the few operations,
     so it is broadcast-sized: the large tables are filtered while scanned instead
@@ -147,8 +148,13 @@ def scope_to_operations(t: Mapping[str, DataFrame], operations: DataFrame) -> di
     lines = t["cll_f189_invoice_lines"].join(inv_ids, "invoice_id", "left_semi")
     out["cll_f189_invoice_lines"] = lines
     out["cll_f189_holds"] = t["cll_f189_holds"].join(inv_ids, "invoice_id", "left_semi")
+    keys = inv.select(c("eletronic_invoice_key").alias("chave")).where(c("chave").isNotNull()).distinct()
+    out["nfee_header_xml"] = t["nfee_header_xml"].join(keys, "chave", "left_semi")
     locs = lines.select("line_location_id").where(c("line_location_id").isNotNull()).distinct()
-    out["po_line_locations_all"] = t["po_line_locations_all"].join(locs, "line_location_id", "left_semi")
+    pll = t["po_line_locations_all"].join(locs, "line_location_id", "left_semi")
+    out["po_line_locations_all"] = pll
+    heads = pll.select("po_header_id").where(c("po_header_id").isNotNull()).distinct()
+    out["po_headers_all"] = t["po_headers_all"].join(heads, "po_header_id", "left_semi")
     out["rcv_transactions"] = t["rcv_transactions"].join(
         locs.withColumnRenamed("line_location_id", "po_line_location_id"), "po_line_location_id", "left_semi")
     items = lines.select(c("item_id").alias("inventory_item_id")).where(c("inventory_item_id").isNotNull()).distinct()

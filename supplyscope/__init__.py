@@ -9,3 +9,7 @@ Two reports, built from DataFrame operators:
 """
 
 __version__ = "0.1.0"
+
+from supplyscope.plans.orders import po_without_requisition, po_without_requisition_report, with_display_labels  # noqa: E402,F401
+from supplyscope.plans.receiving import receiving_diagnosis, receiving_lines, scope_to_operations  # noqa: E402,F401
+from supplyscope.sources.tables import catalog_tables, parquet_tables  # noqa: E402,F401

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def for_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query whose Python workers also search this checkout for modules (on a cluster: --py-files or an installed package)."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in paths.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{paths}:{root}" if paths else root
+        return query(spark, *args, **options)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

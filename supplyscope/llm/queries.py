@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplyscope.llm.common import table, unsigned_hex
+from supplyscope.llm.common import for_workers, table, unsigned_hex
 from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
+from supplyscope.llm.token_store import write_tokens
+from supplyscope.llm.warc import read_warc, write_warc
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +24,32 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    store = write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return store.read_all(docs.select("doc_id"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_secret_scan": op3_secret_scan,
-    "op5_quality_rules": op5_quality_rules,
-    "op8_simhash": op8_simhash,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
+    op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+        r AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+               CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+        FROM r""",
+}

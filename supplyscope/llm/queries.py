@@ -12,9 +12,16 @@ from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
 from supplyscope.llm.token_store import write_tokens
+from supplyscope.llm.toxicity import held_out, score, train
 from supplyscope.llm.warc import read_warc, write_warc
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,7 +49,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
+    op1_toxicity, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplyscope.llm.common import for_workers, table, unsigned_hex
+from supplyscope.llm.decontaminate import find_benchmark
 from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
@@ -22,6 +23,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the benchmark items it holds."""
+    docs = table(spark, sf_dir, "documents")
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("found_id"), "item_ids", "cosine", "cover")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    merged = found.groupBy("found_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+                                           F.max("cosine").alias("cosine"), F.max("cover").alias("cover"))
+    return ids.join(merged, ids["doc_id"].eqNullSafe(F.col("found_id")), "left").select(
+        "doc_id", F.col("cover").isNotNull().alias("contaminated"), "item_ids", "cosine", "cover")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -49,7 +61,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op1_toxicity, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
+    op1_toxicity, op2_decontamination, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

@@ -109,13 +109,16 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
     ``rows`` is a bounded set.  Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a.
     """
     rows = rows.coalesce(4)
-    rng = np.random.default_rng(7)
-    v = rng.standard_normal((BUCKETS, rank + OVERSAMPLE)).astype(np.float32)
+    width, known = rank + OVERSAMPLE, None  # the basis as (buckets, their rows); at first it is random, made by each task alike
 
     for _ in range(steps + 1):
-        width, basis = v.shape[1], v
 
-        def multiply(batches, basis=basis, width=width):
+        def multiply(batches):
+            if known is None:
+                basis = np.random.default_rng(7).standard_normal((BUCKETS, width), dtype=np.float32)
+            else:
+                basis = np.zeros((BUCKETS, width), dtype=np.float32)
+                basis[known[0]] = known[1]
             sums = np.zeros((BUCKETS, width), dtype=np.float32)
             for batch in batches:
                 for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -139,17 +142,16 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
         got = parts.groupBy("block").applyInArrow(total, "bucket int, sums array<float>").toArrow()  # a row for each word of the bounded set
         if not got.num_rows:
             return np.zeros((BUCKETS, 1), np.float32)
-        used = got.column("bucket").to_numpy()
-        order = np.argsort(used)
-        used = used[order]
-        v = np.zeros((BUCKETS, width), dtype=np.float32)
-        v[used] = got.column("sums").combine_chunks().values.to_numpy().reshape(-1, width)[order]
-        q, r = np.linalg.qr(v[used].astype(np.float64))
-        v = np.zeros((BUCKETS, q.shape[1]), dtype=np.float32)
-        v[used] = q
-    u, s, _ = np.linalg.svd(r)  # the steps' sums are A'A times an orthonormal basis: its singular values order the directions
-    keep = s > s[0] * 1e-7 if len(s) else []
-    return np.ascontiguousarray((v @ u[:, keep].astype(np.float32))[:, :rank])
+        order = np.argsort(got.column("bucket").to_numpy())
+        used = got.column("bucket").to_numpy()[order]
+        sums = got.column("sums").combine_chunks().values.to_numpy().reshape(-1, width)[order]
+        q, r = np.linalg.qr(sums.astype(np.float64))
+        known, width = (used, q.astype(np.float32)), q.shape[1]
+    u, s, _ = np.linalg.svd(r)  # the last sums are A'A times an orthonormal basis: its singular values order the directions
+    keep = np.flatnonzero(s > s[0] * 1e-7)[:rank]
+    basis = np.zeros((BUCKETS, len(keep)), dtype=np.float32)
+    basis[used] = q @ u[:, keep]
+    return basis
 
 
 @dataclass

@@ -32,7 +32,7 @@ from supplyscope.llm.common import map_arrow, materialize, text_of
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 10
-WINDOW = 64  # words in a passage; half of them is the step
+WINDOW = 32  # words in a passage; half of them is the step
 RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
 SAMPLE_DOCS, SAMPLE_WEIGHT = 400, 0.05
 FIT_ITEMS = 4096

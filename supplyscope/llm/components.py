@@ -37,10 +37,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     ``links`` holds pairs of longs in either order; repeated pairs, self-links and nulls are ignored.
     An empty table gives an empty result.  Raises if the links have not settled after ``max_rounds``.
     """
-    now = materialize(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    now = materialize(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links", narrow=True)
     mark = _signature(now)
     for _ in range(max_rounds if mark[0] else 0):
-        after = materialize(_stars(now), "links")
+        after = materialize(_stars(now), "links", narrow=True)
         discard(now)
         now, before = after, mark
         mark = _signature(now)

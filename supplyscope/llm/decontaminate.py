@@ -104,7 +104,7 @@ def item_passages(words: list[bytes]) -> list[list[bytes]]:
 
 
 def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = POWER_STEPS) -> np.ndarray:
-    """An orthonormal basis (buckets x rank) of the leading right singular space of the TF-IDF passages ``rows`` (text, weight).
+    """An orthonormal basis (buckets x rank) of the leading right singular space of the TF-IDF passages of ``rows`` (text, weight).
 
     ``rows`` is a bounded set.  Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a.
     """
@@ -122,12 +122,10 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
             sums = np.zeros((BUCKETS, width), dtype=np.float32)
             for batch in batches:
                 for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = words_of(text)
-                    if not words:
-                        continue
-                    at, w = tfidf(buckets_of(words), idf)
-                    w = (w * weight).astype(np.float32)
-                    sums[at] += np.outer(w, w @ basis[at])
+                    for part in item_passages(words_of(text)):
+                        at, w = tfidf(buckets_of(part), idf)
+                        w = (w * weight).astype(np.float32)
+                        sums[at] += np.outer(w, w @ basis[at])
             used = np.flatnonzero(sums.any(axis=1))  # words that occur in the rows
             yield pa.RecordBatch.from_arrays([pa.array(used // 64, pa.int32()), pa.array(used % 64, pa.int32()), pa.array(list(sums[used]), pa.list_(pa.float32()))],
                                              names=["block", "at", "sums"])

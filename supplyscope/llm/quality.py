@@ -147,9 +147,9 @@ def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS)
     pairs = [(i, j) for i in range(len(FLOORS)) for j in range(i + 1)]
     spreads = list(FLOORS.values())
     start = _first_centres(rows).withColumns({f"s_{i}{j}": F.lit(spreads[i] ** 2 if i == j else 0.0) for i, j in pairs})
-    estimates = materialize(_with_scatter(start), "mcd")
+    estimates = materialize(_with_scatter(start), "mcd", narrow=True)
     for _ in range(steps):
-        estimates = materialize(_with_scatter(_concentrate(rows, estimates, share)), "mcd")
+        estimates = materialize(_with_scatter(_concentrate(rows, estimates, share)), "mcd", narrow=True)
     return estimates
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm.common import for_workers, table, unsigned_hex
 from supplyscope.llm.decontaminate import find_benchmark
+from supplyscope.llm.mixing import mix
 from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
@@ -60,8 +61,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op1_toxicity, op2_decontamination, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash)}
+    op1_toxicity, op2_decontamination, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

@@ -111,10 +111,10 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 3, blocks: int = 6, bucket
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(blocks, max_bits)])
     keys = fps.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "k"))
     size = keys.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    size = materialize(size, "buckets")
+    size = materialize(size, "buckets", narrow=True)
     twos = size.where((F.col("n") == 2) & _near(F.col("lo"), F.col("hi"), max_bits)).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     members = keys.join(size.where("n > 2").select("t", "k", "n"), ["t", "k"]).select("t", "k", "n", "fp")
-    members = materialize(members, "members")
+    members = materialize(members, "members", narrow=True)
     some = (members.where(F.col("n") <= bucket_pairs).groupBy("t", "k").agg(F.sort_array(F.collect_list("fp")).alias("m"))
             .select("m", F.explode("m").alias("a"))
             .select("a", F.explode(F.filter("m", lambda b: (b > F.col("a")) & _near(F.col("a"), b, max_bits))).alias("b")))

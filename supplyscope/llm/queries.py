@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm.common import for_workers, table, unsigned_hex
 from supplyscope.llm.decontaminate import find_benchmark
+from supplyscope.llm.line_dedup import line_classes
 from supplyscope.llm.mixing import mix
 from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
@@ -39,6 +40,18 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines that go, the class of each, and the document that keeps the line of that class."""
+    docs = table(spark, sf_dir, "documents")
+    gone = F.when(~F.col("kept"), F.struct("line_no", "class_id", "first_doc"))
+    lines = line_classes(docs).groupBy("doc_id", "text_hash").agg(
+        F.count("*").alias("n_lines"), F.array_sort(F.collect_list(gone)).alias("gone")).select(F.col("doc_id").alias("line_doc"), F.col("text_hash").alias("line_hash"), "n_lines", "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    out = rows.join(lines, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.col("h") == F.col("line_hash")), "left")
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+                      F.col("gone.line_no").alias("removed_lines"), F.col("gone.class_id").alias("removed_classes"), F.col("gone.first_doc").alias("kept_in"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -66,7 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op1_toxicity, op2_decontamination, op3_secret_scan, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op10_mixing)}
+    op1_toxicity, op2_decontamination, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 Features are the hashed byte n-grams (``ORDERS``) of the lower-cased text, present or not (Wang and Manning, "Baselines and Bigrams", 2012).  The log-count
-ratio of a feature is the log of how much more often it occurs in toxic than in other training texts, smoothed; features whose ratio is
-within a few standard errors of zero are left out, and a logistic regression is fitted on the others, each scaled by its ratio.
+ratio of a feature is the log of how much more often it occurs in toxic than in other training texts, smoothed; the ``MAX_FEATURES`` features whose ratio is the most
+standard errors from zero are kept, and a logistic regression is fitted on them, each scaled by its ratio.
 
 Training: counts are taken by tasks over the training texts, which are distinct texts of at most about ``max_train`` labelled documents, picked by hash of their id
 (a documented bound, the same at every size of the corpus).  The fit sees the selected features of those texts alone.
@@ -27,7 +27,8 @@ from supplyscope.llm.common import map_arrow, materialize, text_of
 
 ORDERS = (3, 4, 5)
 BITS = 18
-MAX_TRAIN = 40_000
+MAX_TRAIN = 20_000
+MAX_FEATURES = 4096
 SMOOTHING = 1.0
 LEAST_Z = 4.0
 PIECE = 1 << 20  # bytes of a text whose n-grams are hashed at a time
@@ -110,18 +111,22 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def log_count_ratios(seen: np.ndarray, n_other: int, n_toxic: int) -> np.ndarray:
-    """The smoothed ratio of each feature, zero where it is within LEAST_Z standard errors of zero."""
+    """The smoothed ratio of each feature, zero where it is within LEAST_Z standard errors of zero or not among the MAX_FEATURES
+    features that are farthest from it in standard errors."""
     other, toxic = seen + SMOOTHING
     ratio = np.log(toxic / (n_toxic + 2 * SMOOTHING)) - np.log(other / (n_other + 2 * SMOOTHING))
-    return np.where(np.abs(ratio) >= LEAST_Z * np.sqrt(1 / other + 1 / toxic), ratio, 0.0)
+    z = np.abs(ratio) / np.sqrt(1 / other + 1 / toxic)
+    return np.where(z >= max(LEAST_Z, np.sort(z)[-MAX_FEATURES]), ratio, 0.0)
 
 
-def fit_logistic(features: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 1e-4, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_logistic(features: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, l2: float = 1e-4, rounds: int = 200, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights of the scaled features and the intercept, by full-batch Adam."""
-    used, index = np.unique(np.concatenate([*features, np.zeros(0, np.int64)]), return_inverse=True)
-    lengths = np.array([len(f) for f in features])
-    row = np.repeat(np.arange(len(features)), lengths)
-    x = ratios[used][index]
+    used = np.flatnonzero(ratios)
+    place = np.zeros(len(ratios), dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    index = place[np.concatenate([*features, np.zeros(0, np.int32)])]
+    row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+    x = ratios[used][index].astype(np.float32)
     w, bias = np.zeros(len(used)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):
@@ -150,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["toxic", "features"])
 
     picked = map_arrow(rows, "toxic int, features array<int>", select).toArrow()  # at most about max_train rows of selected features
-    features = [np.asarray(f.values, dtype=np.int64) for f in picked.column("features")]
+    features = [np.asarray(f.values) for f in picked.column("features")]
     weights, bias = fit_logistic(features, picked.column("toxic").to_numpy().astype(float), ratios)
     return Model(weights.astype(np.float32), bias)
 

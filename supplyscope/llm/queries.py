@@ -15,6 +15,7 @@ from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
 from supplyscope.llm.token_store import write_tokens
+from supplyscope.llm.substring_dedup import remove_repeats
 from supplyscope.llm.toxicity import held_out, score, train
 from supplyscope.llm.warc import read_warc, write_warc
 
@@ -74,12 +75,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), least=400)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op1_toxicity, op2_decontamination, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op10_mixing)}
+    op1_toxicity, op2_decontamination, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op9_substring_dedup, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """

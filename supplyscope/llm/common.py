@@ -56,12 +56,12 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 def materialize(df: DataFrame, what: str, narrow: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    ``narrow`` is for tables much smaller than the input: they are written by a sixteenth of the shuffle partitions.
+    ``narrow`` is for tables much smaller than what they are computed from: their rows are dealt anew to a sixteenth of the shuffle partitions.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, what)
     if narrow:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.repartition(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -257,7 +257,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     fit = items.where(pick("item_id", n_items, FIT_ITEMS)).select("text", F.lit(1.0).alias("weight")).unionByName(sample)
     basis = fit_basis(fit, idf, rank)
     space = Space.make(basis, idf)
-    source = docs.select(F.col("doc_id"), text_of(), F.xxhash64(text_of()))
+    source = docs.select(F.col("doc_id").cast("long"), text_of(), F.xxhash64(text_of()))
     blocks = max(1, -(-n_items // items_a_pass))
     out = None
     for b in range(blocks):
@@ -285,5 +285,5 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
     bad = find_benchmark(docs.select("doc_id", "text"), benchmark, **options)
-    bad = bad.select(F.col("doc_id").alias("bad_id"), "text_hash").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_of()) == F.col("text_hash")), "left_anti")
+    bad = materialize(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "contaminated", narrow=True)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(text_of()) == bad["bad_hash"]), "left_anti")

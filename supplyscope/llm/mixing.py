@@ -124,4 +124,4 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alp
 def sample_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that ``mix`` samples, all columns unchanged."""
     gone = mix(docs, targets, alpha, seed).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("uniform").alias("gone_uniform")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (_uniform(text_of(), seed) == F.col("gone_uniform")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (_uniform(text_of(), seed) == gone["gone_uniform"]), "left_anti")

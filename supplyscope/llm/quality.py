@@ -174,7 +174,7 @@ def quality_verdicts(docs: DataFrame, share: float = SHARE, cutoff: float = CUTO
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``quality_verdicts`` keeps, all columns unchanged."""
     bad = (quality_verdicts(docs, **options).where("NOT kept")
-           .select(F.col("doc_id").alias("bad_id"), "text_hash", F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct())
-    same = (docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(text_of()) == F.col("text_hash"))
-            & docs["lang"].eqNullSafe(F.col("bad_lang")) & docs["source"].eqNullSafe(F.col("bad_source")))
+           .select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("lang").alias("bad_lang"), F.col("source").alias("bad_source")).distinct())
+    same = (docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(text_of()) == bad["bad_hash"])
+            & docs["lang"].eqNullSafe(bad["bad_lang"]) & docs["source"].eqNullSafe(bad["bad_source"]))
     return docs.join(bad, same, "left_anti")

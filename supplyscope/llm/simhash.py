@@ -150,7 +150,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classes = materialize(simhash_components(named.select("doc_id", "text"), **options), "classes")
     keep = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = lambda cond: keep.where(cond).select(F.col("doc_id").alias("keep_id"))
-    pick = lambda cond: named.join(ids(cond), F.col("doc_id") == F.col("keep_id"), "left_semi")
+
+    def pick(cond: str) -> DataFrame:
+        own = ids(cond)
+        return named.join(own, named["doc_id"].cast("long") == own["keep_id"], "left_semi")
+
     out = pick("n = 1").unionByName(docs.where("doc_id IS NULL"))
     if not ids("n > 1").isEmpty():
         out = out.unionByName(pick("n > 1").dropDuplicates(["doc_id"]))

@@ -37,6 +37,7 @@ PIECE = 1 << 20  # windows named at a time
 LONGEST_RUN = 1024  # windows in a context
 GROUP_BYTES = 1 << 20
 MANY = 1024
+NEAR = 24  # suffixes behind a boundary that are looked at one by one
 
 
 # ---- names of windows --------------------------------------------------------------------------------------------
@@ -108,7 +109,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     key = np.zeros(n, dtype=np.int64)
     for j in range(7):
         key = key << 9 | wide[j:j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = np.concatenate([[True], np.diff(key[order]) != 0])
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
@@ -120,11 +121,11 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
         if not len(open_at):
             return order
         sub = order[open_at]
-        here, there = rank[sub], rank[np.minimum(sub + h, n)]
-        again = np.lexsort((there, here))
-        sub, here, there = sub[again], here[again], there[again]
+        pair = rank[sub] * (n + 1) + rank[np.minimum(sub + h, n)] + 1  # the class, and that of what follows
+        again = np.argsort(pair)
+        sub, pair = sub[again], pair[again]
         order[open_at] = sub
-        new = np.concatenate([[True], (np.diff(here) != 0) | (np.diff(there) != 0)])
+        new = np.concatenate([[True], np.diff(pair) != 0])
         first[open_at] = new
         rank[sub] = np.maximum.accumulate(np.where(new, open_at, 0))
         h *= 2
@@ -141,6 +142,7 @@ def common_from(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     start = np.cumsum(count) - count
     split = np.zeros(n + 1, dtype=bool)
     split[start] = True
+    split[n] = True
     level = start  # common prefix 0: the first code changes
     letters = np.flatnonzero(found)
     # occurrences of each code up to any place: a bitmap by code, and the count before each 64 bits
@@ -152,16 +154,30 @@ def common_from(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     ones = np.bitwise_count(bits).astype(np.int32)
     low, high = start[letters].astype(np.int32)[:, None], (start + count)[letters].astype(np.int32)[:, None]
     before = np.cumsum(ones, axis=1, dtype=np.int32) - ones + low  # the place of the next suffix that begins with the code
+    by_code = np.argsort(bwt, kind="stable")  # the code's occurrences, in the order of the suffixes that begin with them
+    next_place = np.empty(n, dtype=np.int64)  # of each place, that of the suffix which the code before it begins
+    next_place[by_code] = np.arange(n)
+    last_same = np.empty(n, dtype=np.int64)  # the place before with the same code; n if there is none, or for code 0
+    last_same[by_code[1:]] = by_code[:-1]
+    last_same[by_code[start]] = n
+    last_same[bwt == 0] = n
     for _ in range(1, least):
         if not len(level):
             break
-        to = []
-        for part in np.array_split(level, -(-len(level) // 8192)):
+        # the suffixes behind each boundary, up to the next boundary: one whose code occurs before the boundary too begins a new one
+        to, here, at = [], level, level
+        for _ in range(NEAR):
+            to.append(next_place[at[last_same[at] < here]])
+            going = ~split[at + 1]
+            here, at = here[going], at[going] + 1
+            if not len(here):
+                break
+        for part in np.array_split(here, -(-len(here) // 1024)) if len(here) else []:  # many suffixes follow: extend by every code
             word, below = part >> 6, (np.uint64(1) << (part & 63).astype(np.uint64)) - np.uint64(1)
-            at = np.take(before, word, axis=1) + np.bitwise_count(np.take(bits, word, axis=1) & below)
-            at = at[(at > low) & (at < high)]  # the code occurs before and after the boundary
-            to.append(at[~split[at]])
-        level = np.unique(np.concatenate(to))
+            places = np.take(before, word, axis=1) + np.bitwise_count(np.take(bits, word, axis=1) & below)
+            to.append(places[(places > low) & (places < high)].astype(np.int64))  # the code occurs before and after the boundary
+        new = np.concatenate(to)
+        level = np.unique(new[~split[new]])
         split[level] = True
     return split[:n]
 

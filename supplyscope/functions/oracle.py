@@ -46,21 +46,26 @@ def substr_from(c: ColumnLike, pos: int) -> Column:
 
 
 def digits_to_number(c: ColumnLike) -> Column:
-    """The report's all-digits guard: the number when the trimmed text is only digits, else NULL."""
+    """The report's all-digits guard: the number when the trimmed text is only digits, else NULL.
+
+    A ``decimal(38,0)``, so a receipt number beyond the range of a long stays a key of its own.
+    """
     t = F.trim(_col(c))
-    return F.when(t.rlike("^[0-9]+$"), t.try_cast("long"))
+    return F.when(t.rlike(r"^[0-9]+\z"), t.try_cast("decimal(38,0)"))
 
 
 def safe_number(c: ColumnLike, type_: str = "double", decimal_comma: bool = False) -> Column:
     """``TO_NUMBER`` that yields NULL on malformed text instead of failing the job.
 
+    Only digits with a sign, a decimal point or an exponent are a number: ``'30d'``, ``'NaN'`` and ``'Infinity'`` are not.
+
     ``decimal_comma``: read the text as a pt-BR session would (``'1.234,5'`` →
     1234.5): dots are group separators, the comma is the decimal point.
     """
     t = F.trim(_col(c))
     if decimal_comma:
         t = F.translate(F.translate(t, ".", ""), ",", ".")
-    return t.try_cast(type_)
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), t.try_cast(type_))
 
 
 def decode_number(c: ColumnLike, cases: Mapping[int, Column], default: Column | None = None) -> Column:

@@ -82,10 +82,12 @@ def last_action(history: DataFrame, action: str = "APPROVE",
     The source takes the row whose sequence is the maximum per (action, type,
     object) and expects one employee; when types or rows tie it errors or picks an
     arbitrary row.  Here the order is total: newest sequence, then type, then
-    employee id — one ``min(struct)`` aggregate per object, no window.
+    employee id — one ``min(struct)`` aggregate per object, no window.  A row without
+    a sequence is never the latest (``= MAX(...)`` does not match NULL).
     Returns ``(object_id, sequence_num, object_type_code, employee_id)``.
     """
-    rows = history.where((F.col("action_code") == action) & F.col("object_type_code").isin(*object_types))
+    rows = history.where((F.col("action_code") == action) & F.col("object_type_code").isin(*object_types)
+                         & F.col("sequence_num").isNotNull())
     best = rows.groupBy("object_id").agg(
         F.min(F.struct((-F.col("sequence_num")).alias("neg_seq"), "object_type_code", "employee_id")).alias("_b"))
     return best.select("object_id", (-F.col("_b.neg_seq")).alias("sequence_num"),
@@ -104,7 +106,7 @@ def person_attributes(people: DataFrame, as_of) -> DataFrame:
     closed = valid_on("effective_start_date", "effective_end_date", as_of)
     active = ends_after("effective_end_date", as_of)
     label = oracle_concat("attribute7", "attribute8", F.lit("-"), "last_name")
-    return people.groupBy("person_id").agg(
+    return people.where(closed | active).groupBy("person_id").agg(
         F.min(F.when(closed, F.col("last_name"))).alias("buyer_name"),
         F.min(F.when(active, F.col("last_name"))).alias("active_name"),
         F.min(F.when(active, label)).alias("active_label"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from supplyscope.functions.oracle import (code_number, day_range, digits_to_number, oracle_concat, strip_controls, substr_from,
                                           to_char)
-from supplyscope.operators.contracts import catalog_lead_times, contract_lead_time, max_contract_lead_time
+from supplyscope.operators.contracts import catalog_lead_times, contract_lead_time, delivery_lead_time, max_contract_lead_time
 from supplyscope.operators.links import valid_receipts, with_requisition, without_requisition
 from supplyscope.operators.lookups import (effective_rows, first_row, lookup_values, person_names, require_unique)
 from supplyscope.operators.milestones import (approver_columns, has_category_line, hold_counts, invoiced_quantity,
@@ -91,6 +91,20 @@ def q_receiving_report(spark, sf_dir):
     return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
 
 
+# The report as it is usually run: some operations of one organisation, and one organisation alone.
+SCOPED_RI, SCOPED_ORG = (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, 36), "ORG7"
+
+
+def q_receiving_scoped(spark, sf_dir):
+    df = receiving_diagnosis(_t(spark, sf_dir), ri=SCOPED_RI)
+    return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
+
+
+def q_receiving_by_org(spark, sf_dir):
+    df = receiving_diagnosis(_t(spark, sf_dir), org=SCOPED_ORG)
+    return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
+
+
 def q_hold_count(spark, sf_dir):
     t = _t(spark, sf_dir)
     inv = t["cll_f189_invoices"].select("invoice_id")
@@ -175,8 +189,7 @@ def q_contract_lead_time(spark, sf_dir):
     t = _t(spark, sf_dir)
     cat = catalog_lead_times(t["icx_cat_items_b"], t["icx_cat_items_tlp"], t["icx_cat_item_prices"])
     x = contract_lead_time(_standard_lines(t).withColumn("part_number", c("vendor_product_num")), cat)
-    lead = F.when(c("contract_id").isNotNull(), c("catalog_lead_time")).otherwise(
-        F.trim(c("attribute3")).try_cast("double"))
+    lead = delivery_lead_time(F.lit(True), c("contract_id"), c("catalog_lead_time"), c("attribute3"))
     return x.select("po_line_id", lead.alias("prazo_de_entrega"))
 
 
@@ -249,7 +262,7 @@ def q_parent_contract(spark, sf_dir):
     contracts = first_row(t["po_headers_all"].select(c("po_header_id").alias("contract_id"),
                                                      c("segment1").alias("nr_contrato_pai")),
                           ["contract_id"], ["nr_contrato_pai"])
-    return (t["po_lines_all"].where(c("contract_id").isNotNull()).select("po_line_id", "contract_id")
+    return (t["po_lines_all"].select("po_line_id", "contract_id")
             .join(contracts, "contract_id", "left"))
 
 
@@ -350,6 +363,8 @@ QUERIES: dict[str, Query] = {
     "receiving_status": q_receiving_status,
     "receiving_action": q_receiving_action,
     "receiving_report": q_receiving_report,
+    "receiving_scoped": q_receiving_scoped,
+    "receiving_by_org": q_receiving_by_org,
     "hold_count": q_hold_count,
     "receipt_milestones": q_receipt_milestones,
     "receipt_milestones_separate": q_receipt_milestones_separate,

@@ -33,7 +33,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is configured by the operator and is read, never replaced.
-    Only when it is unset (local tests) a scratch folder is made and set.
+    Only when it is unset in local mode (tests) a scratch folder is made and set; on a
+    cluster an unset folder is an error, since a machine-local one is lost with the driver.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -41,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="supplyscope-ckpt-")
     sc.setCheckpointDir(path)
     return path

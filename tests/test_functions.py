@@ -31,8 +31,13 @@ def test_strip_controls_tab_to_space_lf_cr_removed(spark):
 
 
 def test_digits_guard(spark):
-    rows = [("007",), (" 12 ",), ("A12",), ("",), ("  ",), (None,), ("1 2",)]
-    assert one(spark, O.digits_to_number("s"), rows, "s string") == [7, 12, None, None, None, None, None]
+    rows = [("007",), (" 12 ",), ("A12",), ("",), ("  ",), (None,), ("1 2",), ("123\n",), ("9" * 20,)]
+    assert one(spark, O.digits_to_number("s"), rows, "s string") == [7, 12, None, None, None, None, None, None, 10 ** 20 - 1]
+
+
+def test_safe_number_rejects_letters(spark):
+    rows = [("30",), (" -1.5 ",), (".5",), ("1e3",), ("30d",), ("5F",), ("NaN",), ("Infinity",), ("",), (None,), ("7\n",)]
+    assert one(spark, O.safe_number("s"), rows, "s string") == [30, -1.5, 0.5, 1000, None, None, None, None, None, None, None]
 
 
 def test_decode_number_tax_id_types(spark):

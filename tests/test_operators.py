@@ -187,3 +187,9 @@ def test_approval_conflicts_reports_what_the_source_would_reject(spark):
     assert rows(approval_conflicts(hist), "object_id", "n_employees") == [(1, 2), (2, 2)]
     # the choice made instead: newest sequence, then type, then employee
     assert rows(last_action(hist), "object_id", "employee_id") == [(1, 8), (2, 7), (3, 9), (4, 7)]
+
+
+def test_last_action_ignores_rows_without_a_sequence(spark):
+    history = spark.createDataFrame([(1, "PO", "APPROVE", 3, 7), (1, "PO", "APPROVE", None, 9), (2, "PO", "APPROVE", None, 8)],
+                                    "object_id long, object_type_code string, action_code string, sequence_num long, employee_id long")
+    assert rows(last_action(history), "object_id", "sequence_num", "employee_id") == [(1, 3, 7)]

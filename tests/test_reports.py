@@ -184,7 +184,7 @@ def ri_tables(ebs):
             {"transaction_id": 903, "po_line_location_id": 51, "transaction_type": "DELIVER"},
             {"transaction_id": 904, "po_line_location_id": 52, "transaction_type": "DELIVER"}],
         cll_f189_holds=[{"invoice_id": 10}, {"invoice_id": 10}],
-        mtl_parameters=[{"organization_id": 1, "organization_code": "GVT"},
+        mtl_parameters=[{"organization_id": 1, "organization_code": "ORG1"},
                         {"organization_id": 2, "organization_code": "OTH"}],
         mtl_system_items=[{"inventory_item_id": 500, "organization_id": 1, "receiving_routing_id": 2}],
         nfee_header_xml=[{"chave": "K10", "status": "AUTORIZADA"}],
@@ -199,7 +199,7 @@ def ri_tables(ebs):
 
 def test_receiving_diagnosis_ladders_flags_and_order(ebs):
     t = ri_tables(ebs)
-    df = receiving_diagnosis(t, org="GVT")
+    df = receiving_diagnosis(t, org="ORG1")
     assert df.columns == RI_OUTPUT and len(RI_OUTPUT) == 44
     got = [(r["ri"], r["invoice_line_id"], r["flag_recebimento"], r["flag_oc"], r["flag_item_ativo"],
             r["flag_precisa_oc"], r["flag_hold"], r["status_analitico"], r["sugestao_acao"]) for r in df.collect()]
@@ -221,7 +221,7 @@ def test_receiving_diagnosis_ladders_flags_and_order(ebs):
     assert rows[(1, 101)]["status_nfee"] == "AUTORIZADA"
     # the NULL-quantity comparison is unknown and falls through (line None on shipment 51 has qty)
     assert receiving_diagnosis(t, ri=4).collect()[0]["org"] == "OTH"
-    assert receiving_diagnosis(t, ri=[1, 2], org="GVT").count() == 6
+    assert receiving_diagnosis(t, ri=[1, 2], org="ORG1").count() == 6
 
 
 def test_receiving_skew_safe_equals_plain(ebs):

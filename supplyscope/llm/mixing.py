@@ -110,7 +110,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alp
 
     ``targets`` may give shares of the tokens by value for source, lang or topic.
     """
-    rows = materialize(with_cells(docs, seed), "mixing")
+    rows = materialize(with_cells(docs, seed), "mixing", narrow=True)
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     factors = rake(cells, targets, alpha).select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], F.col("factor"),
                                                  (F.col("tokens") == 0).alias("empty"))

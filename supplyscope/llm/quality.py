@@ -162,7 +162,7 @@ def quality_verdicts(docs: DataFrame, share: float = SHARE, cutoff: float = CUTO
     own = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
                       "text", F.xxhash64(text_of()).alias("text_hash"))
     stats = text_statistics(own, ["text_hash", "lang", "source"])
-    vectors = materialize(with_vectors(stats), "vectors")
+    vectors = materialize(with_vectors(stats), "vectors", narrow=True)
     rows = _with_groups(vectors, min_rows)
     estimates = robust_estimates(rows.where("NOT base_failed").select("g", *FLOORS), share, steps)
     judged = _with_distance(rows, estimates, "left")

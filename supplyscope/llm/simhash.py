@@ -131,7 +131,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3, blo
     component_id is the smallest doc_id among the documents whose fingerprints are connected by
     steps of at most ``max_bits`` differing bits.
     """
-    prints = materialize(fingerprints(docs, shingle), "simhash")
+    prints = materialize(fingerprints(docs, shingle), "simhash", narrow=True)
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(link_fingerprints(own.select("fp"), max_bits, blocks, bucket_pairs)).withColumnRenamed("node", "fp")
     named = own.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     since they have no name to be dropped by.
     """
     named = docs.where("doc_id IS NOT NULL")
-    classes = materialize(simhash_components(named.select("doc_id", "text"), **options), "classes")
+    classes = materialize(simhash_components(named.select("doc_id", "text"), **options), "classes", narrow=True)
     keep = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = lambda cond: keep.where(cond).select(F.col("doc_id").alias("keep_id"))
 

@@ -22,7 +22,7 @@ def catalog_lead_times(items_b: DataFrame, items_tlp: DataFrame, item_prices: Da
     The price table only bridges (it contributes no column), so it is a semi join
     and cannot multiply rows.  Reduced per catalogue key before any report join.
     """
-    priced = items_b.join(item_prices.select("rt_item_id"), "rt_item_id", "left_semi")
+    priced = items_b.join(item_prices.select("rt_item_id").distinct(), "rt_item_id", "left_semi")
     tlp = items_tlp.where(F.col("language") == language).select("rt_item_id", "lead_time")
     return (priced.join(tlp, "rt_item_id", "inner")
             .groupBy(*CATALOG_KEYS)
@@ -63,7 +63,7 @@ def max_contract_lead_time(needed: DataFrame, lines: DataFrame, catalog: DataFra
     """
     parts = (lines.where(F.col("vendor_product_num").isNotNull()
                          & (F.coalesce(F.col("cancel_flag"), F.lit("N")) == "N"))
-             .select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")))
+             .select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")).distinct())
     cand = needed.join(catalog.select(*CATALOG_KEYS, "max_lead_time"), ["supplier_part_auxid", "supplier"], "inner")
     return (cand.join(parts, ["po_header_id", "supplier_part_num"], "left_semi")
             .groupBy("po_header_id", "supplier_part_auxid")

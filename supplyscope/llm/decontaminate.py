@@ -3,7 +3,8 @@
 1. Document frequencies of hashed words over all documents give inverse document frequencies.
 2. A randomised SVD (Halko, Martinsson and Tropp, 2011) of TF-IDF passages gives a latent basis.  Its rows are the passages of the benchmark
    and a bounded sample of passages of the corpus at a small weight; tasks multiply their rows with the current basis, and their sums are added by word.
-3. Every passage of every document (windows of ``WINDOW`` words, half overlapping) is projected on the basis and compared with every benchmark passage: the inner product of the projections over the norms of the full TF-IDF vectors.  Passages from ``least_cosine`` on are candidates.
+3. Every passage of every document (windows of ``WINDOW`` words, half overlapping) is projected on the basis and compared with every benchmark passage: the cosine
+   of their projections, so that a copy scores 1 whatever share of it the basis keeps.  Passages from ``least_cosine`` on are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the passage, which must cover
    ``least_cover`` of the item, and by its answer (the column ``answer`` if the benchmark has one, else the last ``ANSWER_WORDS`` words): the same share of its words must occur
    there in order too.  So dropped, added or exchanged words and changed punctuation do not hide an item.
@@ -152,6 +153,11 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
     return basis
 
 
+def unit_rows(z: np.ndarray) -> np.ndarray:
+    """The rows divided by their norms; rows of zeros stay."""
+    return z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), np.float32(1e-12))[:, None]
+
+
 @dataclass
 class Queries:
     """A block of benchmark items, ready to compare: one row a passage."""
@@ -160,7 +166,8 @@ class Queries:
     words: list[list[bytes]]
     answers: list[list[bytes]]
     item: np.ndarray  # of each passage
-    vectors: np.ndarray  # basis columns x passages, divided by the norms of the full vectors
+    vectors: np.ndarray  # basis columns x passages, of unit norm
+    distinct: list[frozenset]  # the words of each item
 
     @classmethod
     def make(cls, items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Queries:
@@ -171,9 +178,9 @@ class Queries:
             for part in item_passages(w):
                 at, weights = tfidf(buckets_of(part), idf)
                 item.append(i)
-                rows.append(weights.astype(np.float32) @ basis[at])
+                rows.append(unit_rows((weights.astype(np.float32) @ basis[at])[None])[0])
         return cls([i for i, _, _ in items], words, answers, np.array(item, dtype=np.int64),
-                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32))
+                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), [frozenset(w) for w in words])
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -194,12 +201,11 @@ def lcs(a: list[bytes], b: list[bytes]) -> int:
 class Space:
     """The latent space: the basis with each word's row times its idf, and a row of zeros at the end."""
 
-    idf: np.ndarray
     rows: np.ndarray
 
     @classmethod
     def make(cls, basis: np.ndarray, idf: np.ndarray) -> Space:
-        return cls(idf, np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)]))
+        return cls(np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)]))
 
 
 def cosines(buckets: np.ndarray, space: Space, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +217,7 @@ def cosines(buckets: np.ndarray, space: Space, queries: Queries) -> tuple[np.nda
     z = sums[:len(starts)].copy()
     if len(sums) > 1:
         z += sums[1:len(starts) + 1]
-    place = np.arange(len(buckets)) // half  # each half belongs to the window it starts and to the one before
-    keys = np.concatenate([place * BUCKETS + buckets, (place - 1) * BUCKETS + buckets])
-    keys, n = np.unique(keys[(keys >= 0) & (keys < len(starts) * BUCKETS)], return_counts=True)
-    norms = np.sqrt(np.bincount(keys // BUCKETS, weights=(n * space.idf[keys % BUCKETS]) ** 2, minlength=len(starts)))
-    return starts, (z @ queries.vectors) / np.maximum(norms, 1e-12)[:, None]
+    return starts, unit_rows(z) @ queries.vectors
 
 
 def matches(text: str, space: Space, queries: Queries, least_cosine: float, least_cover: float) -> list[tuple[int, float, float]]:
@@ -228,11 +230,17 @@ def matches(text: str, space: Space, queries: Queries, least_cosine: float, leas
     for at in range(0, len(words), 1 << 14):  # windows start in this part of a long text
         part = buckets[at:at + (1 << 14) + WINDOW // 2]
         starts, cos = cosines(part, space, queries)
-        for s, q in zip(*np.nonzero(cos >= least_cosine)):
-            i = int(queries.item[q])
+        rows, columns = np.nonzero(cos >= least_cosine)
+        last, widest, have = -1, 0, frozenset()
+        for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[columns].tolist()):
             if found.get(i, (0, 0))[1] >= 1:
                 continue
-            item, answer, first = queries.words[i], queries.answers[i], at + int(starts[s])
+            item, answer, first = queries.words[i], queries.answers[i], at + s * (WINDOW // 2)
+            if s != last or len(item) > widest:
+                last, widest = s, max(WINDOW, len(item))
+                have = frozenset(words[max(0, first - widest):first + WINDOW + widest])
+            if len(item) - len(queries.distinct[i] - have) < least_cover * len(item):  # each word that is missing lowers the cover
+                continue
             around = words[max(0, first - len(item)):first + WINDOW + len(item)]
             cover = lcs(item, around) / len(item)
             if cover >= least_cover and lcs(answer, around) >= least_cover * len(answer):

@@ -175,6 +175,15 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.find_benchmark(docs(spark, []), one).collect() == []
 
 
+def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
+    rng = random.Random(27)
+    items = [(i, prose(rng, decontaminate.WINDOW)) for i in range(4000)]
+    rows = [(i, " ".join(t for _, t in items[i * 20:i * 20 + 20])) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.find_benchmark(docs(spark, rows), bench).collect()}
+    assert got == {i: list(range(i * 20, i * 20 + 20)) for i in range(200)}
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):

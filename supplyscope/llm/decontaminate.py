@@ -2,7 +2,7 @@
 
 1. Document frequencies of hashed words over all documents give inverse document frequencies.
 2. A randomised SVD (Halko, Martinsson and Tropp, 2011) of TF-IDF passages gives a latent basis.  Its rows are the passages of the benchmark
-   and a bounded sample of passages of the corpus at a small weight; tasks multiply their rows with the current basis, and their sums are added by word.
+   and all passages of all documents; tasks multiply their rows with the current basis, and their sums are added by word.
 3. Every passage of every document (windows of ``WINDOW`` words, half overlapping) is projected on the basis and compared with every benchmark passage: the cosine
    of their projections, so that a copy scores 1 whatever share of it the basis keeps.  Passages from ``least_cosine`` on are candidates.
 4. A candidate is confirmed by the longest common subsequence of the item's words and the words around the passage, which must cover
@@ -18,25 +18,28 @@ and listed once; an empty benchmark or empty documents give no rows found.  Only
 
 from __future__ import annotations
 
+import io
 import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.llm.common import map_arrow, materialize, text_of
+from supplyscope.llm.common import discard, fresh_dir, map_arrow, materialize, text_of
+from supplyscope.llm.files import open_fs, replaced_file
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 10
 WINDOW = 32  # words in a passage; half of them is the step
 RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
-SAMPLE_DOCS, SAMPLE_WEIGHT = 400, 0.05
-FIT_ITEMS = 4096
+WORDS_A_TASK = 1 << 24  # a task adds up its sums for all its words, so that few of them are shuffled
+TOGETHER = 64  # half windows multiplied at once; the result is the same
 LEAST_COSINE, LEAST_COVER, ANSWER_WORDS = 0.20, 0.7, 6
 ITEMS_A_PASS = 4096
 
@@ -65,29 +68,43 @@ def window_starts(n: int) -> np.ndarray:
     return np.arange(0, max(1, -(-n // (WINDOW // 2)) - 1)) * (WINDOW // 2)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents with a word of each bucket, number of documents), over all documents."""
+def bucketed(texts: DataFrame) -> DataFrame:
+    """Rows (buckets), the buckets of the words of each text (column 0) as 16-bit numbers."""
+
+    def run(batch: pa.RecordBatch):
+        yield pa.RecordBatch.from_arrays([pa.array([buckets_of(words_of(t)).astype("<u2").tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["buckets"])
+
+    return map_arrow(texts, "buckets binary", run)
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype="<u2").astype(np.int32) for b in batch.column(0).to_pylist()]
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(documents with a word of each bucket, number of documents, number of words), over all documents (buckets)."""
 
     def count(batches):
-        seen, n = np.zeros(BUCKETS, dtype=np.int64), 0
+        seen, n, words = np.zeros(BUCKETS, dtype=np.int64), 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[np.unique(buckets_of(words_of(text)))] += 1
+            for buckets in _unpacked(batch):
+                seen[np.unique(buckets)] += 1
                 n += 1
-        blocks = [(-1, [n])] + [(b, seen[b * BLOCK:(b + 1) * BLOCK]) for b in range(BUCKETS // BLOCK)]
+                words += len(buckets)
+        blocks = [(-1, [n, words])] + [(b, seen[b * BLOCK:(b + 1) * BLOCK]) for b in range(BUCKETS // BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([v for _, v in blocks], pa.list_(pa.int64()))], names=["block", "sums"])
 
     def total(part: pa.Table) -> pa.Table:
         sums = np.sum([np.asarray(v.values) for v in part.column("sums")], axis=0)
         return pa.table({"block": part.column("block")[:1], "sums": pa.array([sums], pa.list_(pa.int64()))})
 
-    parts = docs.select(text_of()).mapInArrow(count, "block int, sums array<bigint>")
+    parts = docs.mapInArrow(count, "block int, sums array<bigint>")
     table = parts.groupBy("block").applyInArrow(total, "block int, sums array<bigint>").toArrow()  # a number a bucket
     got = {b: np.asarray(v.values) for b, v in zip(table.column("block").to_pylist(), table.column("sums"))}
     if not got:
-        return np.zeros(BUCKETS), 0
-    n = int(got.pop(-1)[0])
-    return np.concatenate([got[b] for b in sorted(got)]), n
+        return np.zeros(BUCKETS), 0, 0
+    n, words = map(int, got.pop(-1))
+    return np.concatenate([got[b] for b in sorted(got)]), n, words
 
 
 def tfidf(buckets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,48 +121,135 @@ def item_passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[i:i + size] for i in range(0, len(words), size)] if words else []
 
 
+def padded_halves(buckets: np.ndarray) -> np.ndarray:
+    """The buckets in rows of half a window, the last one filled up with BUCKETS."""
+    half = WINDOW // 2
+    return np.concatenate([buckets, np.full(-len(buckets) % half, BUCKETS, dtype=np.int32)]).reshape(-1, half)
+
+
+def add_products(texts: list[np.ndarray], idf: np.ndarray, weighed: np.ndarray, sums: np.ndarray) -> None:
+    """Adds a (a V) for all passages a of the texts to ``sums``, without the idf of its rows' words.  ``weighed`` is V times idf with a row of zeros.
+
+    A passage is the sum of two halves over its norm, so each half is multiplied once.  ``idf`` ends in a zero for BUCKETS.
+    """
+    texts = [t for t in texts if len(t)]
+    if not texts:
+        return
+    halves = [padded_halves(t) for t in texts]
+    h = np.concatenate(halves)
+    ends = np.cumsum([len(x) for x in halves])
+    pair = np.ones(len(h), dtype=bool)  # halves that start a passage of two
+    pair[ends - 1] = False
+    alone = np.zeros(len(h), dtype=bool)  # texts of one half
+    alone[[e - 1 for e, x in zip(ends, halves) if len(x) == 1]] = True
+    after = np.concatenate([h[1:], h[-1:]])
+    both = np.sort(np.concatenate([h, np.where(pair[:, None], after, BUCKETS)], axis=1), axis=1)  # words of each passage
+    flat = both.ravel()
+    new = np.ones(both.shape, dtype=bool)
+    new[:, 1:] = both[:, 1:] != both[:, :-1]
+    first = np.flatnonzero(new.ravel())
+    n = np.diff(np.append(first, flat.size))
+    squares = np.bincount(first // both.shape[1], weights=(n * idf[flat[first]]) ** 2, minlength=len(h))
+    over = np.where(pair | alone, 1.0 / np.maximum(squares, 1e-24), 0.0).astype(np.float32)  # of a and of V a: both over the norm
+    z = weighed[h[:, 0]]
+    for k in range(1, h.shape[1]):
+        z += weighed[h[:, k]]
+    y = z.copy()
+    y[:-1] += z[1:] * pair[:-1, None]
+    y *= over[:, None]
+    back = y.copy()
+    back[1:] += y[:-1] * pair[:-1, None]
+    for i in range(0, len(h), TOGETHER):  # counts of each word in a few halves, times their rows
+        own = h[i:i + TOGETHER]
+        at, place = np.unique(own, return_inverse=True)
+        m = len(own)
+        counts = np.bincount(place.ravel() * m + np.repeat(np.arange(m), own.shape[1]), minlength=len(at) * m).reshape(len(at), m)
+        k = len(at) - (at[-1] == BUCKETS)
+        sums[at[:k]] += counts[:k].astype(np.float32) @ back[i:i + m]
+
+
+def save(values: np.ndarray, uri: str) -> str:
+    """Write an array as a file of the shared folder, which tasks ``load``."""
+    with replaced_file(uri) as out:
+        buffer = io.BytesIO()
+        np.save(buffer, values)
+        out.write(buffer.getbuffer())
+    return uri
+
+
+def load(uri: str) -> np.ndarray:
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+def forget(uri: str) -> None:
+    fs, path = open_fs(uri)
+    fs.delete_dir(path.rsplit("/", 1)[0])
+
+
 def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = POWER_STEPS) -> np.ndarray:
-    """An orthonormal basis (buckets x rank) of the leading right singular space of the TF-IDF passages of ``rows`` (text, weight).
+    """An orthonormal basis (buckets x rank) of the leading right singular space of the TF-IDF passages of ``rows`` (buckets).
 
-    ``rows`` is a bounded set.  Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a.
+    Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a, and their sums are added by word.
+    Tasks read V from a file of the shared folder.
     """
-    rows = rows.coalesce(4)
-    width, known = rank + OVERSAMPLE, None  # the basis as (buckets, their rows); at first it is random, made by each task alike
+    spark = rows.sparkSession
+    width, known = rank + OVERSAMPLE, None  # the file of the basis; at first it is random, made by each task alike
+    ended = np.append(idf, 0.0)
 
     for _ in range(steps + 1):
 
         def multiply(batches):
-            if known is None:
-                basis = np.random.default_rng(7).standard_normal((BUCKETS, width), dtype=np.float32)
-            else:
-                basis = np.zeros((BUCKETS, width), dtype=np.float32)
-                basis[known[0]] = known[1]
+            weighed = np.random.default_rng(7).standard_normal((BUCKETS + 1, width), dtype=np.float32) if known is None else load(known)
+            weighed *= ended[:, None].astype(np.float32)
             sums = np.zeros((BUCKETS, width), dtype=np.float32)
+            held, n = [], 0
             for batch in batches:
-                for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    for part in item_passages(words_of(text)):
-                        at, w = tfidf(buckets_of(part), idf)
-                        w = (w * weight).astype(np.float32)
-                        sums[at] += np.outer(w, w @ basis[at])
+                for text in _unpacked(batch):
+                    step = 1 << 14  # a long text goes in parts; the half window that two parts share ends one and starts the next
+                    for at in range(0, max(1, len(text) - WINDOW // 2), step):
+                        part = text[at:at + step + WINDOW // 2]
+                        held.append(part)
+                        n += len(part)
+                        if n >= step:
+                            add_products(held, ended, weighed, sums)
+                            held, n = [], 0
+            add_products(held, ended, weighed, sums)
             used = np.flatnonzero(sums.any(axis=1))  # words that occur in the rows
-            yield pa.RecordBatch.from_arrays([pa.array(used // 64, pa.int32()), pa.array(used % 64, pa.int32()), pa.array(list(sums[used]), pa.list_(pa.float32()))],
-                                             names=["block", "at", "sums"])
+            for i in range(0, len(used), BLOCK):
+                own = used[i:i + BLOCK]
+                values = (sums[own] * idf[own, None]).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(own // 64, pa.int32()), pa.array(own % 64, pa.int32()), lists], names=["block", "at", "sums"])
 
         def total(part: pa.Table) -> pa.Table:
-            sums = np.zeros((64, width), dtype=np.float32)
-            np.add.at(sums, part.column("at").to_numpy(), part.column("sums").combine_chunks().values.to_numpy().reshape(-1, width))
+            sums = np.zeros((64, width), dtype=np.float64)
+            for batch in part.to_batches():
+                values = batch.column("sums").flatten().to_numpy().reshape(-1, width)
+                for k, row in zip(batch.column("at").to_pylist(), values):
+                    sums[k] += row
             used = np.unique(part.column("at").to_numpy())
-            return pa.table({"bucket": pa.array(used + 64 * part.column("block")[0].as_py(), pa.int32()), "sums": pa.array(list(sums[used]), pa.list_(pa.float32()))})
+            return pa.table({"bucket": pa.array(used + 64 * part.column("block")[0].as_py(), pa.int32()), "sums": pa.array(list(sums[used].astype(np.float32)), pa.list_(pa.float32()))})
 
         parts = rows.mapInArrow(multiply, "block int, at int, sums array<float>")
-        got = parts.groupBy("block").applyInArrow(total, "bucket int, sums array<float>").toArrow()  # a row for each word of the bounded set
+        got = parts.groupBy("block").applyInArrow(total, "bucket int, sums array<float>").toArrow()  # a row for each bucket
         if not got.num_rows:
             return np.zeros((BUCKETS, 1), np.float32)
         order = np.argsort(got.column("bucket").to_numpy())
         used = got.column("bucket").to_numpy()[order]
         sums = got.column("sums").combine_chunks().values.to_numpy().reshape(-1, width)[order]
+        del got
         q, r = np.linalg.qr(sums.astype(np.float64))
-        known, width = (used, q.astype(np.float32)), q.shape[1]
+        del sums
+        if known is not None:
+            forget(known)
+        width = q.shape[1]
+        basis = np.zeros((BUCKETS + 1, width), dtype=np.float32)
+        basis[used] = q
+        known = save(basis, f"{fresh_dir(spark, 'basis')}/basis.npy")
+        del basis
+    forget(known)
     u, s, _ = np.linalg.svd(r)  # the last sums are A'A times an orthonormal basis: its singular values order the directions
     keep = np.flatnonzero(s > s[0] * 1e-7)[:rank]
     basis = np.zeros((BUCKETS, len(keep)), dtype=np.float32)
@@ -207,13 +311,17 @@ class Space:
     def make(cls, basis: np.ndarray, idf: np.ndarray) -> Space:
         return cls(np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)]))
 
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def of(uri: str) -> Space:
+        """The space whose rows are in a file, read once by each Python worker."""
+        return Space(load(uri))
+
 
 def cosines(buckets: np.ndarray, space: Space, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, cosine of each window with each query passage)."""
-    half = WINDOW // 2
     starts = window_starts(len(buckets))
-    padded = np.concatenate([buckets, np.full(-len(buckets) % half, BUCKETS, dtype=np.int32)])
-    sums = space.rows[padded].reshape(-1, half, space.rows.shape[1]).sum(axis=1)  # of each half window
+    sums = space.rows[padded_halves(buckets)].sum(axis=1)
     z = sums[:len(starts)].copy()
     if len(sums) > 1:
         z += sums[1:len(starts) + 1]
@@ -256,15 +364,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select("item_id", text_of().alias("text"), answer.alias("answer"))
     n_items = items.count()
-    seen, n_docs = document_frequencies(docs)
+    hashed = materialize(bucketed(docs.select(text_of())), "words")
+    seen, n_docs, n_words = document_frequencies(hashed)
     idf = np.log((n_docs + 1) / (seen + 0.5)).clip(0.0)
-    pick = lambda col, n, most: F.pmod(F.xxhash64(col), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, most / max(n, 1)))
-    first_words = F.slice(F.split(F.btrim("text"), r"\s+"), 1, WINDOW)
-    sample = materialize(docs.select(text_of().alias("text"), "doc_id").where(pick("doc_id", n_docs, SAMPLE_DOCS))
-                         .select(F.array_join(first_words, " ").alias("text"), F.lit(SAMPLE_WEIGHT).alias("weight")), "sample")
-    fit = items.where(pick("item_id", n_items, FIT_ITEMS)).select("text", F.lit(1.0).alias("weight")).unionByName(sample)
-    basis = fit_basis(fit, idf, rank)
-    space = Space.make(basis, idf)
+    tasks = max(3, math.ceil(n_words / WORDS_A_TASK))
+    basis = fit_basis(hashed.unionByName(bucketed(items.select("text"))).coalesce(tasks), idf, rank)
+    discard(hashed)
+    space = save(Space.make(basis, idf).rows, f"{fresh_dir(docs.sparkSession, 'space')}/space.npy")
     source = docs.select(F.col("doc_id").cast("long"), text_of(), F.xxhash64(text_of()))
     blocks = max(1, -(-n_items // items_a_pass))
     out = None
@@ -275,7 +381,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
         def run(batch: pa.RecordBatch, queries=queries):
             rows = []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                hit = matches(text, space, queries, least_cosine, least_cover)
+                hit = matches(text, Space.of(space), queries, least_cosine, least_cover)
                 if hit:
                     ids = sorted({queries.ids[i] for i, _, _ in hit if queries.ids[i] is not None})
                     rows.append((k, ids, max(c for _, c, _ in hit), max(c for _, _, c in hit)))

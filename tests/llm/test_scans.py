@@ -4,6 +4,8 @@ import json
 import random
 import struct
 
+import numpy as np
+
 from supplyscope.llm import decontaminate, quality, secret_scan, toxicity
 from supplyscope.llm.queries import QUERIES
 from tests.conftest import SF0001
@@ -184,6 +186,33 @@ def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
     assert got == {i: list(range(i * 20, i * 20 + 20)) for i in range(200)}
 
 
+def test_products_are_of_all_passages():
+    rng = np.random.default_rng(1)
+    idf, basis = rng.random(decontaminate.BUCKETS) * 3, rng.standard_normal((decontaminate.BUCKETS, 8)).astype(np.float32)
+    texts = [(rng.zipf(1.3, n) % decontaminate.BUCKETS).astype(np.int32) for n in (0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 200, 3000)]
+    got, want = np.zeros((decontaminate.BUCKETS, 8), np.float32), np.zeros((decontaminate.BUCKETS, 8))
+    decontaminate.add_products(texts, np.append(idf, 0.0), np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, 8), np.float32)]), got)
+    for t in texts:
+        for s in decontaminate.window_starts(len(t)) if len(t) else []:
+            at, w = decontaminate.tfidf(t[s:s + decontaminate.WINDOW], idf)
+            want[at] += np.outer(w, w @ basis[at])
+    assert np.allclose(got * idf[:, None], want, atol=1e-4 * np.abs(want).max())
+
+
+def test_basis_spans_what_goes_together_late_in_many_documents(spark):
+    rng = random.Random(37)
+    late = [f"late{k} even{k}" for k in range(8)]  # pairs that occur only behind the first passage, in every document
+    rows = [(i, prose(rng, 40) + " " + " ".join(late[(i + j) % 8] + " " + prose(rng, 6) for j in range(30))) for i in range(600)]
+    hashed = decontaminate.bucketed(docs(spark, rows).select("text"))
+    seen, n, _ = decontaminate.document_frequencies(hashed)
+    idf = np.log((n + 1) / (seen + 0.5)).clip(0.0)
+    idf[decontaminate.buckets_of([w.encode() for p in late for w in p.split()])] = 3.0  # as if they were rare
+    basis = decontaminate.fit_basis(hashed, idf, rank=16)
+    for pair in late:
+        a, b = (basis[k] for k in decontaminate.buckets_of(decontaminate.words_of(pair)))
+        assert a @ b > 0.9 * np.linalg.norm(a) * np.linalg.norm(b) > 0
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):

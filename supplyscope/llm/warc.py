@@ -3,7 +3,7 @@
 ``write_warc`` writes one gzip member per record, one file a task (a new one beyond ``max_bytes``).  Rows with equal payloads of at least
 ``least_bytes`` become one response and revisits that refer to it.
 
-``read_warc`` cuts files into byte ranges.  A task looks for the gzip magic in its range, decodes what follows a match, and takes the match for a record only if it inflates to WARC headers, and then to the
+``read_warc`` cuts files into byte ranges.  A task looks for the gzip magic in its range, decodes what follows a match, and takes the match for a record only if it inflates to WARC headers of any length, and then to the
 whole block they announce with the member's checksum right; any other match is data that looks like a magic and the search goes on behind it.  A record belongs
 to the range in which it starts, so a task may read on behind its range, and every record is read once whatever the split size.
 Beside one record and a read buffer a task holds nothing.
@@ -34,7 +34,6 @@ from supplyscope.llm.files import open_fs, replaced_file
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
-HEADER_LIMIT = 1 << 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, as in RFC 4122
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -128,10 +127,15 @@ class _Window:
         return -1
 
 
+#: The start of a header line: a name and a colon, or white space that continues the line before.
+_HEADER = re.compile(rb"[!#-'*+.0-9A-Z^-z|~-]+[ \t]*:|[ \t]")
+
+
 def _inflate(window: _Window, pos: int) -> tuple[bytes, int] | None:
     """The content and the end of the gzip member at ``pos`` if it is a WARC record; None if it isn't."""
-    d, parts, seen, at = zlib.decompressobj(31), [], 0, pos
-    checked = False
+    d, parts, at = zlib.decompressobj(31), [], pos
+    head: bytearray | None = bytearray()  # what is inflated up to the blank line; None behind it
+    checked = 0  # the start of the first header line that is not checked yet
     while not d.eof:
         piece = window.get(at, min(1 << 16, window.size - at))
         if not piece:
@@ -141,12 +145,18 @@ def _inflate(window: _Window, pos: int) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         at += len(piece)
-        seen += len(parts[-1])
-        if not checked and (seen >= HEADER_LIMIT or d.eof or b"\r\n\r\n" in parts[-1]):
-            head = b"".join(parts)[:HEADER_LIMIT]
-            if not head.startswith(b"WARC/1.") or b"\r\n\r\n" not in head:
+        if head is not None:
+            head += parts[-1]
+            if not head.startswith(b"WARC/1."[:len(head)]):
+                return None
+            while (end := head.find(b"\r\n", max(checked, len(head) - len(parts[-1]) - 1))) > checked:
+                if checked and not _HEADER.match(head, checked, end):
+                    return None
+                checked = end + 2
+            if end >= 0:  # an empty line
+                head = None
+            elif d.eof:
                 return None
-            checked = True
     return b"".join(parts), at - len(d.unused_data)
 
 

@@ -39,6 +39,30 @@ def test_warc_round_trip(spark, split):
     assert warc.read_warc(warc.write_warc(spark.createDataFrame([], PAGES))).collect() == []
 
 
+def test_long_headers_are_read(spark):
+    rng = random.Random(13)
+    urls = {1: "data:" + "".join(rng.choices("abcdefgh0123456789", k=200_000)), 2: "data:" + " \n" * 100_000, 3: "data:" + "x" * 65_300, 4: "u", 5: "data:" + "y" * 3_000_000}
+    wrote = warc.write_warc(spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], PAGES).coalesce(1))
+    got = {r.page_id: r.target_uri for r in warc.read_warc(wrote, split_bytes=5000).collect()}
+    assert got == {i: warc._plain_uri(u) for i, u in urls.items()}
+
+
+def test_headers_end_at_any_piece():
+    record = warc.warc_record(7, "data:" + "z" * 3000, b"payload", "00", None, "d")
+    data = warc._member(record, 0) + warc._member(b"WARC/1.1\r\nno header\r\n\r\n", 0) + warc._member(b"WARC/1.1\r\nA: b\r\n", 0)
+
+    class Bytes:  # a byte at a time
+        size = len(data)
+
+        def get(self, pos, n):
+            return data[pos:pos + 1]
+
+    window = Bytes()
+    assert warc._inflate(window, 0) == (record, len(warc._member(record, 0)))
+    assert warc._inflate(window, len(warc._member(record, 0))) is None
+    assert warc._inflate(window, len(data) - len(warc._member(b"WARC/1.1\r\nA: b\r\n", 0))) is None
+
+
 def test_false_magics_are_skipped():
     record = warc.warc_record(1, "u", b"payload \x1f\x8b\x08 inside", "00", None, "d")
     data = b"\x1f\x8b\x08junk" + warc._member(record, 0) + warc._member(b"\x1f\x8b\x08" * 9, 0) + warc._member(b"no record", 6) + warc._member(record, 6)

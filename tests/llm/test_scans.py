@@ -44,6 +44,25 @@ def test_structures_are_confirmed():
     assert kinds(f"-----BEGIN PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----") == ["key_block"]
 
 
+def test_common_encodings_of_keys_are_decoded():
+    lines = lambda t, n: "\n".join(t[i:i + n] for i in range(0, len(t), n))
+    pem = f"-----BEGIN PRIVATE KEY-----\n{lines(b64(PKCS8), 64)}\n-----END PRIVATE KEY-----\n"
+    escaped = json.dumps({"é": 1, "private_key": pem}, ensure_ascii=False)
+    (a, k, b), = secret_scan.structural_spans(escaped)
+    assert (secret_scan.KINDS[k], escaped[a:b]) == ("key_block", json.dumps(pem.strip())[1:-1])
+    for body in (PKCS8, PKCS1, OPENSSH, pem.encode()):
+        for width in (64, 76):
+            text = f"é \U0001f600 key:\n{lines(b64(body), width)}\n\nmore words"
+            spans = secret_scan.structural_spans(text)
+            assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in spans] == [("base64_key", lines(b64(body), width))]
+            assert secret_scan.structural_spans(text.replace("\n\nmore", "\nmore"))[0][0] == spans[0][0]
+    assert secret_scan.KINDS[secret_scan.structural_spans(b64(pem.encode()))[0][1]] == "base64_key"
+    assert len(secret_scan.structural_spans(pem)) == 1
+    dsa = der(0x30, der(2, b"\0") + b"".join(der(2, b"\1" + RNG.randbytes(n)) for n in (127, 19, 127, 127, 18)))
+    assert [secret_scan.KINDS[k] for _, k, _ in secret_scan.structural_spans(b64(dsa))] == ["base64_key"]
+    assert secret_scan.structural_spans(lines(b64(RNG.randbytes(900)), 64)) == []
+
+
 def test_lookalikes_are_not_reported():
     assert kinds(b64(RNG.randbytes(300))) == []
     assert kinds(b64(PKCS8[:-1])) == []  # a nested length does not fit

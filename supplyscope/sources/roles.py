@@ -10,7 +10,7 @@ in step.
 The few modulo rules below (e.g. no invoice for every 7th order, a NULL purchase
 order on every 11th shipment, a reversed operation on every 17th) drop or blank a
 small share of rows only to create the missing links and NULL paths the reports
-exist to diagnose; the test tables have none.  They never shrink the work.
+exist to diagnose; the test tables have none.  Where they drop rows, those never reach a query.
 
 Mapping (all keys are derived, nothing is sampled):
 

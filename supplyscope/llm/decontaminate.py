@@ -272,6 +272,7 @@ class Queries:
     item: np.ndarray  # of each passage
     vectors: np.ndarray  # basis columns x passages, of unit norm
     distinct: list[frozenset]  # the words of each item
+    longest: int  # words of an item
 
     @classmethod
     def make(cls, items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Queries:
@@ -284,7 +285,7 @@ class Queries:
                 item.append(i)
                 rows.append(unit_rows((weights.astype(np.float32) @ basis[at])[None])[0])
         return cls([i for i, _, _ in items], words, answers, np.array(item, dtype=np.int64),
-                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), [frozenset(w) for w in words])
+                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), [frozenset(w) for w in words], max(map(len, words), default=0))
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -338,7 +339,13 @@ def matches(text: str, space: Space, queries: Queries, least_cosine: float, leas
     for at in range(0, len(words), 1 << 14):  # windows start in this part of a long text
         part = buckets[at:at + (1 << 14) + WINDOW // 2]
         starts, cos = cosines(part, space, queries)
-        rows, columns = np.nonzero(cos >= least_cosine)
+        near = cos >= least_cosine
+        whole = frozenset(words[max(0, at - queries.longest):at + len(part) + WINDOW + queries.longest])  # all that the items are held against here
+        for q in np.flatnonzero(near.any(axis=0)).tolist():
+            n = len(queries.words[queries.item[q]])
+            if n - len(queries.distinct[queries.item[q]] - whole) < least_cover * n:
+                near[:, q] = False
+        rows, columns = np.nonzero(near)
         last, widest, have = -1, 0, frozenset()
         for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[columns].tolist()):
             if found.get(i, (0, 0))[1] >= 1:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from supplyscope.llm.common import for_workers, table, unsigned_hex
 from supplyscope.llm.decontaminate import find_benchmark
+from supplyscope.llm.filter_audit import audit_filters
+from supplyscope.llm.hard_negatives import mine_hard_negatives
 from supplyscope.llm.line_dedup import line_classes
 from supplyscope.llm.mixing import mix
+from supplyscope.llm.packing import pack
 from supplyscope.llm.quality import quality_verdicts
 from supplyscope.llm.secret_scan import scan_secrets
 from supplyscope.llm.simhash import simhash_components
@@ -83,8 +86,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: for_workers(f) for f in (
-    op1_toxicity, op2_decontamination, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op9_substring_dedup, op10_mixing)}
+    op1_toxicity, op2_decontamination, op3_secret_scan, op4_line_dedup, op5_quality_rules, op6_warc, op7_token_store, op8_simhash, op9_substring_dedup, op10_mixing,
+    op11_filter_audit, op12_hard_negatives, op13_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_warc": """
@@ -94,4 +113,41 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
         FROM r""",
+    "op11_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+        b AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS bits FROM w),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, bits),
+        f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders AS (SELECT f1.letter || f2.letter || f3.letter || f4.letter || f5.letter AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bit
+                   FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND f1.bit | f2.bit | f3.bit | f4.bit | f5.bit = 31),
+        steps AS (SELECT filter_order, step, bit[step] AS own, coalesce(list_sum(bit[1:step - 1]), 0)::BIGINT AS earlier FROM orders, range(1, 6) r(step)),
+        counted AS (SELECT part, filter_order, step, own,
+                      sum(CASE WHEN bits & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+                      sum(CASE WHEN bits & earlier = 0 AND bits & own != 0 THEN n ELSE 0 END) AS removed,
+                      sum(CASE WHEN bits & earlier != 0 AND bits & own != 0 THEN n ELSE 0 END) AS redundant,
+                      sum(CASE WHEN bits = own THEN n ELSE 0 END) AS unique_fails,
+                      sum(CASE WHEN bits & earlier = 0 AND bits & own != 0 THEN good ELSE 0 END) AS good_lost,
+                      sum(CASE WHEN bits & earlier = 0 AND bits & own != 0 THEN toxic ELSE 0 END) AS toxic_lost
+                    FROM c, steps GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+               unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id != b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+        QUALIFY row_number() OVER w <= 5""",
 }

@@ -79,7 +79,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), least=400)
+    """The contract's columns, and behind them whether anything goes from the document."""
+    return remove_repeats(table(spark, sf_dir, "documents"), least=400).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.llm.common import fresh_dir, map_arrow, materialize, text_of
+from supplyscope.llm.common import discard, fresh_dir, map_arrow, materialize, text_of
 
 GRAM = 32
 PIECE = 1 << 20  # windows named at a time
@@ -208,15 +208,15 @@ def runs_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- tables ------------------------------------------------------------------------------------------------------
 
-def _bucketed_texts(docs: DataFrame) -> DataFrame:
-    """Rows (h, text, copies): each distinct text once, bucketed by its hash."""
+def _bucketed_texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(rows (h, text, copies): each distinct text once, bucketed by its hash; the name of their table)."""
     spark = docs.sparkSession
     texts = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text")).groupBy("h").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     path = fresh_dir(spark, "texts")
     name = path.rsplit("/", 1)[1].replace("-", "_")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts.write.bucketBy(buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def repeated_runs(texts: DataFrame, least: int) -> DataFrame:
@@ -276,7 +276,7 @@ def merged_spans(first: np.ndarray, last: np.ndarray, least: int) -> list[tuple[
 
 def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one for each row of ``docs``; kept are the remaining bytes."""
-    texts = _bucketed_texts(docs)
+    texts, name = _bucketed_texts(docs)
     runs = repeated_runs(texts, least).groupBy("h").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     joined = texts.join(runs.withColumnRenamed("h", "run_h"), F.col("h") == F.col("run_h"), "left").select("h", "text", "first", "last")
     names = ["h", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
@@ -293,5 +293,7 @@ def remove_repeats(docs: DataFrame, least: int = 400, with_text: bool = False) -
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     by_text = materialize(map_arrow(joined, "h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text, cut), "kept")
+    discard(texts)
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("row_h"))
     return rows.join(by_text, F.col("row_h") == F.col("h")).select("doc_id", *names[1:])

@@ -6,8 +6,8 @@ fits, else 32).  A document's place is its ``start``, the number of ids of all d
 
 The index maps a document key to its place.  Keys are dealt to buckets by hash; each bucket's file holds a minimal perfect
 hash (levels of bitmaps: a key settles in the first level where no other key shares its bit; its slot is the rank of
-that bit), and for each slot a 32-bit fingerprint of the key, the start, the number of ids and the number of documents.  A lookup reads a few words of one bucket,
-whatever the number of documents; a key that was never stored is rejected by its fingerprint (one in 2^32 is not).
+that bit), and for each slot a 32-bit fingerprint of the key, the start, the number of ids and the number of documents.  A lookup reads the file of one bucket, of about
+``KEYS_A_BUCKET`` keys whatever the number of documents, and a few words of it; a key that was never stored is rejected by its fingerprint (one in 2^32 is not).
 
 Defined cases: null or empty text is just the end id; rows without a doc_id come first in the shards and have no key;
 rows that repeat a doc_id are ordered by hash of the text and then text, their ids are adjacent, and the key leads to all of them;
@@ -227,7 +227,7 @@ class TokenStore:
         uri, buckets, starts = self.uri, self.buckets, np.array(self.shard_starts)
         dealt = (keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"))
                  .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-                 .repartition("bucket").sortWithinPartitions("bucket"))
+                 .repartition(buckets, "bucket").sortWithinPartitions("bucket"))
         held: OrderedDict[int, BucketIndex] = OrderedDict()
 
         def index(bucket: int) -> BucketIndex:
@@ -253,7 +253,7 @@ class TokenStore:
         """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) for rows (shard, doc_id, start, n_tokens), read from the shards."""
         uri, bits, starts = self.uri, self.bits, np.array(self.shard_starts)
         placed = places.select("doc_id", "start", "n_tokens", "shard")
-        placed = placed.repartition("shard").sortWithinPartitions("shard", "start")
+        placed = placed.repartition(len(self.shard_starts), "shard").sortWithinPartitions("shard", "start")
         kind, width = np.dtype("<u2" if bits == 16 else "<u4"), bits // 8
         names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 

@@ -188,6 +188,7 @@ def records_in(window: _Window, start: int, end: int) -> Iterator[tuple[int, int
         pos = member[1]
 
 
+MOST_TASKS = 20_000  # beyond so many ranges a task reads several
 SCHEMA = ("path string, start long, end long, record_type string, record_id string, target_uri string, page_id long, refers_to long, "
           "payload_bytes long, payload_digest string")
 
@@ -199,7 +200,9 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20, with_payload: bool =
     digest header must agree, and from the headers for a revisit.  With ``with_payload`` the payload comes too, null for a revisit.
     """
     ranges = files.where("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes))).alias("start"))
-    spread = ranges.repartition(F.col("path"), F.col("start"))
+    # rows of a range are tiny: without a number adaptive execution would put all ranges into one task
+    n_ranges = files.where("n_bytes > 0").agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    spread = ranges.repartition(min(int(n_ranges), MOST_TASKS))
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["payload"] * with_payload
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

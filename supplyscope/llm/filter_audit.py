@@ -53,8 +53,9 @@ def failing_rows(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows (doc_id, part, h) of documents whose text a smaller doc_id has too.  ``rows``: ``failing_rows`` of the same documents."""
     twice = rows.where("doc_id IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(F.col("h").alias("k"))
+    # repeated hashes grow with the documents, so they are never broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text_of().alias("t"))
-    held = materialize(texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("t")).join(twice, F.col("h") == F.col("k"), "left_semi"), "copies")
+    held = materialize(texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("t")).join(twice.hint("merge"), F.col("h") == F.col("k"), "left_semi"), "copies")
     first = held.groupBy("h", "t").agg(F.min("doc_id").alias("first_id")).select(F.col("h").alias("first_h"), F.col("t").alias("first_t"), "first_id")
     same = (F.col("h") == F.col("first_h")) & (F.col("t") == F.col("first_t")) & (F.col("first_id") < F.col("doc_id"))
     marked = materialize(held.join(first, same, "left_semi").select("doc_id", "part", "h"), "marked", narrow=True)

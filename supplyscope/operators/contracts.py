@@ -47,6 +47,39 @@ def delivery_lead_time(is_standard: Column, contract_id: Column, catalog_lead: C
         safe_number(attribute3, "double", decimal_comma))
 
 
+def contract_parts(needed: DataFrame, lines: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalogue rows that each needed ``(header, contract, vendor)`` is tested on, in two frames:
+    ``(by_part, by_contract)`` of ``(po_header_id, supplier_part_auxid, supplier, supplier_part_num)``.
+
+    The maximum lead time asks for the triangles of three relations: header-contract
+    (``needed``), header-part (the live lines) and contract-part (the catalogue).  A
+    triple is closed from its smaller side: with the parts of its header, or with the
+    catalogue rows of its contract, whichever are fewer.  ``by_part`` holds the first
+    kind (still to be looked up in the catalogue), ``by_contract`` the second (still to
+    be looked up in the lines).  So the rows between the joins are at most the sum of
+    the smaller degrees: a contract of thousands of headers and thousands of catalogue
+    rows costs the headers' own parts, not their product.
+    """
+    c = F.col
+    contract, part = ["supplier_part_auxid", "supplier"], "supplier_part_num"
+    parts = live_parts(lines)
+    of_header = parts.groupBy("po_header_id").agg(F.count(F.lit(1)).alias("n_parts"))
+    of_contract = catalog.groupBy(*contract).agg(F.count(F.lit(1)).alias("n_catalog"))
+    # a header without parts or a contract without rows closes no triangle: inner joins
+    triples = needed.join(of_header, "po_header_id", "inner").join(of_contract, contract, "inner")
+    from_header, from_contract = c("n_parts") <= c("n_catalog"), c("n_parts") > c("n_catalog")
+    keys = ["po_header_id", *contract]
+    by_part = triples.where(from_header).select(*keys).join(parts, "po_header_id", "inner").select(*keys, part)
+    by_contract = triples.where(from_contract).select(*keys).join(catalog.select(*contract, part), contract, "inner").select(*keys, part)
+    return by_part, by_contract
+
+
+def live_parts(lines: DataFrame) -> DataFrame:
+    """Distinct ``(po_header_id, supplier_part_num)`` of the lines that are not cancelled and name a part."""
+    live = F.col("vendor_product_num").isNotNull() & (F.coalesce(F.col("cancel_flag"), F.lit("N")) == "N")
+    return lines.where(live).select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")).distinct()
+
+
 def max_contract_lead_time(needed: DataFrame, lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """``(po_header_id, supplier_part_auxid, max_contract_lead_time)``.
 
@@ -55,16 +88,14 @@ def max_contract_lead_time(needed: DataFrame, lines: DataFrame, catalog: DataFra
 
     ``needed``: distinct ``(po_header_id, supplier_part_auxid, supplier)`` — the
     header, the contract number its line points at and the header's vendor name.
-    Plan: each needed triple reads the catalogue rows of *its* contract and vendor
-    (an equi-join on both), keeps those whose part number is on a live line of the
-    header (a semi join on ``(header, part)``), and takes the maximum.  The work is
-    bounded by the size of the contracts involved; contracts are never paired with
-    all the parts of a header.
+    ``catalog``: one row per ``CATALOG_KEYS``, as ``catalog_lead_times`` gives.
+    Plan: a degree-aware triangle join (``contract_parts``); its first frame is
+    looked up in the catalogue, its second kept where the header has the part.
     """
-    parts = (lines.where(F.col("vendor_product_num").isNotNull()
-                         & (F.coalesce(F.col("cancel_flag"), F.lit("N")) == "N"))
-             .select("po_header_id", F.col("vendor_product_num").alias("supplier_part_num")).distinct())
-    cand = needed.join(catalog.select(*CATALOG_KEYS, "max_lead_time"), ["supplier_part_auxid", "supplier"], "inner")
-    return (cand.join(parts, ["po_header_id", "supplier_part_num"], "left_semi")
+    by_part, by_contract = contract_parts(needed, lines, catalog)
+    leads = catalog.select(*CATALOG_KEYS, "max_lead_time")
+    keys = ["po_header_id", "supplier_part_num"]
+    found = by_part.unionByName(by_contract.join(live_parts(lines), keys, "left_semi"))
+    return (found.join(leads, CATALOG_KEYS, "inner")
             .groupBy("po_header_id", "supplier_part_auxid")
             .agg(F.max("max_lead_time").alias("max_contract_lead_time")))

@@ -76,6 +76,30 @@ def person_names(people: DataFrame, as_of, mode: str = "closed") -> DataFrame:
     return first_row(effective_rows(people, as_of, mode), ["person_id"], ["last_name"])
 
 
+NULL_PARTS = 1024  # a fixed number: rows without a key are dealt to so many hash values
+
+
+def spread_nulls(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
+                 spread: Sequence[str] | None = None) -> DataFrame:
+    """``left JOIN right USING (on)`` (left outer or anti) whose rows with a NULL key do not meet in one task.
+
+    A NULL key matches nothing, but all rows that have one hash alike and are sent to
+    the same partition.  Here the join has one more key: 0 where the keys are set (both
+    sides) and a number hashed from ``spread`` (columns of ``left``, all by default) where one is NULL.  Such
+    rows are dealt over all partitions, still match nothing, and the result is the same.
+    No side is evaluated twice, as it would be if NULL rows were set aside and unioned back.
+    """
+    on = list(on)
+    unset = F.lit(False)
+    for k in on:
+        unset = unset | F.col(k).isNull()
+    dealt = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(NULL_PARTS)) + 1
+    salted = left.withColumn("_spread", F.when(unset, dealt).otherwise(F.lit(0).cast("long")))
+    # not the literal 0, which the optimiser would turn into a filter and drop from the keys
+    zero = F.pmod(F.xxhash64(*on), F.lit(1))
+    return salted.join(right.withColumn("_spread", zero), [*on, "_spread"], how).drop("_spread")
+
+
 def left_join_split(left: DataFrame, right: DataFrame, on: Sequence[str],
                     right_keys: DataFrame | None = None) -> DataFrame:
     """``left LEFT JOIN right USING (on)`` written so both sides stay splittable.
@@ -93,7 +117,7 @@ def left_join_split(left: DataFrame, right: DataFrame, on: Sequence[str],
     on = list(on)
     matched = left.join(right, on, "inner")
     keys = (right_keys if right_keys is not None else right).select(*on).distinct()
-    missing = left.join(keys, on, "left_anti")
+    missing = spread_nulls(left, keys, on, "left_anti")
     extra = [f for f in right.schema.fields if f.name not in on]
     missing = missing.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
     return matched.unionByName(missing)

@@ -40,7 +40,7 @@ from supplyscope.functions.oracle import (blank, code_number, day_range, oracle_
 from supplyscope.operators.contracts import (catalog_lead_times, contract_lead_time, delivery_lead_time,
                                              max_contract_lead_time)
 from supplyscope.operators.links import valid_receipts, without_requisition
-from supplyscope.operators.lookups import assert_empty, assert_unique, first_row, lookup_values
+from supplyscope.operators.lookups import assert_empty, assert_unique, first_row, lookup_values, spread_nulls
 from supplyscope.operators.milestones import (approval_conflicts, approvers_from, has_category_line,
                                               invoiced_quantity, last_action, person_attributes,
                                               receipt_milestones)
@@ -184,9 +184,10 @@ def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STAN
     x = x.join(locs, "po_line_id", "inner")
     if rel:
         r = (releases if releases is not None else _releases(t, start, end)).withColumn("rel_hit", F.lit(True))
-        # inner join for the release family only: a left join keyed on the family,
-        # then drop release-family rows without an in-range release
-        x = x.join(r, c("is_release") & (c("po_release_id") == c("rel_id")), "left")
+        # inner join for the release family only: a left join whose key is NULL for the
+        # other family, then drop release-family rows without an in-range release
+        x = x.withColumn("rel_id", F.when(c("is_release"), c("po_release_id")))
+        x = spread_nulls(x, r, ["rel_id"], spread=["line_location_id"])
         x = x.where(~c("is_release") | c("rel_hit").isNotNull())
     else:
         x = x.withColumn("nr_liberacao", typed_null("long")).withColumn(
@@ -292,7 +293,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         # line grain (before shipments and distributions multiply the rows):
         # category filter, parent contract, catalogue lead times
         lx = lx.join(cats, "category_id", "inner")
-        lx = lx.join(contracts, "contract_id", "left")
+        lx = spread_nulls(lx, contracts, ["contract_id"], spread=["po_line_id"])
         if catalog is None:
             return lx
         lx = contract_lead_time(lx.withColumn("part_number", c("vendor_product_num")), catalog)
@@ -351,7 +352,7 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
                                               "segment3": "conta_contabil", "segment4": "centro_de_custo"})
     x = x.join(gcc, "code_combination_id", "inner")
     ppa = _rename(t["pa_projects_all"], {"project_id": "project_id", "segment1": "numero_projeto"})
-    x = x.join(ppa, "project_id", "left")
+    x = spread_nulls(x, ppa, ["project_id"], spread=["line_location_id"])
 
     # ---- invoice grain: invoice ⟕ operation ⟕ invoice type, then one join
     ri = _rename(t["rec_invoices"], {"invoice_id": "ri_invoice_id", "organization_id": "ri_org",
@@ -363,7 +364,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
                                            "parent_flag": "parent_flag"})
     inv = (ri.join(reo, (c("ri_org") == c("reo_org")) & (c("nr_ar") == c("reo_operation_id")), "left")
              .join(rit, (c("ri_type") == c("rit_type")) & (c("ri_org") == c("rit_org")), "left"))
-    x = x.join(inv, c("ril_invoice_id") == c("ri_invoice_id"), "left")
+    inv = inv.withColumn("ril_invoice_id", c("ri_invoice_id"))
+    x = spread_nulls(x, inv, ["ril_invoice_id"], spread=["line_location_id", "code_combination_id"])
     x = valid_receipts(x).withColumn(
         "qt_entregue_fornecedor_linha", F.when(c("ri_invoice_id").isNotNull(), c("ril_quantity")))
 

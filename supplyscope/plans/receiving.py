@@ -166,25 +166,29 @@ def receiving_diagnosis(t: Mapping[str, DataFrame], ri=None, org: str | None = N
                         sort: bool = True, skew_safe: bool = True) -> DataFrame:
     """The 44-column diagnosis.
 
-    ``ri``: one operation id or a list (``None`` = all); ``org``: organisation
-    code (``None`` = all).  With ``ri``, every table is first restricted to what
+    ``ri``: one operation id, a list, or a DataFrame whose first column holds them
+    (``None`` = all); ``org``: organisation code (``None`` = all).  With ``ri``, every table is first restricted to what
     those operations reach (``scope_to_operations``), so a report on one
     operation does not join the whole invoice-line and shipment tables.
     ``sort``: order by operation and invoice line, NULLs last.
     """
     c = F.col
-    ids = None if ri is None else [int(i) for i in ([ri] if isinstance(ri, (int, str)) else ri)]
-    if ids is not None or org is not None:
+    table = ri if isinstance(ri, DataFrame) else None
+    ids = None if ri is None or table is not None else [int(i) for i in ([ri] if isinstance(ri, (int, str)) else ri)]
+    if ri is not None or org is not None:
         ops = t["cll_f189_entry_operations"]
         if ids is not None:
             ops = ops.where(c("operation_id").isin(*ids))
+        elif table is not None:
+            wanted = table.select(c(table.columns[0]).cast("long").alias("operation_id"))
+            ops = ops.join(wanted.where(c("operation_id").isNotNull()).distinct(), "operation_id", "left_semi")
         if org is not None:
             orgs = t["mtl_parameters"].where(c("organization_code") == org).select("organization_id")
             ops = ops.join(orgs, "organization_id", "left_semi")
         # explicit operation ids are few: cut every table to what they reach.  An
         # organisation alone may hold a large share of the operations, where the
         # chain of semi joins would cost more than it saves: filter only the driver.
-        t = scope_to_operations(t, ops) if ids is not None else {**dict(t), "cll_f189_entry_operations": ops}
+        t = scope_to_operations(t, ops) if ri is not None else {**dict(t), "cll_f189_entry_operations": ops}
     b = receiving_lines(t, skew_safe)
     if ids is not None:
         b = b.where(c("ri").isin(*ids))

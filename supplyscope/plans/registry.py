@@ -5,6 +5,7 @@ report) over the role views of a test-data directory.  Oracle SQL for each is in
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,15 @@ from supplyscope.functions.oracle import (code_number, day_range, digits_to_numb
 from supplyscope.operators.contracts import catalog_lead_times, contract_lead_time, delivery_lead_time, max_contract_lead_time
 from supplyscope.operators.links import valid_receipts, with_requisition, without_requisition
 from supplyscope.operators.lookups import (effective_rows, first_row, lookup_values, person_names, require_unique)
-from supplyscope.operators.milestones import (approver_columns, has_category_line, hold_counts, invoiced_quantity,
+from supplyscope.operators.milestones import (approval_conflicts, approver_columns, has_category_line, hold_counts, invoiced_quantity,
                                               last_action, receipt_milestones, receipt_milestones_separate)
+from supplyscope.operators.rejects import number_rejects
 from supplyscope.operators.rules import (diagnosis_status, document_type, link_flags, recommended_action, tax_id)
 from supplyscope.plans.orders import (approved_shipments, po_without_requisition, po_without_requisition_report)
 from supplyscope.plans.receiving import receiving_diagnosis, receiving_lines
+from supplyscope.session import ensure_checkpoint_dir
 from supplyscope.sources.roles import role_tables
+from supplyscope.sources.sink import read_report, write_report
 
 # Report parameters used by the registered queries: the whole date range of the
 # test data, so every query covers its full tables.
@@ -105,6 +109,38 @@ def q_receiving_by_org(spark, sf_dir):
     return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
 
 
+def q_receiving_ri_and_org(spark, sf_dir):
+    """The operations that have an invoice on hold, of one organisation: ids as a table and the organisation together."""
+    t = _t(spark, sf_dir)
+    held = t["cll_f189_invoices"].join(t["cll_f189_holds"].select("invoice_id").distinct(), "invoice_id", "left_semi").select("operation_id")
+    df = receiving_diagnosis(t, ri=held, org=SCOPED_ORG)
+    return df.select(*[to_char(c(n)).alias(n) if n in RI_DATES else c(n) for n in df.columns])
+
+
+def q_number_rejects(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return number_rejects(t["po_lines_all"], t["rcv_shipment_headers"])
+
+
+CONFLICT_SPAN = 500  # actions that share one sequence number in the query below
+
+
+def q_approval_conflicts(spark, sf_dir):
+    """Ambiguous last approvals of a history whose sequence numbers repeat (each stands for ``CONFLICT_SPAN`` actions)."""
+    history = _t(spark, sf_dir)["po_action_history"]
+    coarse = history.withColumn("sequence_num", F.floor(c("sequence_num") / CONFLICT_SPAN).cast("long"))
+    return approval_conflicts(coarse, "APPROVE", ["PA", "PO", "RELEASE"])
+
+
+def q_report_sink(spark, sf_dir):
+    """Shipments without requisition written twice by document type, read back from the files."""
+    df = q_po_without_requisition(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    for _ in range(2):
+        write_report(df, path, ["tipo_documento"])
+    return read_report(spark, path, df.schema)
+
+
 def q_hold_count(spark, sf_dir):
     t = _t(spark, sf_dir)
     inv = t["cll_f189_invoices"].select("invoice_id")
@@ -365,6 +401,10 @@ QUERIES: dict[str, Query] = {
     "receiving_report": q_receiving_report,
     "receiving_scoped": q_receiving_scoped,
     "receiving_by_org": q_receiving_by_org,
+    "receiving_ri_and_org": q_receiving_ri_and_org,
+    "number_rejects": q_number_rejects,
+    "approval_conflicts": q_approval_conflicts,
+    "report_sink": q_report_sink,
     "hold_count": q_hold_count,
     "receipt_milestones": q_receipt_milestones,
     "receipt_milestones_separate": q_receipt_milestones_separate,

@@ -22,11 +22,13 @@ import io
 import math
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 10
 WINDOW = 32  # words in a passage; half of them is the step
-RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
+RANK, OVERSAMPLE, POWER_STEPS = 96, 16, 1
+FAN_IN = 64  # partial sums that one group adds up
 WORDS_A_TASK = 1 << 24  # a task adds up its sums for all its words, so that few of them are shuffled
 TOGETHER = 64  # half windows multiplied at once; the result is the same
 LEAST_COSINE, LEAST_COVER, ANSWER_WORDS = 0.20, 0.7, 6
@@ -81,6 +84,19 @@ def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype="<u2").astype(np.int32) for b in batch.column(0).to_pylist()]
 
 
+def add_in_levels(parts: DataFrame, tasks: int, total: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Adds up the partial sums of up to ``tasks`` tasks, ``FAN_IN`` at a time, so no group grows with the tasks.
+
+    ``parts`` has rows (block, part, …), part being the number of the task; ``total`` adds the rows of one block and returns columns of the same names, with any part."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    while True:
+        last = tasks <= FAN_IN
+        parts = parts.withColumn("part", F.floor(F.col("part") / (tasks if last else FAN_IN)).cast("int")).groupBy("block", "part").applyInArrow(total, columns)
+        if last:
+            return parts
+        tasks = -(-tasks // FAN_IN)
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
     """(documents with a word of each bucket, number of documents, number of words), over all documents (buckets)."""
 
@@ -92,14 +108,15 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
                 n += 1
                 words += len(buckets)
         blocks = [(-1, [n, words])] + [(b, seen[b * BLOCK:(b + 1) * BLOCK]) for b in range(BUCKETS // BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([v for _, v in blocks], pa.list_(pa.int64()))], names=["block", "sums"])
+        part = np.full(len(blocks), TaskContext.get().partitionId(), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array(part), pa.array([v for _, v in blocks], pa.list_(pa.int64()))], names=["block", "part", "sums"])
 
     def total(part: pa.Table) -> pa.Table:
         sums = np.sum([np.asarray(v.values) for v in part.column("sums")], axis=0)
-        return pa.table({"block": part.column("block")[:1], "sums": pa.array([sums], pa.list_(pa.int64()))})
+        return pa.table({"block": part.column("block")[:1], "part": part.column("part")[:1], "sums": pa.array([sums], pa.list_(pa.int64()))})
 
-    parts = docs.mapInArrow(count, "block int, sums array<bigint>")
-    table = parts.groupBy("block").applyInArrow(total, "block int, sums array<bigint>").toArrow()  # a number a bucket
+    parts = docs.mapInArrow(count, "block int, part int, sums array<bigint>")
+    table = add_in_levels(parts, docs.rdd.getNumPartitions(), total).toArrow()  # a number a bucket
     got = {b: np.asarray(v.values) for b, v in zip(table.column("block").to_pylist(), table.column("sums"))}
     if not got:
         return np.zeros(BUCKETS), 0, 0
@@ -168,6 +185,11 @@ def add_products(texts: list[np.ndarray], idf: np.ndarray, weighed: np.ndarray,
         sums[at[:k]] += counts[:k].astype(np.float32) @ back[i:i + m]
 
 
+def _rows_of(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
 def save(values: np.ndarray, uri: str) -> str:
     """Write an array as a file of the shared folder, which tasks ``load``."""
     with replaced_file(uri) as out:
@@ -194,7 +216,7 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
     Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a, and their sums are added by word.
     Tasks read V from a file of the shared folder.
     """
-    spark = rows.sparkSession
+    spark, tasks = rows.sparkSession, rows.rdd.getNumPartitions()
     width, known = rank + OVERSAMPLE, None  # the file of the basis; at first it is random, made by each task alike
     ended = np.append(idf, 0.0)
 
@@ -204,14 +226,14 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
             weighed = np.random.default_rng(7).standard_normal((BUCKETS + 1, width), dtype=np.float32) if known is None else load(known)
             weighed *= ended[:, None].astype(np.float32)
             sums = np.zeros((BUCKETS, width), dtype=np.float32)
-            held, n = [], 0
+            held, n, part = [], 0, TaskContext.get().partitionId()
             for batch in batches:
                 for text in _unpacked(batch):
                     step = 1 << 14  # a long text goes in parts; the half window that two parts share ends one and starts the next
                     for at in range(0, max(1, len(text) - WINDOW // 2), step):
-                        part = text[at:at + step + WINDOW // 2]
-                        held.append(part)
-                        n += len(part)
+                        piece = text[at:at + step + WINDOW // 2]
+                        held.append(piece)
+                        n += len(piece)
                         if n >= step:
                             add_products(held, ended, weighed, sums)
                             held, n = [], 0
@@ -220,8 +242,8 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
             for i in range(0, len(used), BLOCK):
                 own = used[i:i + BLOCK]
                 values = (sums[own] * idf[own, None]).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(own // 64, pa.int32()), pa.array(own % 64, pa.int32()), lists], names=["block", "at", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(own // 64, pa.int32()), pa.array(np.full(len(own), part, dtype=np.int32)), pa.array(own % 64, pa.int32()), _rows_of(values)],
+                                                 names=["block", "part", "at", "sums"])
 
         def total(part: pa.Table) -> pa.Table:
             sums = np.zeros((64, width), dtype=np.float64)
@@ -230,14 +252,16 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
                 for k, row in zip(batch.column("at").to_pylist(), values):
                     sums[k] += row
             used = np.unique(part.column("at").to_numpy())
-            return pa.table({"bucket": pa.array(used + 64 * part.column("block")[0].as_py(), pa.int32()), "sums": pa.array(list(sums[used].astype(np.float32)), pa.list_(pa.float32()))})
+            same = {c: pa.array(np.full(len(used), part.column(c)[0].as_py(), dtype=np.int32)) for c in ("block", "part")}
+            return pa.table(same | {"at": pa.array(used.astype(np.int32)), "sums": _rows_of(sums[used].astype(np.float32))})
 
-        parts = rows.mapInArrow(multiply, "block int, at int, sums array<float>")
-        got = parts.groupBy("block").applyInArrow(total, "bucket int, sums array<float>").toArrow()  # a row for each bucket
+        parts = rows.mapInArrow(multiply, "block int, part int, at int, sums array<float>")
+        got = add_in_levels(parts, tasks, total).toArrow()  # a row for each bucket
         if not got.num_rows:
             return np.zeros((BUCKETS, 1), np.float32)
-        order = np.argsort(got.column("bucket").to_numpy())
-        used = got.column("bucket").to_numpy()[order]
+        bucket = got.column("block").to_numpy() * 64 + got.column("at").to_numpy()
+        order = np.argsort(bucket)
+        used = bucket[order]
         sums = got.column("sums").combine_chunks().values.to_numpy().reshape(-1, width)[order]
         del got
         q, r = np.linalg.qr(sums.astype(np.float64))
@@ -273,6 +297,10 @@ class Queries:
     vectors: np.ndarray  # basis columns x passages, of unit norm
     distinct: list[frozenset]  # the words of each item
     longest: int  # words of an item
+    buckets: np.ndarray  # of the distinct words of all items with passages, one item after another
+    first: np.ndarray  # where each of these items begins there
+    of_passage: np.ndarray  # the place of each passage's item among them
+    lengths: np.ndarray  # the number of words of each of them
 
     @classmethod
     def make(cls, items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Queries:
@@ -284,8 +312,21 @@ class Queries:
                 at, weights = tfidf(buckets_of(part), idf)
                 item.append(i)
                 rows.append(unit_rows((weights.astype(np.float32) @ basis[at])[None])[0])
+        distinct = [frozenset(w) for w in words]
+        with_words = sorted(set(item))
+        sizes = np.array([len(distinct[i]) for i in with_words], dtype=np.int64)
+        held = np.concatenate([buckets_of(list(distinct[i])) for i in with_words]) if with_words else np.zeros(0, np.int32)
         return cls([i for i, _, _ in items], words, answers, np.array(item, dtype=np.int64),
-                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), [frozenset(w) for w in words], max(map(len, words), default=0))
+                   np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), distinct, max(map(len, words), default=0),
+                   held, np.cumsum(sizes) - sizes, np.searchsorted(np.array(with_words, dtype=np.int64), np.array(item, dtype=np.int64)),
+                   np.array([len(words[i]) for i in with_words], dtype=np.float64))
+
+    def coverable(self, buckets: np.ndarray, least_cover: float) -> np.ndarray:
+        """For each passage, whether a text of these buckets can cover its item: each distinct word whose bucket is missing lowers the cover."""
+        there = np.zeros(BUCKETS + 1, dtype=bool)
+        there[buckets] = True
+        missing = np.add.reduceat((~there[self.buckets]).astype(np.int64), self.first)
+        return (self.lengths - missing >= least_cover * self.lengths)[self.of_passage]
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -339,12 +380,9 @@ def matches(text: str, space: Space, queries: Queries, least_cosine: float, leas
     for at in range(0, len(words), 1 << 14):  # windows start in this part of a long text
         part = buckets[at:at + (1 << 14) + WINDOW // 2]
         starts, cos = cosines(part, space, queries)
-        near = cos >= least_cosine
-        whole = frozenset(words[max(0, at - queries.longest):at + len(part) + WINDOW + queries.longest])  # all that the items are held against here
-        for q in np.flatnonzero(near.any(axis=0)).tolist():
-            n = len(queries.words[queries.item[q]])
-            if n - len(queries.distinct[queries.item[q]] - whole) < least_cover * n:
-                near[:, q] = False
+        # all that the items are held against here
+        whole = slice(max(0, at - queries.longest), at + len(part) + WINDOW + queries.longest)
+        near = (cos >= least_cosine) & queries.coverable(buckets[whole], least_cover)
         rows, columns = np.nonzero(near)
         last, widest, have = -1, 0, frozenset()
         for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[columns].tolist()):

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 from supplyscope.llm import decontaminate, quality, secret_scan, toxicity
 from supplyscope.llm.queries import QUERIES
@@ -205,6 +206,19 @@ def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
     assert got == {i: list(range(i * 20, i * 20 + 20)) for i in range(200)}
 
 
+def test_partial_sums_are_added_in_levels(spark):
+    """1,000 partial sums a block: no group holds more than FAN_IN of them."""
+    parts = spark.range(3000).selectExpr("cast(id % 3 as int) block", "cast(id div 3 as int) part", "array(id, 1L) sums")
+
+    def total(part: pa.Table) -> pa.Table:
+        assert part.num_rows <= decontaminate.FAN_IN
+        sums = np.sum([np.asarray(v.values) for v in part.column("sums")], axis=0)
+        return pa.table({"block": part.column("block")[:1], "part": part.column("part")[:1], "sums": pa.array([sums], pa.list_(pa.int64()))})
+
+    got = {r.block: list(r.sums) for r in decontaminate.add_in_levels(parts, 1000, total).collect()}
+    assert got == {b: [sum(range(b, 3000, 3)), 1000] for b in range(3)}
+
+
 def test_products_are_of_all_passages():
     rng = np.random.default_rng(1)
     idf, basis = rng.random(decontaminate.BUCKETS) * 3, rng.standard_normal((decontaminate.BUCKETS, 8)).astype(np.float32)

@@ -7,10 +7,11 @@ joins and group-bys), so the size of every role grows with the scale factor.
 The identical mapping is written as DuckDB SQL in ``roles_sql.py``; keep the two
 in step.
 
-The few modulo rules below (e.g. no invoice for every 7th order, a NULL purchase
-order on every 11th shipment, a reversed operation on every 17th) drop or blank a
-small share of rows only to create the missing links and NULL paths the reports
-exist to diagnose; the test tables have none.  Where they drop rows, those never reach a query.
+The few modulo rules below (e.g. an invoice whose ids match nothing for every 7th
+order, a NULL purchase order on every 11th shipment, a reversed operation on every
+17th) create the missing links and NULL paths the reports exist to diagnose; the test
+tables have none.  They break a row's key (``_broken``, or another organisation) or blank
+a column and keep the row, so every query reads, joins and aggregates all rows.
 
 Mapping (all keys are derived, nothing is sampled):
 
@@ -20,7 +21,9 @@ Mapping (all keys are derived, nothing is sampled):
 * requisition link = lineitem with ``l_discount >= 0.04``
 * receiving transactions = lineitem with ``l_linestatus = 'F'``; receipt headers = orders
 * receiving operations / invoices = orders; invoice lines = lineitem; holds = error events
-* action history = events (``purchase`` → APPROVE); people = suppliers, effective dated
+* action history = events (``purchase`` → APPROVE) and three actions of every order: submitted, approved or
+  rejected, and approved once more (every 23rd approved order, which then has two last approvers) or forwarded
+* people = suppliers, effective dated
 * vendors, sites, accounts = suppliers; items, categories, projects = parts
 * lookups, operating units, organisations = nation / region
 * contract catalogue = lineitem x part x supplier
@@ -54,6 +57,11 @@ def _key(order: str = "l_orderkey", line: str = "l_linenumber"):
     return _c(order) * 10 + _c(line)
 
 
+def _broken(key, broken):
+    """``key``, or where ``broken`` an id that no other table holds: the row stays, its link does not."""
+    return F.when(broken, -key - 1).otherwise(key)
+
+
 def _plus_seconds(ts: str, secs):
     return _c(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
 
@@ -157,8 +165,8 @@ def role_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
 
     def pa_projects_all() -> DataFrame:
         p = base["part"]
-        return p.where(_c("p_size") % 3 == 0).select(
-            _c("p_partkey").alias("project_id"),
+        return p.select(
+            _broken(_c("p_partkey"), _c("p_size") % 3 != 0).alias("project_id"),
             F.concat(F.lit("PRJ"), _c("p_partkey").cast("string")).alias("segment1"),
         )
 
@@ -270,10 +278,10 @@ def role_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
         return _catalog_base().where(_c("l_tax") >= 0.02).select(_key().alias("rt_item_id"))
 
     def per_all_people_f() -> DataFrame:
-        s = base["supplier"].where(_c("s_suppkey") % 10 != 0)
+        s = base["supplier"]
         k = _c("s_suppkey")
         return s.select(
-            k.alias("person_id"),
+            _broken(k, k % 10 == 0).alias("person_id"),
             F.date_add(F.lit(PEOPLE_EPOCH), (k * 20).cast("int")).alias("effective_start_date"),
             F.date_add(F.lit(PEOPLE_EPOCH), (k * 40 + 400).cast("int")).alias("effective_end_date"),
             _c("s_name").alias("last_name"),
@@ -282,14 +290,27 @@ def role_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
         )
 
     def po_action_history() -> DataFrame:
-        e = base["events"]
-        return e.select(
+        e, o = base["events"], base["orders"]
+        kind = (F.when(_c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "PO")
+                .when(_c("o_orderpriority").isin("3-MEDIUM", "4-NOT SPECIFIED"), "RELEASE").otherwise("PA"))
+        done = _c("o_orderstatus") == "F"
+        twice = done & (_c("o_orderkey") % 23 == 0)
+
+        def step(object_type, action, sequence: int, shift: int) -> DataFrame:
+            return o.select(_c("o_orderkey").alias("object_id"), object_type.alias("object_type_code"),
+                            action.alias("action_code"), F.lit(sequence).cast("long").alias("sequence_num"),
+                            ((_c("o_custkey") + shift) % N_AGENTS).alias("employee_id"))
+
+        of_events = e.select(
             _c("user_id").alias("object_id"),
             F.when(_c("user_id") % 3 == 0, "RELEASE").when(_c("user_id") % 3 == 1, "PO").otherwise("PA").alias("object_type_code"),
             F.when(_c("event_type") == "purchase", "APPROVE").otherwise(F.upper("event_type")).alias("action_code"),
             _c("event_id").alias("sequence_num"),
             F.get_json_object("props", "$.k").try_cast("long").alias("employee_id"),
         )
+        return (of_events.unionByName(step(kind, F.lit("SUBMIT"), 1, 0))
+                .unionByName(step(kind, F.when(done, "APPROVE").otherwise("REJECT"), 2, 7))
+                .unionByName(step(F.lit("PA"), F.when(twice, "APPROVE").otherwise("FORWARD"), 2, 8)))
 
     # ----------------------------------------------------------------- receiving
     def _operations() -> DataFrame:
@@ -305,14 +326,16 @@ def role_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
         )
 
     def rec_entry_operations() -> DataFrame:
-        return _operations().where(_c("operation_id") % 13 != 0)
+        other = F.when(_c("operation_id") % 13 == 0, _c("organization_id") + N_ORGS).otherwise(_c("organization_id"))
+        return _operations().withColumn("organization_id", other)
 
     def _invoices() -> DataFrame:
-        o = base["orders"].where(_c("o_orderkey") % 7 != 0)
+        o = base["orders"]
         price = _c("o_totalprice")
+        key = _broken(_c("o_orderkey"), _c("o_orderkey") % 7 == 0)
         return o.select(
-            _c("o_orderkey").alias("invoice_id"),
-            _c("o_orderkey").alias("operation_id"),
+            key.alias("invoice_id"),
+            key.alias("operation_id"),
             (_c("o_custkey") % N_ORGS).alias("organization_id"),
             (_c("o_orderkey") % 5).alias("invoice_type_id"),
             (_c("o_orderkey") % 1000).alias("invoice_num"),
@@ -393,15 +416,16 @@ def role_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
         return r.select(_c("r_regionkey").cast("long").alias("utilization_id"), _c("r_name").alias("utilization_code"))
 
     def cll_f189_fiscal_entities_all() -> DataFrame:
-        s = base["supplier"].where(_c("s_suppkey") % 9 != 0)
-        return s.select(_c("s_suppkey").alias("entity_id"), _c("s_suppkey").alias("vendor_site_id"))
+        s = base["supplier"]
+        return s.select(_broken(_c("s_suppkey"), _c("s_suppkey") % 9 == 0).alias("entity_id"), _c("s_suppkey").alias("vendor_site_id"))
 
     def mtl_parameters() -> DataFrame:
         return org_organization_definitions()
 
     def nfee_header_xml() -> DataFrame:
-        o = base["orders"].where(_c("o_orderkey") % 5 != 0)
-        return o.select(F.concat(F.lit("NFE"), _c("o_orderkey").cast("string")).alias("chave"),
+        o = base["orders"]
+        series = F.when(_c("o_orderkey") % 5 == 0, "NFX").otherwise("NFE")
+        return o.select(F.concat(series, _c("o_orderkey").cast("string")).alias("chave"),
                         F.when(_c("o_orderstatus") == "F", "AUTORIZADA").otherwise("PENDENTE").alias("status"))
 
     def cll_f189_holds() -> DataFrame:

@@ -76,8 +76,9 @@ ROLE_SQL: dict[str, str] = {
                CASE WHEN s_suppkey % 3 <> 0 THEN 'CC' || CAST(s_suppkey % 9 AS VARCHAR) END AS segment4
         FROM supplier""",
     "pa_projects_all": """
-        SELECT p_partkey AS project_id, 'PRJ' || CAST(p_partkey AS VARCHAR) AS segment1
-        FROM part WHERE p_size % 3 = 0""",
+        SELECT CASE WHEN p_size % 3 = 0 THEN p_partkey ELSE -p_partkey - 1 END AS project_id,
+               'PRJ' || CAST(p_partkey AS VARCHAR) AS segment1
+        FROM part""",
     "mtl_categories": """
         SELECT p_partkey AS category_id,
                CASE WHEN p_type = 'PROMO' THEN 'SE' WHEN p_type = 'ECONOMY' THEN 'SV'
@@ -151,20 +152,30 @@ ROLE_SQL: dict[str, str] = {
     "icx_cat_item_prices": f"""
         SELECT {_KEY} AS rt_item_id FROM r_catalog_base WHERE l_tax >= 0.02""",
     "per_all_people_f": """
-        SELECT s_suppkey AS person_id,
+        SELECT CASE WHEN s_suppkey % 10 = 0 THEN -s_suppkey - 1 ELSE s_suppkey END AS person_id,
                DATE '1995-01-01' + CAST(s_suppkey * 20 AS INTEGER) AS effective_start_date,
                DATE '1995-01-01' + CAST(s_suppkey * 40 + 400 AS INTEGER) AS effective_end_date,
                s_name AS last_name,
                CASE WHEN s_suppkey % 4 <> 0 THEN 'A' || CAST(s_nationkey AS VARCHAR) END AS attribute7,
                CASE WHEN s_suppkey % 5 <> 0 THEN 'B' END AS attribute8
-        FROM supplier WHERE s_suppkey % 10 <> 0""",
+        FROM supplier""",
     "po_action_history": """
         SELECT user_id AS object_id,
                CASE WHEN user_id % 3 = 0 THEN 'RELEASE' WHEN user_id % 3 = 1 THEN 'PO' ELSE 'PA' END AS object_type_code,
                CASE WHEN event_type = 'purchase' THEN 'APPROVE' ELSE upper(event_type) END AS action_code,
                event_id AS sequence_num,
                TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS employee_id
-        FROM events""",
+        FROM events
+        UNION ALL
+        SELECT o_orderkey, object_type, unnest(['SUBMIT', CASE WHEN o_orderstatus = 'F' THEN 'APPROVE' ELSE 'REJECT' END]),
+               unnest([CAST(1 AS BIGINT), 2]), unnest([o_custkey % 100, (o_custkey + 7) % 100])
+        FROM (SELECT *, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'PO'
+                             WHEN o_orderpriority IN ('3-MEDIUM', '4-NOT SPECIFIED') THEN 'RELEASE'
+                             ELSE 'PA' END AS object_type FROM orders) o
+        UNION ALL
+        SELECT o_orderkey, 'PA', CASE WHEN o_orderstatus = 'F' AND o_orderkey % 23 = 0 THEN 'APPROVE' ELSE 'FORWARD' END,
+               2, (o_custkey + 8) % 100
+        FROM orders""",
     "r_operations": """
         SELECT o_orderkey AS operation_id, o_custkey % 25 AS organization_id,
                CASE WHEN o_orderstatus = 'F' THEN 'COMPLETE' WHEN o_orderstatus = 'O' THEN 'APPROVED'
@@ -172,10 +183,13 @@ ROLE_SQL: dict[str, str] = {
                o_orderdate AS receive_date, o_orderdate + INTERVAL 1 DAY AS gl_date,
                CASE WHEN o_orderkey % 17 = 0 THEN 'Y' END AS reversion_flag
         FROM orders""",
-    "rec_entry_operations": "SELECT * FROM r_operations WHERE operation_id % 13 <> 0",
+    "rec_entry_operations": """
+        SELECT * REPLACE (organization_id + CASE WHEN operation_id % 13 = 0 THEN 25 ELSE 0 END AS organization_id)
+        FROM r_operations""",
     "cll_f189_entry_operations": "SELECT * FROM r_operations",
     "r_invoices": """
-        SELECT o_orderkey AS invoice_id, o_orderkey AS operation_id, o_custkey % 25 AS organization_id,
+        SELECT CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS invoice_id,
+               invoice_id AS operation_id, o_custkey % 25 AS organization_id,
                o_orderkey % 5 AS invoice_type_id, o_orderkey % 1000 AS invoice_num,
                CAST(o_orderkey % 3 AS VARCHAR) AS series, o_orderdate AS invoice_date,
                o_orderdate + INTERVAL 3 DAY AS creation_date, o_totalprice AS invoice_amount,
@@ -184,7 +198,7 @@ ROLE_SQL: dict[str, str] = {
                o_totalprice AS inss_base, CAST(11.0 AS DOUBLE) AS inss_tax, o_totalprice * CAST(0.11 AS DOUBLE) AS inss_amount,
                o_totalprice AS iss_base, CAST(5.0 AS DOUBLE) AS iss_tax, o_totalprice * CAST(0.05 AS DOUBLE) AS iss_amount,
                'NFE' || CAST(o_orderkey AS VARCHAR) AS eletronic_invoice_key
-        FROM orders WHERE o_orderkey % 7 <> 0""",
+        FROM orders""",
     "rec_invoices": "SELECT * FROM r_invoices",
     "cll_f189_invoices": "SELECT * FROM r_invoices",
     "r_invoice_types": """
@@ -228,12 +242,13 @@ ROLE_SQL: dict[str, str] = {
     "cll_f189_item_utilizations": """
         SELECT CAST(r_regionkey AS BIGINT) AS utilization_id, r_name AS utilization_code FROM region""",
     "cll_f189_fiscal_entities_all": """
-        SELECT s_suppkey AS entity_id, s_suppkey AS vendor_site_id FROM supplier WHERE s_suppkey % 9 <> 0""",
+        SELECT CASE WHEN s_suppkey % 9 = 0 THEN -s_suppkey - 1 ELSE s_suppkey END AS entity_id,
+               s_suppkey AS vendor_site_id FROM supplier""",
     "mtl_parameters": "SELECT * FROM org_organization_definitions",
     "nfee_header_xml": """
-        SELECT 'NFE' || CAST(o_orderkey AS VARCHAR) AS chave,
+        SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'NFX' ELSE 'NFE' END || CAST(o_orderkey AS VARCHAR) AS chave,
                CASE WHEN o_orderstatus = 'F' THEN 'AUTORIZADA' ELSE 'PENDENTE' END AS status
-        FROM orders WHERE o_orderkey % 5 <> 0""",
+        FROM orders""",
     "cll_f189_holds": "SELECT user_id AS invoice_id FROM events WHERE event_type = 'error'",
     "ap_awt_groups": """
         SELECT CAST(n_nationkey AS BIGINT) AS group_id, 'AWT ' || n_name AS name FROM nation""",

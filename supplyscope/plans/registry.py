@@ -23,6 +23,7 @@ from supplyscope.operators.rules import (diagnosis_status, document_type, link_f
 from supplyscope.plans.orders import (approved_shipments, po_without_requisition, po_without_requisition_report)
 from supplyscope.plans.receiving import receiving_diagnosis, receiving_lines
 from supplyscope.session import ensure_checkpoint_dir
+from supplyscope.sources.layout import approved_chain, store_orders, stored_orders
 from supplyscope.sources.roles import role_tables
 from supplyscope.sources.sink import read_report, write_report
 
@@ -141,6 +142,14 @@ def q_report_sink(spark, sf_dir):
     return read_report(spark, path, df.schema)
 
 
+def q_stored_inner_chain(spark, sf_dir):
+    """Header - line - shipment - distribution of approved STANDARD orders, over tables stored by month and header."""
+    path, prefix = f"{ensure_checkpoint_dir(spark).rstrip('/')}/layout-{uuid.uuid4().hex}", "supplyscope_layout_"
+    store_orders(_t(spark, sf_dir), path, prefix, buckets=4)
+    x = approved_chain(stored_orders(spark, path, prefix), DISPLAY_START, DISPLAY_END)
+    return x.withColumn("approved_date", to_char("approved_date"))
+
+
 def q_hold_count(spark, sf_dir):
     t = _t(spark, sf_dir)
     inv = t["cll_f189_invoices"].select("invoice_id")
@@ -404,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "receiving_ri_and_org": q_receiving_ri_and_org,
     "number_rejects": q_number_rejects,
     "approval_conflicts": q_approval_conflicts,
+    "stored_inner_chain": q_stored_inner_chain,
     "report_sink": q_report_sink,
     "hold_count": q_hold_count,
     "receipt_milestones": q_receipt_milestones,

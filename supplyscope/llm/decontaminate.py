@@ -360,14 +360,14 @@ class Space:
         return Space(load(uri))
 
 
-def cosines(buckets: np.ndarray, space: Space, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """(window starts, cosine of each window with each query passage)."""
+def cosines(buckets: np.ndarray, space: Space, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window starts, cosine of each window with each query passage, a column of ``vectors``)."""
     starts = window_starts(len(buckets))
     sums = space.rows[padded_halves(buckets)].sum(axis=1)
     z = sums[:len(starts)].copy()
     if len(sums) > 1:
         z += sums[1:len(starts) + 1]
-    return starts, unit_rows(z) @ queries.vectors
+    return starts, unit_rows(z) @ vectors
 
 
 def matches(text: str, space: Space, queries: Queries, least_cosine: float, least_cover: float) -> list[tuple[int, float, float]]:
@@ -379,13 +379,15 @@ def matches(text: str, space: Space, queries: Queries, least_cosine: float, leas
     found: dict[int, tuple[float, float]] = {}
     for at in range(0, len(words), 1 << 14):  # windows start in this part of a long text
         part = buckets[at:at + (1 << 14) + WINDOW // 2]
-        starts, cos = cosines(part, space, queries)
         # all that the items are held against here
         whole = slice(max(0, at - queries.longest), at + len(part) + WINDOW + queries.longest)
-        near = (cos >= least_cosine) & queries.coverable(buckets[whole], least_cover)
-        rows, columns = np.nonzero(near)
+        possible = np.flatnonzero(queries.coverable(buckets[whole], least_cover))
+        if not len(possible):
+            continue
+        starts, cos = cosines(part, space, queries.vectors[:, possible])
+        rows, columns = np.nonzero(cos >= least_cosine)
         last, widest, have = -1, 0, frozenset()
-        for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[columns].tolist()):
+        for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[possible[columns]].tolist()):
             if found.get(i, (0, 0))[1] >= 1:
                 continue
             item, answer, first = queries.words[i], queries.answers[i], at + s * (WINDOW // 2)

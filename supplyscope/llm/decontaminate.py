@@ -39,7 +39,7 @@ BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 BLOCK = 1 << 10
 WINDOW = 32  # words in a passage; half of them is the step
-RANK, OVERSAMPLE, POWER_STEPS = 96, 16, 1
+RANK, OVERSAMPLE, POWER_STEPS = 96, 16, 0
 FAN_IN = 64  # partial sums that one group adds up
 WORDS_A_TASK = 1 << 24  # a task adds up its sums for all its words, so that few of them are shuffled
 TOGETHER = 64  # half windows multiplied at once; the result is the same
@@ -214,16 +214,18 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
     """An orthonormal basis (buckets x rank) of the leading right singular space of the TF-IDF passages of ``rows`` (buckets).
 
     Each step is one job: with the basis V of before, tasks sum a (a V) over their rows a, and their sums are added by word.
-    Tasks read V from a file of the shared folder.
+    Tasks read V from a file of the shared folder; the first V is random and made by each task alike.  The last sums are factored
+    with their V (Nyström: A'A is about Y (V'Y)^-1 Y' for Y = A'A V), so one pass over the rows serves where a basis taken from
+    the sums alone needs two.
     """
     spark, tasks = rows.sparkSession, rows.rdd.getNumPartitions()
     width, known = rank + OVERSAMPLE, None  # the file of the basis; at first it is random, made by each task alike
     ended = np.append(idf, 0.0)
 
-    for _ in range(steps + 1):
+    for step_no in range(steps + 1):
 
         def multiply(batches):
-            weighed = np.random.default_rng(7).standard_normal((BUCKETS + 1, width), dtype=np.float32) if known is None else load(known)
+            weighed = random_basis(width) if known is None else load(known)
             weighed *= ended[:, None].astype(np.float32)
             sums = np.zeros((BUCKETS, width), dtype=np.float32)
             held, n, part = [], 0, TaskContext.get().partitionId()
@@ -264,23 +266,47 @@ def fit_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, steps: int = P
         used = bucket[order]
         sums = got.column("sums").combine_chunks().values.to_numpy().reshape(-1, width)[order]
         del got
-        q, r = np.linalg.qr(sums.astype(np.float64))
-        del sums
-        if known is not None:
-            forget(known)
-        width = q.shape[1]
-        basis = np.zeros((BUCKETS + 1, width), dtype=np.float32)
-        basis[used] = q
-        known = save(basis, f"{fresh_dir(spark, 'basis')}/basis.npy")
-        del basis
-    forget(known)
-    u, s, _ = np.linalg.svd(r)  # the last sums are A'A times an orthonormal basis: its singular values order the directions
-    keep = np.flatnonzero(s > s[0] * 1e-7)[:rank]
-    basis = np.zeros((BUCKETS, len(keep)), dtype=np.float32)
-    basis[used] = q @ u[:, keep]
+        if step_no < steps:
+            q = np.linalg.qr(sums.astype(np.float64))[0]
+            width = q.shape[1]
+            basis = np.zeros((BUCKETS + 1, width), dtype=np.float32)
+            basis[used] = q
+            if known is not None:
+                forget(known)
+            known = save(basis, f"{fresh_dir(spark, 'basis')}/basis.npy")
+            del basis
+    tried = (random_basis(width) if known is None else load(known))[used]
+    if known is not None:
+        forget(known)
+    directions = leading_directions(sums, tried, rank)
+    basis = np.zeros((BUCKETS, directions.shape[1]), dtype=np.float32)
+    basis[used] = directions
     return basis
 
 
+def random_basis(width: int) -> np.ndarray:
+    """The random matrix that the first step multiplies, the same wherever it is made."""
+    return np.random.default_rng(7).standard_normal((BUCKETS + 1, width), dtype=np.float32)
+
+
+def leading_directions(y: np.ndarray, v: np.ndarray, rank: int) -> np.ndarray:
+    """Up to ``rank`` orthonormal eigenvectors of a positive matrix G, the largest eigenvalues first, from y = G v.
+
+    G is shifted by what rounding may have taken from its smallest eigenvalues, so that v'y stays positive; directions that
+    the shift alone explains are left out."""
+    y = y.astype(np.float64)
+    shift = math.sqrt(len(y)) * float(np.finfo(np.float32).eps) * float(np.linalg.norm(y, 2)) / max(float(np.linalg.norm(v, 2)), 1e-30)
+    y += shift * v
+    inner = v.T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    keep = values > max(values[-1] * 1e-12, 0.0)
+    if not keep.any():
+        return np.zeros((len(y), 1))
+    q, r = np.linalg.qr(y @ (vectors[:, keep] / np.sqrt(values[keep])))
+    u, s, _ = np.linalg.svd(r)  # the squares of s are the eigenvalues of the shifted G
+    return (q @ u[:, :max(1, np.count_nonzero(s * s > 2 * shift))])[:, :rank]
+
+
 def unit_rows(z: np.ndarray) -> np.ndarray:
     """The rows divided by their norms; rows of zeros stay."""
     return z / np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), np.float32(1e-12))[:, None]

@@ -232,6 +232,20 @@ def test_products_are_of_all_passages():
     assert np.allclose(got * idf[:, None], want, atol=1e-4 * np.abs(want).max())
 
 
+def test_one_product_gives_the_leading_directions():
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.standard_normal((400, 400)))[0]
+    values = np.concatenate([np.linspace(50, 20, 10), 0.01 * rng.random(390)])
+    g = (q * values) @ q.T
+    v = rng.standard_normal((400, 30)).astype(np.float32)
+    got = decontaminate.leading_directions((g @ v).astype(np.float32), v, 10)
+    assert got.shape == (400, 10) and np.allclose(got.T @ got, np.eye(10), atol=1e-6)
+    assert np.abs((got * values[:10]) @ got.T - (q[:, :10] * values[:10]) @ q[:, :10].T).max() < 0.05
+    low = q[:, :3] @ q[:, :3].T  # fewer directions than asked for: no noise is added
+    assert decontaminate.leading_directions((low @ v).astype(np.float32), v, 10).shape == (400, 3)
+    assert not decontaminate.leading_directions(np.zeros((400, 30), np.float32), v, 10).any()
+
+
 def test_basis_spans_what_goes_together_late_in_many_documents(spark):
     rng = random.Random(37)
     late = [f"late{k} even{k}" for k in range(8)]  # pairs that occur only behind the first passage, in every document

@@ -103,6 +103,32 @@ def test_split_join_keeps_rows_without_a_key(spark):
     assert got == [(1, "a"), (1, "b"), (2, None), (3, None), (4, None)]
 
 
+def test_split_join_moves_keys_alone_a_second_time(spark, tmp_path):
+    """The anti join that finds unmatched keys reads no other column of the left side."""
+    spark.range(100).select("id", (F.col("id") % 9).alias("k"), F.lit("w").alias("wide")).write.parquet(str(tmp_path / "l"))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    right = spark.range(50).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    got = left_join_split(left, right, ["k"], left_keys=left)
+    want = left.join(right, ["k"], "left")
+    assert sorted(map(tuple, got.select("id", "k", "wide", "v").collect()), key=str) == sorted(map(tuple, want.select("id", "k", "wide", "v").collect()), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan parquet" in x and "wide" in x for x in plan.split("Initial Plan")[0].splitlines()) <= 2  # matched rows, rows without a key
+
+
+def test_receiving_report_moves_lines_narrow(spark):
+    """Items and shipments are joined before the invoice's columns, and the derived texts are worked out behind the sort."""
+    t = role_tables(spark, SF0001)
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    try:
+        plan = receiving_diagnosis(t)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    sort = next(i for i, x in enumerate(plan) if "Sort [" in x)
+    assert any("sugestao_acao" in x for x in plan[:sort]) and not any("sugestao_acao" in x for x in plan[sort:])
+    assert not any("p_partkey" in x and "Join" in x for x in plan)  # no join with a table whose columns are not read
+
+
 # ---- rejects and conflicts ---------------------------------------------------------------------------------------
 
 def test_number_rejects(spark):

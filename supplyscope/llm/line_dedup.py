@@ -9,14 +9,10 @@ Lines (parts of a text between line feeds) with a similarity of ``SIMILARITY`` o
   of 0.51 and miss all eight of them in 3 of 1,000 cases, those of 0.85 in 5 of 10,000.  A band whose bins are all empty gives no key.
 * Candidates: lines that share a key.  Buckets of up to ``BUCKET_PAIRS`` distinct lines give all their pairs whose signatures agree, by four bits a bin, in ``LEAST_MARKED`` of ``MARKED``
   bins, as all but 1 of 1,000 pairs of similarity 0.8 do.
-* Larger buckets: their lines are joined anew by a prefix filter, which needs no bucket.  Shingles are ordered by how many of these lines hold them, if more than
-  ``BUCKET_PAIRS`` do, and hash; two similar lines share a shingle among the first n - ceil(0.8 n) + 1 of each.  A shingle of up to ``BUCKET_PAIRS``
-  lines gives all pairs that pass the length and position bounds.  A pair without a common shingle of this kind is similar only by frequent shingles, of which then both lines consist to
-  at least ``SIMILARITY``.  Such lines with the same set of frequent shingles are one group, and its line with the fewest others is its pivot: if a line is similar by frequent
-  shingles to some line of a group, then to its pivot too.  So each line meets the pivots that it shares a shingle of the prefix with, and this step loses no link.
-* Groups by the thousand around one shingle, as of a line in very many variants: central pivots are compared with all lines of the shingle, and those similar to one are covered; each round takes
-  twice as many pivots, until at most ``BUCKET_PAIRS`` are not covered, which then meet all lines.  Only here a link can be lost: between two lines that different central pivots cover, when
-  nothing else connects these pivots.
+* Larger buckets: first the lines of a bucket are compared with a few centres of it, one line of each of its largest components so far, in rounds of 1, 4, 16 and 64 centres.  What is similar
+  joins their components, so a group of variants of one line is connected by as many pairs as it has lines.  Buckets with at most ``BUCKET_PAIRS`` lines outside their largest component take no
+  further round.  Then each line outside it meets all lines of the bucket's other components whose signatures agree as above.  So every pair of a bucket is either in one component or compared,
+  as in small buckets: no link is lost here.  Signatures are compared within the join; only pairs that agree become rows.
 * Verification: the exact Jaccard similarity of each candidate pair, from shingle sets that are stored once for each line concerned.  Then connected components.
 
 Lines that are equal as they are have one id (a 64-bit hash of the line), so copies are counted once in all of this.  Texts of lines are moved only for lines that are candidates.
@@ -38,7 +34,7 @@ SHINGLE, SIMILARITY = 8, 0.8
 BINS, ROWS = 24, 3  # bins of a signature, and of a band
 MARKED, LEAST_MARKED = 16, 8
 BUCKET_PAIRS = 48
-CENTRES = 4  # central pivots of the first round
+CENTRE_ROUNDS = 4
 
 
 def units(line: str) -> Column:
@@ -111,64 +107,50 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.where(F.col("both") >= SIMILARITY * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(*pairs.columns)
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """Rows (line_id, n, rare, frequent, token, place): the prefix of each line's shingles in the order of how many lines hold them, then hash.
+def _named(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``members`` with the root of each line's component; without a link a line is its own root."""
+    if links is None:
+        return members.withColumn("root", F.col("line_id"))
+    roots = components(links).withColumnRenamed("node", "line_id")
+    return members.join(roots, "line_id", "left").withColumn("root", F.coalesce("root", "line_id"))
 
-    rare is the number of the line's shingles that at most ``BUCKET_PAIRS`` lines hold, which come first; frequent is the hash of the others.
-    """
-    tokens = sets.select("line_id", F.explode("s").alias("h"))
-    often = tokens.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET_PAIRS)
-    often = materialize(often, "frequent-shingles", narrow=True)
-    held = tokens.join(often, "h").groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("f")).select("line_id", F.col("f.h").alias("f"))
-    none = F.array().cast("array<int>")
-    ordered = sets.join(held, "line_id", "left").withColumn("f", F.coalesce("f", none)).withColumn("r", F.sort_array(F.array_except("s", "f")))
-    first = F.slice(F.concat("r", "f"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).cast("int"))
-    return ordered.select("line_id", "n", F.size("r").alias("rare"), F.xxhash64("f").alias("frequent"), F.posexplode(first).alias("place", "token"))
-
-
-def _fits(a, b) -> Column:
-    """Whether two lines that share a token at these places can be similar: lengths, and the shingles that are left behind the places."""
-    total = (a["n"] + b["n"]).cast("double")
-    return (F.least(a["n"], b["n"]) >= SIMILARITY * F.greatest(a["n"], b["n"])) & (
-        1 + F.least(a["n"] - a["place"], b["n"] - b["place"]) - 1 >= total * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
-
-
-def hot_pairs(sets: DataFrame) -> DataFrame:
-    """Similar pairs (a, b), enough to connect them all, among the lines of ``sets`` (see the module's text)."""
-    tokens = materialize(prefixes(sets), "prefixes")
-    entry = F.struct("line_id", "n", "place")
-    held = tokens.where(F.col("place") < F.col("rare")).groupBy("token").agg(F.collect_list(entry).alias("l")).where(F.size("l") > 1)
-    few = held.select("l", F.explode("l").alias("x")).select(F.col("x.line_id").alias("a"), F.explode(F.filter("l", lambda y: (y["line_id"] > F.col("x.line_id")) & _fits(F.col("x"), y))).alias("y"))
-    links = materialize(_verified(few.select("a", F.col("y.line_id").alias("b")).distinct(), sets), "line-links", narrow=True)
-    # lines that can be similar to others by frequent shingles alone
-    rest = tokens.where((F.col("place") >= F.col("rare")) & (F.col("n") - F.col("rare") >= SIMILARITY * F.col("n")))
-    rest = materialize(rest.select("token", "line_id", "n", "rare", "frequent", "place"), "frequent-prefixes", narrow=True)
-    discard(tokens)
-    if rest.isEmpty():
-        return links
-    group = rest.groupBy("frequent").agg(F.min(F.struct("rare", "line_id")).alias("p")).select(F.col("p.line_id").alias("pivot_id"))
-    pivots = materialize(rest.join(group, F.col("line_id") == F.col("pivot_id"), "left_semi"), "pivots", narrow=True)
-    sizes = pivots.groupBy("token").agg(F.count("*").alias("m"))
-    over = sizes.where(F.col("m") > BUCKET_PAIRS).select("token")
-    centres, covered = CENTRES, None
-    left = pivots.join(over, "token", "left_semi")  # pivots of crowded tokens that no central pivot covers
-    while not left.isEmpty():
-        chosen = left.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("rare", "n", "line_id"))).where(F.col("k") <= centres).select("token", F.col("line_id").alias("b"))
-        asked = rest.join(chosen, "token").select(F.col("line_id").alias("a"), "b").distinct()
+
+def _parts(named: DataFrame, deal: int) -> DataFrame:
+    """Rows (key, root, n, c): how many lines of each bucket are in one component, and one of them, another one for each ``deal``."""
+    one = F.min_by(F.struct("line_id", "mark"), F.struct(F.xxhash64("line_id", F.lit(deal)), F.col("line_id"))).alias("c")
+    return named.groupBy("key", "root").agg(F.count("*").alias("n"), one)
+
+
+def _main_parts(parts: DataFrame) -> DataFrame:
+    """Rows (key, main, others): the largest component of each bucket of several, and how many lines are in the others."""
+    largest = F.max(F.struct("n", "root"))
+    return parts.groupBy("key").agg(largest.alias("l"), F.sum("n").alias("m")).select("key", F.col("l.root").alias("main"), (F.col("m") - F.col("l.n")).alias("others")).where("others > 0")
+
+
+def hot_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of the crowded buckets' lines, enough to connect all similar lines of a bucket (see the module's text)."""
+    links, centres, agree = None, 1, marks_agree(F.col("mark"), F.col("c.mark")) >= LEAST_MARKED
+    for deal in range(CENTRE_ROUNDS):
+        named = materialize(_named(members, links), "hot-members", narrow=True)
+        parts = _parts(named, deal)
+        crowded = _main_parts(parts).where(F.col("others") > BUCKET_PAIRS).select("key")
+        if crowded.isEmpty():
+            break
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "root"))
+        chosen = parts.join(crowded, "key", "left_semi").withColumn("k", rank).where(F.col("k") <= centres).select("key", F.col("root").alias("c_root"), "c")
+        asked = named.join(chosen, "key").where((F.col("root") != F.col("c_root")) & agree)
+        asked = asked.select(F.least("line_id", "c.line_id").alias("a"), F.greatest("line_id", "c.line_id").alias("b")).distinct()
         hits = materialize(_verified(asked, sets), "line-links", narrow=True)
-        links = links.unionByName(hits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        done = hits.select("a").unionByName(chosen.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("covered_id"))
-        covered = materialize(done if covered is None else covered.unionByName(done).distinct(), "covered", narrow=True)
-        open_ = pivots.join(over, "token", "left_semi").join(covered, F.col("line_id") == F.col("covered_id"), "left_anti")
-        crowded = open_.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BUCKET_PAIRS).select("token")
-        left = materialize(open_.join(crowded, "token", "left_semi"), "crowded", narrow=True)
-        centres *= 2
-    if covered is not None:
-        pivots = pivots.join(over, "token", "left_anti").unionByName(open_)
-    few = pivots.groupBy("token").agg(F.collect_list(entry).alias("l"))
-    met = rest.join(few, "token").select(F.col("line_id").alias("a"), F.explode(F.filter("l", lambda y: (y["line_id"] != F.col("line_id")) & _fits({"n": F.col("n"), "place": F.col("place")}, y))).alias("y"))
-    last = _verified(met.select("a", F.col("y.line_id").alias("b")).distinct(), sets)
-    return links.unionByName(materialize(last, "line-links", narrow=True))
+        links, centres = hits if links is None else links.unionByName(hits), 4 * centres
+    else:
+        named = materialize(_named(members, links), "hot-members", narrow=True)
+    # every other pair of the signatures: the lines outside a bucket's largest component with all lines of other components
+    main = named.join(_main_parts(_parts(named, 0)), "key")
+    left = main.where(F.col("root") != F.col("main")).select("key", F.struct("line_id", "mark").alias("c"), F.col("root").alias("c_root"), F.col("main").alias("c_main"))
+    met = named.join(left, "key").where((F.col("root") != F.col("c_root")) & ((F.col("root") == F.col("c_main")) | (F.col("line_id") < F.col("c.line_id"))) & agree)
+    met = met.select(F.least("line_id", "c.line_id").alias("a"), F.greatest("line_id", "c.line_id").alias("b")).distinct()
+    last = materialize(_verified(met, sets), "line-links", narrow=True)
+    return last if links is None else links.unionByName(last)
 
 
 def line_links(lines: DataFrame) -> DataFrame:
@@ -178,15 +160,13 @@ def line_links(lines: DataFrame) -> DataFrame:
     sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "line-buckets", narrow=True)
     small = keys.join(sizes.where(F.col("m") <= BUCKET_PAIRS).select("key"), "key", "left_semi")
     pairs = materialize(_all_pairs(small), "line-pairs", narrow=True)
-    hot = materialize(keys.join(sizes.where(F.col("m") > BUCKET_PAIRS).select("key"), "key", "left_semi").select("line_id").distinct(), "hot-lines", narrow=True)
+    hot = materialize(keys.join(sizes.where(F.col("m") > BUCKET_PAIRS).select("key"), "key", "left_semi").select("key", "line_id", "mark"), "hot-lines", narrow=True)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select(F.col("line_id").alias("id"))).distinct()
     own = lines.join(asked, F.col("line_id") == F.col("id"), "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
     sets = materialize(shingle_sets(own), "shingle-sets")
     discard(signed)
     links = materialize(_verified(pairs, sets), "line-links", narrow=True)
-    if not hot.isEmpty():
-        links = links.unionByName(hot_pairs(sets.join(hot, "line_id", "left_semi")))
-    return links
+    return links if hot.isEmpty() else links.unionByName(hot_pairs(hot, sets))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

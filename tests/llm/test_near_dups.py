@@ -169,3 +169,15 @@ def test_dedup_lines_odd_rows(spark):
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(d, "other" if d == 7 else t) for d, t, *_ in rows], key=str)
     assert line_dedup.line_classes(docs(spark, [])).collect() == []
+
+
+def test_two_forms_of_a_line_with_one_link(spark, monkeypatch):
+    """Two forms of a line, each among many variants that are similar to it: only the two forms link them."""
+    monkeypatch.setattr(line_dedup, "BUCKET_PAIRS", 4)
+    rng = random.Random(5)
+    base = letters(rng, 400)
+    a, b = (base[:at] + "".join(rng.choice("#+*=") for _ in range(13)) + base[at + 13:] for at in (40, 340))
+    rows = list(enumerate([a, b] + [a[:-k] for k in range(7, 21)] + [b[k:] for k in range(7, 21)]))
+    want = plain_classes(rows)
+    assert want == {(i, 0) for i in range(1, 30)} and plain_classes(rows[1:]) == {(i, 0) for i in range(2, 30) if i != 2}
+    assert gone_lines(spark, rows) == want

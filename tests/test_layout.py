@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from supplyscope.sources import layout
 from supplyscope.sources import layout
 from supplyscope.sources.layout import CO_LOCATED, TABLES, approved_chain, largest_bucket, store_orders, stored_orders
 from supplyscope.sources.roles import role_tables
@@ -104,3 +105,10 @@ def test_a_hot_header_is_read_without_buckets(shuffled, tmp_path, monkeypatch):
     plan = chain._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"Bucketed: true", plan)
     assert rows(chain) == rows(plain_chain(t, "1990-01-01", "2030-12-31"))
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    t = {"po_distributions_all": spark.range(1000)}
+    assert layout.buckets_for(t) == 4
+    monkeypatch.setattr(layout, "BUCKET_ROWS", 100)
+    assert layout.buckets_for(t) == 10

@@ -46,3 +46,12 @@ def test_receiving_filters_reach_the_operation_scan(spark, tables):
     df = receiving_diagnosis(tables, ri=[5, 6], sort=False)
     scans = [line for line in plan_of(df).splitlines() if "FileScan parquet" in line and "o_orderkey" in line]
     assert any("In(o_orderkey" in s or "o_orderkey,5" in s or "EqualTo(o_orderkey" in s for s in scans), scans
+
+
+@pytest.mark.parametrize("table", ["po_lines_all", "po_line_locations_all"])
+def test_shipment_tasks_follow_the_rows(spark, monkeypatch, table):
+    monkeypatch.setattr("supplyscope.sources.roles.LINES_A_TASK", 100, raising=False)
+    t = role_tables(spark, SF0001)
+    parts = -(-t["lineitem"].count() // 100)
+    plan = plan_of(t[table].select("po_line_id"))
+    assert f", {parts}), REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1

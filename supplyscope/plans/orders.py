@@ -8,24 +8,25 @@ One parametrised plan serves both document families:
 * ``kind="ALL"`` (``po_without_requisition_report``): both in one pass — the
   source's two branches and their ``UNION ALL``, disjoint by document type.
 
-Plan shape, by grain of the join keys:
-
-1. headers: filter (type, status, range) → vendor, site, operating unit, buyer,
-   service-line flag, last approver (small, per header);
-2. lines: join the header core → category filter, parent contract, catalogue
-   lead time and maximum lead time;
-3. shipments: join lines (and in-range releases) → item, destination
-   organisation, routing → anti join to requisition lines (partitions on the
-   shipment key);
-4. distributions and the invoice-line bridge, co-partitioned on that key →
-   accounts, project → invoice ⟕ operation ⟕ type → receipt filter → receipt
-   milestones;
-5. header display attributes (late) → projection → DISTINCT.
-
-Every former scalar subquery is a pre-aggregate on its own keys, scoped to the
-in-range headers / lines / shipments.  Small code tables are left to adaptive
-execution, which broadcasts them only after measuring their size at run time;
-everything else shuffles on its key.
+Plan shape: first what decides which shipments are reported, then the rest for those alone.
+
+1. lines of the in-range headers ⟕ categories, stored once;
+2. shipments: anti join to requisition lines → lines, header types, in-range
+   releases; stored once, with the rows the report is about;
+3. headers of those shipments: vendor, site, operating unit, buyer, service-line
+   flag, last approver;
+4. receipt side, on narrow rows: distributions and the invoice-line bridge (one
+   shuffle on the shipment key), stored once → accounts, project → invoice ⟕
+   operation ⟕ type → receipt filter → receipt milestones;
+5. shipment side: parent contract, catalogue lead times, header, item, destination
+   organisation, routing;
+6. both sides meet on the shipment key → projection → DISTINCT.
+
+What is stored lies in the shared checkpoint folder and is read by several of the
+later steps, which would each derive it again.  Every former scalar subquery is a
+pre-aggregate on its own keys, scoped to the headers / lines / shipments reported.
+Small code tables are left to adaptive execution, which broadcasts them only after
+measuring their size at run time; everything else shuffles on its key.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ from supplyscope.operators.milestones import (approval_conflicts, approvers_from
                                               invoiced_quantity, last_action, person_attributes,
                                               receipt_milestones)
 from supplyscope.operators.rules import document_type, tax_id
+from supplyscope.session import stored
 
 # Output columns in report order, with the report's display labels.
 COLUMNS: list[tuple[str, str]] = [
@@ -156,45 +158,39 @@ def _releases(t: Mapping[str, DataFrame], start, end) -> DataFrame:
                          "approved_date": "release_approved_date"})
 
 
+LINE_COLUMNS = ["po_line_id", "po_header_id", "line_num", "item_id", "item_description", "unit_meas_lookup_code",
+                "category_id", "contract_id", "contract_num", "vendor_product_num", "unit_price", "attribute3"]
+
+
 def approved_shipments(t: Mapping[str, DataFrame], start, end, kind: str = "STANDARD",
                        headers: DataFrame | None = None, releases: DataFrame | None = None,
-                       line_stage=None, shipment_stage=None) -> DataFrame:
+                       lines: DataFrame | None = None) -> DataFrame:
     """Approved shipments of the chosen document families in the approval range,
     joined to their line and header (and, for BLANKET / PLANNED, to a release
     approved in the range), with no requisition link.  (The minimum slice of the
     report, and the driving relation of the full plan.)
 
-    ``line_stage`` / ``shipment_stage``: functions applied to the relation at line
-    grain (after the header join) and at shipment grain (before the anti join), so
-    lookups keyed at those grains run before rows fan out.  The anti join runs
-    last so it shuffles on the shipment key: the joins that follow in the full
-    report on the same key reuse that partitioning."""
+    ``headers`` / ``releases`` / ``lines``: those relations where the caller has them
+    scoped or extended already.  The anti join runs first, on the bare shipments, so
+    only shipments without a requisition meet the wider line and header rows."""
     c = F.col
     std, rel = KINDS[kind]
     h = headers if headers is not None else _headers(t, start, end, kind)
-    lines = t["po_lines_all"].select(
-        "po_line_id", "po_header_id", "line_num", "item_id", "item_description", "unit_meas_lookup_code",
-        "category_id", "contract_id", "contract_num", "vendor_product_num", "unit_price", "attribute3")
+    lines = lines if lines is not None else t["po_lines_all"].select(*LINE_COLUMNS)
     loc_cols = ["line_location_id", "po_line_id", "shipment_num", "ship_to_organization_id", "receiving_routing_id",
                 "qty_rcv_tolerance", "promised_date", "need_by_date"]
     locs = t["po_line_locations_all"].select(*loc_cols, *(["po_release_id"] if rel else []))
-    x = lines.join(h, "po_header_id", "inner")
-    if line_stage is not None:
-        x = line_stage(x)
-    x = x.join(locs, "po_line_id", "inner")
-    if rel:
-        r = (releases if releases is not None else _releases(t, start, end)).withColumn("rel_hit", F.lit(True))
-        # inner join for the release family only: a left join whose key is NULL for the
-        # other family, then drop release-family rows without an in-range release
-        x = x.withColumn("rel_id", F.when(c("is_release"), c("po_release_id")))
-        x = spread_nulls(x, r, ["rel_id"], spread=["line_location_id"])
-        x = x.where(~c("is_release") | c("rel_hit").isNotNull())
-    else:
-        x = x.withColumn("nr_liberacao", typed_null("long")).withColumn(
+    locs = without_requisition(locs, t["po_requisition_lines_all"])
+    x = lines.join(h, "po_header_id", "inner").join(locs, "po_line_id", "inner")
+    if not rel:
+        return x.withColumn("nr_liberacao", typed_null("long")).withColumn(
             "release_approved_date", typed_null("timestamp_ntz"))
-    if shipment_stage is not None:
-        x = shipment_stage(x)
-    return without_requisition(x, t["po_requisition_lines_all"])
+    r = (releases if releases is not None else _releases(t, start, end)).withColumn("rel_hit", F.lit(True))
+    # inner join for the release family only: a left join whose key is NULL for the
+    # other family, then drop release-family rows without an in-range release
+    x = x.withColumn("rel_id", F.when(c("is_release"), c("po_release_id")))
+    x = spread_nulls(x, r, ["rel_id"], spread=["line_location_id"])
+    return x.where(~c("is_release") | c("rel_hit").isNotNull())
 
 
 def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind: str = "STANDARD",
@@ -213,10 +209,8 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
     Both families read the same lines and shipments, so ``ALL`` evaluates them in
     one pass with an ``is_release`` discriminator instead of two plans and a
     union; their rows are disjoint by document type, so one DISTINCT is exact.
-    Joins are grouped by the grain of their key so the wide shipment-grain
-    relation is shuffled as few times as possible: header-level lookups are joined
-    to the (filtered) headers first, invoice-level ones to the invoices, and the
-    shipment-keyed joins follow the anti join that already partitioned on it.
+    The relations that several steps share are stored when this is called (see the
+    module's text): lines, shipments, catalogue, receipt side.
     """
     std_on, rel_on = KINDS[kind]
     c = F.col
@@ -239,32 +233,18 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
             assert_empty(approval_conflicts(t["po_action_history"], "APPROVE", types),
                          f"ambiguous last {'/'.join(types)} approval")
 
-    # ---- header grain: vendor, site, operating unit, buyer, service-line flag, approver
-    h = _headers(t, start, end, kind)
-    pvsa = _rename(t["po_vendor_sites_all"], {
-        "vendor_id": "pvsa_vendor_id", "vendor_site_id": "pvsa_site_id", "global_attribute9": "ga9",
-        "global_attribute10": "ga10", "global_attribute11": "ga11", "global_attribute12": "ga12",
-        "city": "municipio_fornecedor", "address_line4": "uf_fornecedor"})
-    h = h.join(pvsa, (c("vendor_id") == c("pvsa_vendor_id")) & (c("vendor_site_id") == c("pvsa_site_id")), "left")
-    pv = _rename(t["po_vendors"], {"vendor_id": "pv_vendor_id", "vendor_name": "razao_social_fornecedor"})
-    h = h.join(pv, c("vendor_id") == c("pv_vendor_id"), "left")
-    h = h.join(first_row(hou_src, ["org_id"], ["hou_name"]), "org_id", "left")
+    # ---- lines of the headers in range: the shipments, the service-line flag and the maximum lead time read them
+    heads = _headers(t, start, end, kind)
+    cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
+    cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
+    scoped_lines = (t["po_lines_all"].select(*LINE_COLUMNS, "cancel_flag")
+                    .join(heads.select("po_header_id"), "po_header_id", "left_semi"))
+    scoped_lines = stored(scoped_lines.join(cats.withColumn("reported", F.lit(True)), "category_id", "left"), "po-lines")
+
+    # ---- shipments without requisition, of approved documents and other than excluded categories
     # one pass over the people table serves the buyer and both approver lookups
     persons = person_attributes(t["per_all_people_f"], as_of)
-    buyers = persons.select(F.col("person_id").alias("agent_id"), F.col("buyer_name").alias("nome_comprador"))
-    h = h.join(buyers, "agent_id", "left")
-    # the per-header aggregates only need the headers in the report's range: semi
-    # joins keep a narrow date range from aggregating the whole history
-    in_scope = _headers(t, start, end, kind).select("po_header_id")
-    scoped_lines = t["po_lines_all"].join(in_scope, "po_header_id", "left_semi")
-    h = h.join(has_category_line(scoped_lines, t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
     history = t["po_action_history"]
-    if std_on:
-        hist_h = history.join(in_scope.withColumnRenamed("po_header_id", "object_id"), "object_id", "left_semi")
-        ap_h = _rename(approvers_from(last_action(hist_h, "APPROVE", STANDARD_APPROVER_TYPES), persons),
-                       {"object_id": "ap_object", "aprovador": "h_aprovador", "aprovador_detalhe": "h_detalhe"})
-        # header approvals belong to the STANDARD family only
-        h = h.join(ap_h, ~c("is_release") & (c("po_header_id") == c("ap_object")), "left").drop("ap_object")
     rel = None
     if rel_on:
         rel = _releases(t, start, end)
@@ -272,41 +252,103 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
         ap_r = _rename(approvers_from(last_action(hist_r, "APPROVE", RELEASE_APPROVER_TYPES), persons),
                        {"object_id": "rel_id", "aprovador": "r_aprovador", "aprovador_detalhe": "r_detalhe"})
         rel = rel.join(ap_r, "rel_id", "left")
+    shipments = stored(approved_shipments(t, start, end, kind, releases=rel,
+                                          headers=heads.select("po_header_id", "type_lookup_code", "is_release"),
+                                          lines=scoped_lines.where("reported").drop("cancel_flag", "reported", "category_id")),
+                       "po-shipments")
+
+    # ---- header grain: vendor, site, operating unit, buyer, service-line flag, approver of the reported headers
+    reported = shipments.select("po_header_id").distinct()
+    h = heads.drop("type_lookup_code", "is_release").join(reported, "po_header_id", "left_semi")
+    h = h.join(has_category_line(scoped_lines, t["mtl_categories"], SERVICE_CATEGORIES), "po_header_id", "left")
+    if std_on:
+        # header approvals belong to the STANDARD family only
+        own = shipments.where(~c("is_release")).select(c("po_header_id").alias("object_id")).distinct()
+        last = last_action(history.join(own, "object_id", "left_semi"), "APPROVE", STANDARD_APPROVER_TYPES)
+        ap_h = _rename(approvers_from(last, persons),
+                       {"object_id": "po_header_id", "aprovador": "h_aprovador", "aprovador_detalhe": "h_detalhe"})
+        h = h.join(ap_h, "po_header_id", "left")
+    pvsa = _rename(t["po_vendor_sites_all"], {
+        "vendor_id": "pvsa_vendor_id", "vendor_site_id": "pvsa_site_id", "global_attribute9": "ga9",
+        "global_attribute10": "ga10", "global_attribute11": "ga11", "global_attribute12": "ga12",
+        "city": "municipio_fornecedor", "address_line4": "uf_fornecedor"})
+    h = h.join(pvsa, (c("vendor_id") == c("pvsa_vendor_id")) & (c("vendor_site_id") == c("pvsa_site_id")), "left")
+    pv = _rename(t["po_vendors"], {"vendor_id": "pv_vendor_id", "vendor_name": "razao_social_fornecedor"})
+    h = h.join(pv, c("vendor_id") == c("pv_vendor_id"), "left")
+    h = h.join(first_row(hou_src, ["org_id"], ["hou_name"]), "org_id", "left")
+    buyers = persons.select(F.col("person_id").alias("agent_id"), F.col("buyer_name").alias("nome_comprador"))
+    h = h.join(buyers, "agent_id", "left").drop("pvsa_vendor_id", "pvsa_site_id", "pv_vendor_id", "vendor_id",
+                                                "vendor_site_id", "org_id", "agent_id")
+
+    # ---- receipt side: distributions and the invoice-line bridge on one shuffle by the shipment key.  Identical
+    # distributions would collapse under the final DISTINCT anyway, so they collapse here.  The invoiced quantity is
+    # the sum over the bridge's (shipment, invoice) groups, so one aggregate gives both
+    scope = shipments.select("line_location_id", "po_line_id").distinct()
+    dist = t["po_distributions_all"].select("line_location_id", "code_combination_id", "project_id")
+    ril = _rename(invoiced_quantity(t["rec_invoice_lines"].join(scope, "line_location_id", "left_semi")), {
+        "line_location_id": "line_location_id", "invoice_id": "ril_invoice_id", "invoiced_quantity": "ril_quantity"})
+    y = stored(scope.join(dist, "line_location_id", "inner").distinct().join(ril, "line_location_id", "left"), "po-receipts")
+    invoice_ids = y.select(c("ril_invoice_id").alias("ri_invoice_id")).where(c("ri_invoice_id").isNotNull()).distinct()
+    gcc = _rename(t["gl_code_combinations"], {"code_combination_id": "code_combination_id",
+                                              "segment1": "codigo_empresa", "segment2": "unidade_controle",
+                                              "segment3": "conta_contabil", "segment4": "centro_de_custo"})
+    y = y.join(gcc, "code_combination_id", "inner")
+    ppa = _rename(t["pa_projects_all"], {"project_id": "project_id", "segment1": "numero_projeto"})
+    y = spread_nulls(y, ppa, ["project_id"], spread=["line_location_id"])
 
-    cats = t["mtl_categories"].where(~c("segment1").isin(*EXCLUDED_CATEGORIES))
-    cats = _rename(cats, {"category_id": "category_id", **{f"segment{i}": f"mc_segment{i}" for i in range(1, 6)}})
+    # invoice grain: invoice ⟕ operation ⟕ invoice type, then one join
+    ri = _rename(t["rec_invoices"], {"invoice_id": "ri_invoice_id", "organization_id": "ri_org",
+                                     "operation_id": "nr_ar", "invoice_type_id": "ri_type",
+                                     "invoice_num": "ri_invoice_num", "creation_date": "ri_creation_date"})
+    reo = _rename(t["rec_entry_operations"], {"organization_id": "reo_org", "operation_id": "reo_operation_id",
+                                              "status": "status_ri", "reversion_flag": "reversion_flag"})
+    rit = _rename(t["rec_invoice_types"], {"invoice_type_id": "rit_type", "organization_id": "rit_org",
+                                           "parent_flag": "parent_flag"})
+    inv = (ri.join(invoice_ids, "ri_invoice_id", "left_semi")
+             .join(reo, (c("ri_org") == c("reo_org")) & (c("nr_ar") == c("reo_operation_id")), "left")
+             .join(rit, (c("ri_type") == c("rit_type")) & (c("ri_org") == c("rit_org")), "left")
+             .drop("reo_org", "reo_operation_id", "rit_type", "rit_org", "ri_org", "ri_type"))
+    inv = inv.withColumn("ril_invoice_id", c("ri_invoice_id"))
+    y = spread_nulls(y, inv, ["ril_invoice_id"], spread=["line_location_id", "code_combination_id"])
+    y = valid_receipts(y).withColumn(
+        "qt_entregue_fornecedor_linha", F.when(c("ri_invoice_id").isNotNull(), c("ril_quantity")))
+
+    trx = t["rcv_transactions"].join(scope.select(c("line_location_id").alias("po_line_location_id")),
+                                     "po_line_location_id", "left_semi")
+    ms = _rename(receipt_milestones(trx, t["rcv_shipment_headers"]), {
+        "line_location_id": "line_location_id", "po_line_id": "po_line_id", "receipt_number": "nr_ar",
+        "first_receive_date": "first_receive_date", "last_deliver_date": "last_deliver_date",
+        "deliver_quantity": "qt_recebida_ar_linha"})
+    y = y.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
+
+    # ---- shipment side: header, parent contract, catalogue lead times, item, destination organisation, routing
     on_contract = (c("type_lookup_code") == "STANDARD") & c("contract_id").isNotNull()
-    # lookups scoped to what the in-range lines reference (contracts, items), so a
+    # lookups scoped to what the reported shipments reference (contracts, items), so a
     # narrow report does not aggregate whole header, item and catalogue tables
-    contract_ids = scoped_lines.select("contract_id").where(c("contract_id").isNotNull()).distinct()
+    contract_ids = shipments.select("contract_id").where(c("contract_id").isNotNull()).distinct()
     contracts = first_row(contract_src.join(contract_ids, "contract_id", "left_semi"),
                           ["contract_id"], ["contrato_pai_segment1"])
-    item_ids = scoped_lines.select("item_id").where(c("item_id").isNotNull()).distinct()
-    msi_scoped = msi_src.join(item_ids, "item_id", "left_semi")
-    catalog = None
+    x = spread_nulls(shipments, contracts, ["contract_id"], spread=["po_line_id"])
     if std_on:
+        x = x.join(h.select("po_header_id", "razao_social_fornecedor"), "po_header_id", "inner")
         contract_nos = contracts.select(c("contrato_pai_segment1").alias("supplier_part_auxid")).distinct()
-        catalog = catalog_lead_times(t["icx_cat_items_b"].join(contract_nos, "supplier_part_auxid", "left_semi"),
-                                     t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language)
-
-    def line_stage(lx: DataFrame) -> DataFrame:
-        # line grain (before shipments and distributions multiply the rows):
-        # category filter, parent contract, catalogue lead times
-        lx = lx.join(cats, "category_id", "inner")
-        lx = spread_nulls(lx, contracts, ["contract_id"], spread=["po_line_id"])
-        if catalog is None:
-            return lx
-        lx = contract_lead_time(lx.withColumn("part_number", c("vendor_product_num")), catalog)
-        needed = (lx.where(on_contract)
+        catalog = stored(catalog_lead_times(
+            t["icx_cat_items_b"].join(contract_nos, "supplier_part_auxid", "left_semi"),
+            t["icx_cat_items_tlp"], t["icx_cat_item_prices"], language), "po-catalog")
+        x = contract_lead_time(x.withColumn("part_number", c("vendor_product_num")), catalog)
+        needed = (x.where(on_contract)
                   .select("po_header_id", c("contrato_pai_segment1").alias("supplier_part_auxid"),
                           c("razao_social_fornecedor").alias("supplier"))
                   .distinct())
-        maxes = _rename(max_contract_lead_time(needed, scoped_lines, catalog), {
+        maxes = _rename(max_contract_lead_time(needed, scoped_lines.join(reported, "po_header_id", "left_semi"), catalog), {
             "po_header_id": "po_header_id", "supplier_part_auxid": "contrato_pai_segment1",
             "max_contract_lead_time": "max_contract_lead_time"})
-        return lx.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left")
+        x = x.join(maxes, ["po_header_id", "contrato_pai_segment1"], "left").drop("razao_social_fornecedor")
+    x = x.join(h, "po_header_id", "inner")
 
     keys_item = ["item_id", "ship_to_organization_id"]
+    item_ids = shipments.select("item_id").where(c("item_id").isNotNull()).distinct()
+    msi_scoped = msi_src.join(item_ids, "item_id", "left_semi")
     item_types = _rename(lookup_values(t["fnd_lookup_values"], "ITEM_TYPE", language),
                          {"lookup_code": "msi_item_type", "meaning": "tipo_item_usuario"})
     # item code and item-type text share the (item, organisation) key: one aggregate
@@ -317,67 +359,12 @@ def po_without_requisition(t: Mapping[str, DataFrame], start, end, as_of, kind:
                   F.min("tipo_item_usuario").alias("tipo_item_usuario")))
     rrh = _rename(lookup_values(t["fnd_lookup_values"], "RCV_ROUTING_HEADERS", language),
                   {"lookup_code": "rrh_code", "meaning": "roteiro_de_recebimento"})
+    x = x.join(items, keys_item, "left")
+    x = x.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
+               "ship_to_organization_id", "left")
+    x = x.join(rrh, c("receiving_routing_id") == code_number(c("rrh_code")), "left")
 
-    def shipment_stage(sx: DataFrame) -> DataFrame:
-        # shipment grain: item, destination organisation, receiving routing
-        sx = sx.join(items, keys_item, "left")
-        sx = sx.join(first_row(ood_src, ["ship_to_organization_id"], ["cd_organizacao_destino_linha"]),
-                     "ship_to_organization_id", "left")
-        return sx.join(rrh, c("receiving_routing_id") == code_number(c("rrh_code")), "left")
-
-    # late materialisation: only the header columns the plan's logic reads travel
-    # through the shipment-grain shuffles; the display attributes (vendor site,
-    # buyer, approver, status, …) are joined once, at the end
-    core_cols = ["po_header_id", "type_lookup_code", "is_release", "razao_social_fornecedor"]
-    h_core = h.select(*core_cols)
-    h_attrs = h.drop(*core_cols[1:])
-
-    # ---- shipments without requisition, partitioned on the shipment key by the anti join
-    x = approved_shipments(t, start, end, kind, headers=h_core, releases=rel,
-                           line_stage=line_stage, shipment_stage=shipment_stage)
-    # shipments in the report: the semi joins below restrict the receipt-side
-    # tables to them without reshuffling this side
-    scope = x.select("line_location_id")
-    # distributions fan out; identical ones collapse under the final DISTINCT anyway,
-    # so they are collapsed before the join (partial aggregate, map side).
-    dist = t["po_distributions_all"].select("line_location_id", "code_combination_id", "project_id").distinct()
-    x = x.join(dist, "line_location_id", "inner")
-    # invoice lines bridge shipment -> invoice; the invoiced quantity is the sum over
-    # the same (shipment, invoice) group, so one aggregate gives both
-    ril = _rename(invoiced_quantity(t["rec_invoice_lines"].join(scope, "line_location_id", "left_semi")), {
-        "line_location_id": "line_location_id", "invoice_id": "ril_invoice_id", "invoiced_quantity": "ril_quantity"})
-    x = x.join(ril, "line_location_id", "left")
-    gcc = _rename(t["gl_code_combinations"], {"code_combination_id": "code_combination_id",
-                                              "segment1": "codigo_empresa", "segment2": "unidade_controle",
-                                              "segment3": "conta_contabil", "segment4": "centro_de_custo"})
-    x = x.join(gcc, "code_combination_id", "inner")
-    ppa = _rename(t["pa_projects_all"], {"project_id": "project_id", "segment1": "numero_projeto"})
-    x = spread_nulls(x, ppa, ["project_id"], spread=["line_location_id"])
-
-    # ---- invoice grain: invoice ⟕ operation ⟕ invoice type, then one join
-    ri = _rename(t["rec_invoices"], {"invoice_id": "ri_invoice_id", "organization_id": "ri_org",
-                                     "operation_id": "nr_ar", "invoice_type_id": "ri_type",
-                                     "invoice_num": "ri_invoice_num", "creation_date": "ri_creation_date"})
-    reo = _rename(t["rec_entry_operations"], {"organization_id": "reo_org", "operation_id": "reo_operation_id",
-                                              "status": "status_ri", "reversion_flag": "reversion_flag"})
-    rit = _rename(t["rec_invoice_types"], {"invoice_type_id": "rit_type", "organization_id": "rit_org",
-                                           "parent_flag": "parent_flag"})
-    inv = (ri.join(reo, (c("ri_org") == c("reo_org")) & (c("nr_ar") == c("reo_operation_id")), "left")
-             .join(rit, (c("ri_type") == c("rit_type")) & (c("ri_org") == c("rit_org")), "left"))
-    inv = inv.withColumn("ril_invoice_id", c("ri_invoice_id"))
-    x = spread_nulls(x, inv, ["ril_invoice_id"], spread=["line_location_id", "code_combination_id"])
-    x = valid_receipts(x).withColumn(
-        "qt_entregue_fornecedor_linha", F.when(c("ri_invoice_id").isNotNull(), c("ril_quantity")))
-
-    trx = t["rcv_transactions"].join(scope.withColumnRenamed("line_location_id", "po_line_location_id"),
-                                     "po_line_location_id", "left_semi")
-    ms = _rename(receipt_milestones(trx, t["rcv_shipment_headers"]), {
-        "line_location_id": "line_location_id", "po_line_id": "po_line_id", "receipt_number": "nr_ar",
-        "first_receive_date": "first_receive_date", "last_deliver_date": "last_deliver_date",
-        "deliver_quantity": "qt_recebida_ar_linha"})
-    x = x.join(ms, ["line_location_id", "po_line_id", "nr_ar"], "left")
-
-    x = x.join(h_attrs, "po_header_id", "inner")
+    x = y.join(x, ["line_location_id", "po_line_id"], "inner")
 
     is_rel = c("is_release")
     if std_on:

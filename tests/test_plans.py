@@ -48,6 +48,13 @@ def test_receiving_filters_reach_the_operation_scan(spark, tables):
     assert any("In(o_orderkey" in s or "o_orderkey,5" in s or "EqualTo(o_orderkey" in s for s in scans), scans
 
 
+def test_order_report_derives_its_shipments_once(spark, tables):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    df = po_without_requisition_report(tables, "01/01/1996", "31/12/1996", dt.date(1996, 6, 1))
+    requisitions = [line for line in plan_of(df).splitlines() if "FileScan parquet" in line and "l_discount" in line]
+    assert not requisitions, "the anti join runs again for each relation scoped to the shipments"
+
+
 @pytest.mark.parametrize("table", ["po_lines_all", "po_line_locations_all"])
 def test_shipment_tasks_follow_the_rows(spark, monkeypatch, table):
     monkeypatch.setattr("supplyscope.sources.roles.LINES_A_TASK", 100, raising=False)

@@ -28,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplyscope.llm.common import discard, fresh_dir, map_arrow, materialize, text_of
+from supplyscope.llm.common import fresh_dir, map_arrow, materialize, text_of
 from supplyscope.llm.files import open_fs, replaced_file
 
 BUCKET_BITS = 15
@@ -45,6 +46,8 @@ WORDS_A_TASK = 1 << 24  # a task adds up its sums for all its words, so that few
 TOGETHER = 64  # half windows multiplied at once; the result is the same
 LEAST_COSINE, LEAST_COVER, ANSWER_WORDS = 0.20, 0.7, 6
 ITEMS_A_PASS = 4096
+# Work alone depends on these, not the result: how many pairs of a text's window and a passage are filtered together, by how many words an item, in a table of how many bytes at most.
+SOME_PAIRS, WANTED, NEAR_BYTES = 32, 128, 1 << 26
 
 #: ASCII other than letters, digits and underscore ends a word, and so does the punctuation of ``_ODD``.
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -80,6 +83,19 @@ def bucketed(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, "buckets binary", run)
 
 
+def bucketed_documents(docs: DataFrame, items: list[tuple] | None, least_cover: float) -> DataFrame:
+    """Rows (doc_id, text_hash, text, buckets) of rows (doc_id, text, text_hash).  The text is null where none of ``items`` can be covered; without items it always stays."""
+    queries = Queries.make(items, np.zeros((BUCKETS, 1), np.float32), np.zeros(BUCKETS)) if items is not None else None
+
+    def run(batch: pa.RecordBatch):
+        found = [buckets_of(words_of(t)) for t in batch.column(1).to_pylist()]
+        can = pa.array([queries is None or queries.can_cover_any(b, least_cover) for b in found], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pc.if_else(can, batch.column(1), pa.scalar(None, batch.column(1).type)),
+                                          pa.array([b.astype("<u2").tobytes() for b in found], pa.binary())], names=["doc_id", "text_hash", "text", "buckets"])
+
+    return map_arrow(docs, "doc_id long, text_hash long, text string, buckets binary", run)
+
+
 def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype="<u2").astype(np.int32) for b in batch.column(0).to_pylist()]
 
@@ -327,6 +343,8 @@ class Queries:
     first: np.ndarray  # where each of these items begins there
     of_passage: np.ndarray  # the place of each passage's item among them
     lengths: np.ndarray  # the number of words of each of them
+    column: np.ndarray  # of each bucket in a table of the buckets of all items; 0 for others
+    wanted: np.ndarray  # items with passages x the columns of their distinct words, WANTED of them at most, filled up with 0
 
     @classmethod
     def make(cls, items: list[tuple], basis: np.ndarray, idf: np.ndarray) -> Queries:
@@ -342,10 +360,15 @@ class Queries:
         with_words = sorted(set(item))
         sizes = np.array([len(distinct[i]) for i in with_words], dtype=np.int64)
         held = np.concatenate([buckets_of(list(distinct[i])) for i in with_words]) if with_words else np.zeros(0, np.int32)
+        column = np.zeros(BUCKETS + 1, dtype=np.int32)
+        column[np.unique(held)] = 1 + np.arange(len(np.unique(held)))
+        wanted = np.zeros((len(with_words), min(max(sizes, default=0), WANTED)), dtype=np.int32)
+        nth = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        wanted[np.repeat(np.arange(len(sizes)), sizes)[nth < WANTED], nth[nth < WANTED]] = column[held[nth < WANTED]]
         return cls([i for i, _, _ in items], words, answers, np.array(item, dtype=np.int64),
                    np.array(rows, dtype=np.float32).T if rows else np.zeros((basis.shape[1], 0), np.float32), distinct, max(map(len, words), default=0),
                    held, np.cumsum(sizes) - sizes, np.searchsorted(np.array(with_words, dtype=np.int64), np.array(item, dtype=np.int64)),
-                   np.array([len(words[i]) for i in with_words], dtype=np.float64))
+                   np.array([len(words[i]) for i in with_words], dtype=np.float64), column, wanted)
 
     def coverable(self, buckets: np.ndarray, least_cover: float) -> np.ndarray:
         """For each passage, whether a text of these buckets can cover its item: each distinct word whose bucket is missing lowers the cover."""
@@ -354,6 +377,34 @@ class Queries:
         missing = np.add.reduceat((~there[self.buckets]).astype(np.int64), self.first)
         return (self.lengths - missing >= least_cover * self.lengths)[self.of_passage]
 
+    def can_cover_any(self, buckets: np.ndarray, least_cover: float) -> bool:
+        return len(self.of_passage) > 0 and len(buckets) > 0 and bool(self.coverable(buckets, least_cover).any())
+
+    def coverable_near(self, buckets: np.ndarray, at: int, size: int, rows: np.ndarray, passages: np.ndarray, least_cover: float) -> np.ndarray:
+        """For each pair of a window and a passage, whether the words around the window can cover the passage's item, by the same count.
+
+        ``rows`` numbers the windows that start in the part of the text at ``at`` of ``size`` words, which begins with a half window; ``buckets`` are the whole text's.
+        """
+        half = WINDOW // 2
+        lead = -(-self.longest // half)  # half windows that hold what an item is held against on either side
+        begin = max(0, at - lead * half)
+        own = buckets[begin:at + size + WINDOW + lead * half]
+        shape = -(-len(own) // half) + 2 * lead + 2, int(self.column.max()) + 1
+        if shape[0] * shape[1] > NEAR_BYTES:  # very long items: all pairs go on
+            return np.ones(len(rows), dtype=bool)
+        near = np.zeros(shape, dtype=bool)
+        near[lead + np.arange(len(own)) // half, self.column[own]] = True
+        near[:, 0] = True
+        width, whole = 1, 2 + 2 * lead  # each row takes up those after it, twice as many in each step
+        while width < whole:
+            step = min(width, whole - width)
+            near[:-step] |= near[step:]
+            width += step
+        flat, first, items = near.ravel(), (rows + (at - begin) // half) * near.shape[1], self.of_passage[passages]
+        there = [np.count_nonzero(flat[first[i:i + BLOCK, None] + self.wanted[items[i:i + BLOCK]]], axis=1) for i in range(0, len(rows), BLOCK)]
+        missing = self.wanted.shape[1] - np.concatenate(there)
+        return self.lengths[items] - missing >= least_cover * self.lengths[items]
+
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
     """The length of the longest common subsequence (bit-parallel: one wide integer row over ``a``)."""
@@ -396,14 +447,16 @@ def cosines(buckets: np.ndarray, space: Space, vectors: np.ndarray) -> tuple[np.
     return starts, unit_rows(z) @ vectors
 
 
-def matches(text: str, space: Space, queries: Queries, least_cosine: float, least_cover: float) -> list[tuple[int, float, float]]:
-    """(item index, best cosine, cover) of the items that a text holds."""
-    words = words_of(text)
-    if not words or not queries.vectors.shape[1]:
+def matches(text: str | pa.StringScalar, space: Space, queries: Queries, least_cosine: float, least_cover: float, buckets: np.ndarray | None = None) -> list[tuple[int, float, float]]:
+    """(item index, best cosine, cover) of the items that a text holds; ``buckets`` are those of its words, if known."""
+    words = None  # hashed texts are cut into words for windows that are compared word by word alone
+    if buckets is None:
+        words = words_of(text)
+        buckets = buckets_of(words)
+    if not len(buckets) or not queries.vectors.shape[1]:
         return []
-    buckets = buckets_of(words)
     found: dict[int, tuple[float, float]] = {}
-    for at in range(0, len(words), 1 << 14):  # windows start in this part of a long text
+    for at in range(0, len(buckets), 1 << 14):  # windows start in this part of a long text
         part = buckets[at:at + (1 << 14) + WINDOW // 2]
         # all that the items are held against here
         whole = slice(max(0, at - queries.longest), at + len(part) + WINDOW + queries.longest)
@@ -412,6 +465,11 @@ def matches(text: str, space: Space, queries: Queries, least_cosine: float, leas
             continue
         starts, cos = cosines(part, space, queries.vectors[:, possible])
         rows, columns = np.nonzero(cos >= least_cosine)
+        if len(rows) > SOME_PAIRS:
+            can = queries.coverable_near(buckets, at, len(part), rows, possible[columns], least_cover)
+            rows, columns = rows[can], columns[can]
+        if words is None and len(rows):
+            words = words_of(text if isinstance(text, str) else text.as_py())
         last, widest, have = -1, 0, frozenset()
         for s, q, i in zip(rows.tolist(), columns.tolist(), queries.item[possible[columns]].tolist()):
             if found.get(i, (0, 0))[1] >= 1:
@@ -437,15 +495,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select("item_id", text_of().alias("text"), answer.alias("answer"))
     n_items = items.count()
-    hashed = materialize(bucketed(docs.select(text_of())), "words")
+    blocks = max(1, -(-n_items // items_a_pass))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
+    # texts that cannot cover an item are set aside at once, the others kept with their buckets, so words are hashed once
+    whole = [tuple(r) for r in items.collect()] if blocks == 1 else None
+    kept = materialize(bucketed_documents(source, whole, least_cover), "words")
+    hashed = kept.select("buckets")
     seen, n_docs, n_words = document_frequencies(hashed)
     idf = np.log((n_docs + 1) / (seen + 0.5)).clip(0.0)
     tasks = max(3, math.ceil(n_words / WORDS_A_TASK))
     basis = fit_basis(hashed.unionByName(bucketed(items.select("text"))).coalesce(tasks), idf, rank)
-    discard(hashed)
     space = save(Space.make(basis, idf).rows, f"{fresh_dir(docs.sparkSession, 'space')}/space.npy")
-    source = docs.select(F.col("doc_id").cast("long"), text_of(), F.xxhash64(text_of()))
-    blocks = max(1, -(-n_items // items_a_pass))
+    source = kept.where("text IS NOT NULL").select("doc_id", "text", "text_hash", "buckets")
     out = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # about items_a_pass queries
@@ -453,8 +514,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
 
         def run(batch: pa.RecordBatch, queries=queries):
             rows = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                hit = matches(text, Space.of(space), queries, least_cosine, least_cover)
+            for k, (text, buckets) in enumerate(zip(batch.column(1), _unpacked(batch.select([3])))):
+                hit = matches(text, Space.of(space), queries, least_cosine, least_cover, buckets)
                 if hit:
                     ids = sorted({queries.ids[i] for i, _, _ in hit if queries.ids[i] is not None})
                     rows.append((k, ids, max(c for _, c, _ in hit), max(c for _, _, c in hit)))

@@ -197,6 +197,37 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.find_benchmark(docs(spark, []), one).collect() == []
 
 
+def test_decontamination_filters_windows_together_and_loses_no_match(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, prose(rng, n, 1500), None) for i, n in enumerate([20, 32, 45, 60, 200] * 8)]
+    long = prose(rng, 9000, 1500).split()
+    for i, at in [(0, 0), (3, 4000), (4, 7000), (7, 8940)]:  # verbatim, with gaps, and at both ends
+        words = items[i][1].split()
+        long[at:at + len(words)] = [w for k, w in enumerate(words) if i != 3 or k % 6]
+    texts = [" ".join(long), prose(rng, 40, 1500), items[2][1], ""]
+    idf = np.ones(decontaminate.BUCKETS)
+    basis = np.random.default_rng(2).standard_normal((decontaminate.BUCKETS, 24)).astype(np.float32)
+    queries, space, compared = decontaminate.Queries.make(items, basis, idf), decontaminate.Space.make(basis, idf), []
+
+    class Counted(frozenset):
+        def __sub__(self, other):
+            compared.append(1)
+            return frozenset.__sub__(self, other)
+
+    queries.distinct = [Counted(d) for d in queries.distinct]
+    run = lambda: [decontaminate.matches(t, space, queries, 0.0, 0.7) for t in texts]
+    got, few = run(), len(compared)
+    monkeypatch.setattr(decontaminate, "SOME_PAIRS", 1 << 40)
+    assert got == run() and {0, 3, 4, 7} <= {i for i, _, _ in got[0]}
+    assert few * 5 < len(compared) - few
+    monkeypatch.setattr(decontaminate, "SOME_PAIRS", 0)
+    for limit in ("WANTED", "NEAR_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, limit, 8)
+            small = decontaminate.Queries.make(items, basis, idf)
+            assert [decontaminate.matches(t, space, small, 0.0, 0.7) for t in texts] == got
+
+
 def test_decontamination_finds_every_copy_of_a_large_benchmark(spark):
     rng = random.Random(27)
     items = [(i, prose(rng, decontaminate.WINDOW)) for i in range(4000)]

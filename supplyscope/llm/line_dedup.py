@@ -13,9 +13,11 @@ Lines (parts of a text between line feeds) with a similarity of ``SIMILARITY`` o
   joins their components, so a group of variants of one line is connected by as many pairs as it has lines.  Buckets with at most ``BUCKET_PAIRS`` lines outside their largest component take no
   further round.  Then each line outside it meets all lines of the bucket's other components whose signatures agree as above.  So every pair of a bucket is either in one component or compared,
   as in small buckets: no link is lost here.  Signatures are compared within the join; only pairs that agree become rows.
-* Verification: the exact Jaccard similarity of each candidate pair, from shingle sets that are stored once for each line concerned.  Then connected components.
+* Verification: the exact Jaccard similarity of each candidate pair, from shingle sets that are stored once for each line concerned, in buckets of line_id, so joins move pairs alone.
+  Then connected components.
 
-Lines that are equal as they are have one id (a 64-bit hash of the line), so copies are counted once in all of this.  Texts of lines are moved only for lines that are candidates.
+Lines that are equal as they are have one id (a 64-bit hash of the line), so copies are counted once in all of this.  Texts of lines are moved only for lines that are candidates
+(a bitmap of their ids, of bounded size, comes before the exact join).
 
 Defined cases: blank lines are kept and never compared; null and empty texts have no lines to compare; a line shorter than a shingle is one shingle; a very
 long line is compared whole; rows that repeat doc_id and text are one document and keep the same lines; documents without a doc_id come last in the
@@ -27,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from supplyscope.llm.common import discard, materialize, text_of
+from supplyscope.llm.common import discard, fresh_dir, materialize, text_of
 from supplyscope.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -35,6 +37,8 @@ BINS, ROWS = 24, 3  # bins of a signature, and of a band
 MARKED, LEAST_MARKED = 16, 8
 BUCKET_PAIRS = 48
 CENTRE_ROUNDS = 4
+A_ROW = 8  # shingles that are hashed, binned and added to the minima as one row
+FILTER_BITS = 1 << 26  # of the filter before texts of lines are moved
 
 
 def units(line: str) -> Column:
@@ -48,18 +52,16 @@ def short_hash(shingle: Column) -> Column:
 
 
 def shingle_rows(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Rows (line_id, h), one for each place of a shingle, from rows (line_id, line)."""
-    cut = lines.select("line_id", units("line").alias("u"))
-    places = F.sequence(F.lit(1), F.greatest(F.octet_length("u") - (2 * k - 1), F.lit(1)), F.lit(2))
-    return cut.select("line_id", "u", F.explode(places).alias("i")).select("line_id", short_hash(F.substring("u", F.col("i"), F.lit(2 * k))).alias("h"))
+    """Rows (line_id, h0, h1, …) of ``A_ROW`` places of shingles each, from rows (line_id, line).  The last row of a line repeats its last place, which no minimum minds."""
+    cut = lines.select("line_id", units("line").alias("u")).withColumn("last", F.greatest(F.octet_length("u") - (2 * k - 1), F.lit(1)))
+    rows = cut.select("line_id", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * A_ROW))).alias("i"))
+    return rows.select("line_id", *[short_hash(F.substring("u", F.least(F.col("i") + 2 * d, F.col("last")), F.lit(2 * k))).alias(f"h{d}") for d in range(A_ROW)])
 
 
 def shingle_sets(lines: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Rows (line_id, s, n): the distinct shingles of each line and their number, worked out within the row."""
-    cut = lines.select("line_id", units("line").alias("u"))
-    places = F.sequence(F.lit(1), F.greatest(F.octet_length("u") - (2 * k - 1), F.lit(1)), F.lit(2))
-    sets = cut.select("line_id", F.array_distinct(F.transform(places, lambda i: short_hash(F.substring("u", i, F.lit(2 * k))))).alias("s"))
-    return sets.select("line_id", "s", F.size("s").alias("n"))
+    """Rows (line_id, s, n): the distinct shingles of each line and their number, from distinct rows (line_id, line)."""
+    held = shingle_rows(lines, k).groupBy("line_id").agg(F.collect_list(F.array(*[f"h{d}" for d in range(A_ROW)])).alias("l"))
+    return held.select("line_id", F.array_distinct(F.flatten("l")).alias("s")).select("line_id", "s", F.size("s").alias("n"))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -71,8 +73,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """Rows (line_id, keys, mark) from rows (line_id, line): the key of each band, null where its bins are empty, and four bits of each of the first 16 bins."""
-    binned = shingle_rows(lines).withColumn("bin", F.pmod("h", F.lit(BINS)))
-    least = binned.groupBy("line_id").agg(*[F.min(F.when(F.col("bin") == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
+    binned = shingle_rows(lines).withColumns({f"bin{d}": F.pmod(f"h{d}", F.lit(BINS)) for d in range(A_ROW)})
+    least = binned.groupBy("line_id").agg(*[F.min(F.least(*[F.when(F.col(f"bin{d}") == j, F.col(f"h{d}")) for d in range(A_ROW)])).alias(f"m{j}") for j in range(BINS)])
     least_of = [[f"m{i}" for i in range(j, j + ROWS)] for j in range(0, BINS, ROWS)]
     bands = [F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(j), *own)) for j, own in enumerate(least_of)]
     mark = F.lit(0).cast("long")
@@ -89,6 +91,16 @@ def marks_agree(a: Column, b: Column) -> Column:
     return F.lit(MARKED) - F.bit_count(spread.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def stored_by_line(sets: DataFrame) -> tuple[DataFrame, str]:
+    """``sets`` stored in buckets of line_id, so joins on it do not move them again, and the table's name."""
+    spark = sets.sparkSession
+    path = fresh_dir(spark, "shingle-sets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets.write.bucketBy(buckets, "line_id").sortBy("line_id").option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
 def _all_pairs(members: DataFrame) -> DataFrame:
     """Pairs a < b of the lines of each bucket of up to ``BUCKET_PAIRS`` of them whose signatures agree in ``LEAST_MARKED`` marked bins."""
     held = members.groupBy("key").agg(F.collect_list(F.struct("line_id", "mark")).alias("l"))
@@ -99,12 +111,14 @@ def _all_pairs(members: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (and their other columns) whose exact similarity is high enough."""
-    size = lambda end: sets.select(F.col("line_id").alias(end), F.col("n").alias(f"n_{end}"))
-    of = lambda end: sets.select(F.col("line_id").alias(end), F.col("s").alias(f"s_{end}"))
-    # lengths first, so only pairs that can be similar carry sets
-    fit = pairs.where(F.col("a") != F.col("b")).join(size("a"), "a").join(size("b"), "b").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
-    near = fit.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
-    return near.where(F.col("both") >= SIMILARITY * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(*pairs.columns)
+    size = sets.select(F.col("line_id").alias("b"), F.col("n").alias("n_b"))
+    one = sets.select(F.col("line_id").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    other = sets.select(F.col("line_id").alias("b"), F.col("s").alias("s_b"))
+    # lengths first, so only pairs that can be similar carry a set; ``sets`` is stored by line_id, so it is not moved itself
+    fit = pairs.where(F.col("a") != F.col("b")).join(size, "b").join(one, "a").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
+    both = F.size(F.array_intersect("s_a", "s_b"))  # at least this many of similar sets; written once, as it is worked out wherever it stands
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    return fit.join(other, "b").where(both >= least).select(*pairs.columns)
 
 
 def _named(members: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -153,20 +167,36 @@ def hot_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return last if links is None else links.unionByName(last)
 
 
+def asked_lines(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct rows (line_id, line) whose line_id is one of ``asked`` (id).
+
+    A bitmap of ``FILTER_BITS`` at most, one bit an id, keeps most other lines from being moved; the join behind it is exact.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
+    bits = asked.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position(place("line_id"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = lines.join(F.broadcast(bits), F.bitmap_bucket_number(place("line_id")) == F.col("bucket"))
+    near = near.where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    # an inner join, as the ids are distinct: a semi join would be moved below the filter
+    return near.select("line_id", "line").join(asked, F.col("line_id") == F.col("id")).select("line_id", "line").dropDuplicates(["line_id"])
+
+
 def line_links(lines: DataFrame) -> DataFrame:
     """Links (a, b) between similar distinct lines, from rows (line_id, line), which may repeat; enough to connect all similar lines that share a band."""
-    signed = materialize(signatures(lines), "signatures")
-    keys = signed.select("line_id", "mark", F.explode("keys").alias("key")).where("key IS NOT NULL")
-    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "line-buckets", narrow=True)
-    small = keys.join(sizes.where(F.col("m") <= BUCKET_PAIRS).select("key"), "key", "left_semi")
-    pairs = materialize(_all_pairs(small), "line-pairs", narrow=True)
-    hot = materialize(keys.join(sizes.where(F.col("m") > BUCKET_PAIRS).select("key"), "key", "left_semi").select("key", "line_id", "mark"), "hot-lines", narrow=True)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select(F.col("line_id").alias("id"))).distinct()
-    own = lines.join(asked, F.col("line_id") == F.col("id"), "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-    sets = materialize(shingle_sets(own), "shingle-sets")
-    discard(signed)
+    keys = signatures(lines).select("line_id", "mark", F.explode("keys").alias("key")).where("key IS NOT NULL")
+    counted = keys.withColumn("m", F.count("*").over(Window.partitionBy("key")))
+    shared = materialize(counted.where("m > 1"), "line-buckets", narrow=True)  # most keys have one line
+    pairs = materialize(_all_pairs(shared.where(F.col("m") <= BUCKET_PAIRS)), "line-pairs", narrow=True)
+    hot = shared.where(F.col("m") > BUCKET_PAIRS).select("key", "line_id", "mark")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot.select(F.col("line_id").alias("id"))).distinct(), "asked-lines", narrow=True)
+    sets, name = stored_by_line(shingle_sets(asked_lines(lines, asked)))
     links = materialize(_verified(pairs, sets), "line-links", narrow=True)
-    return links if hot.isEmpty() else links.unionByName(hot_pairs(hot, sets))
+    if not hot.isEmpty():
+        links = links.unionByName(hot_pairs(hot, sets))
+    discard(sets)
+    lines.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

@@ -109,6 +109,32 @@ def line_fixture():
     return rows
 
 
+def test_line_dedup_moves_asked_lines_alone_and_sets_never(spark, monkeypatch):
+    texts = ["ab", "ABABABABABABAB", "é" * 30, *(f"line {i} of {i * i} lines" for i in range(300))]
+    lines = spark.createDataFrame([(i * 7919 - 900_000, t) for i, t in enumerate(texts)] * 2, "line_id long, line string")
+    want = {i * 7919 - 900_000: t for i, t in enumerate(texts) if i % 5 < 2}
+    asked = spark.createDataFrame([(i,) for i in [*want, 12345]], "id long")
+    for bits in (1 << 15, 1 << 26):
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+        own = line_dedup.asked_lines(lines, asked)
+        assert sorted(map(tuple, own.collect())) == sorted(want.items())
+    sets, name = line_dedup.stored_by_line(line_dedup.shingle_sets(own))
+    plain = {i: len({t.lower()[k:k + 8] for k in range(max(1, len(t) - 7))}) for i, t in want.items()}
+    assert {r.line_id: r.n for r in sets.collect()} == plain == {r.line_id: len(set(r.s)) for r in sets.collect()}
+    monkeypatch.setattr(line_dedup, "SIMILARITY", 0.5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        ids = sorted(want)
+        near = line_dedup._verified(spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long"), sets)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3  # pairs alone: by b, by a and by b again
+        cut = {i: {t.lower()[k:k + 8] for k in range(max(1, len(t) - 7))} for i, t in want.items()}
+        assert {(r.a, r.b) for r in near.collect()} == {(a, b) for a in ids for b in ids if a < b and 2 * len(cut[a] & cut[b]) >= len(cut[a] | cut[b])}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def gone_lines(spark, rows):
     return {(r.doc_id, r.line_no) for r in line_dedup.line_classes(docs(spark, rows)).where("NOT kept").collect()}
 

@@ -42,7 +42,7 @@ def test_the_report_in_ranges_equals_the_sorted_join(spark, monkeypatch, broadca
         assert rows(got) == rows(want) and in_order(got) and in_order(want)
         plan = plan_of(got)
         # each side is dealt once, by its range; behind that nothing is moved, and no range sort moves the joined rows
-        assert plan.count("Exchange shufflepartitionidpassthrough") == 5 and "rangepartitioning" not in plan
+        assert plan.count("Exchange shufflepartitionidpassthrough") == 6 and "rangepartitioning" not in plan
         assert got.rdd.getNumPartitions() > 10
         org = t["mtl_parameters"].first()["organization_code"]
         one = receiving_diagnosis(t, org=org)
